@@ -1,0 +1,20 @@
+"""Join helpers: broadcast only behind a checked row bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Default bound for a broadcast side (rows).  Dimension tables here are
+# code lists (nations, vocabulary, parser settings): tens to thousands.
+BROADCAST_MAX_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Hint a broadcast only when ``df`` is proven to hold at most ``max_rows``.
+
+    The check reads at most ``max_rows + 1`` rows; beyond the bound the side
+    is returned unhinted and AQE picks a shuffle join (with skew splitting).
+    """
+    small = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df
