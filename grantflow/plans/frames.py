@@ -194,7 +194,7 @@ RUNS_SQL = f"""
                 ELSE 'success' END AS status,
            max(downloaded_at) AS "timestamp",
            count(*) AS file_count,
-           sum(bytes) AS total_bytes
+           CAST(sum(bytes) AS BIGINT) AS total_bytes
     FROM ({RUN_FILES_SQL}) l
     GROUP BY source_name, action, run_ts
 """

@@ -1 +1,204 @@
-"""Registered queries (filled in below)."""
+"""Queries over fetch runs: latest run, freshness, outcomes, status report."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from grantflow.functions.dates import as_of_literal, display_ts, parse_ts
+from grantflow.functions.ids import run_label
+from grantflow.operators import runs as R
+from grantflow.plans.frames import AS_OF, RUN_FILES_SQL, RUNS_SQL, run_files, runs, table
+from grantflow.plans.registry import register
+from grantflow.session import scratch_dir
+
+FRESH_DAYS = 2.0
+AGE_SQL = f"(date_diff('microsecond', {{ts}}, TIMESTAMP '{AS_OF}') / 86400000000.0)"
+
+LATEST_SQL = f"""
+    SELECT * EXCLUDE (rn) FROM (
+      SELECT *, row_number() OVER (PARTITION BY source_name, action ORDER BY run_ts DESC) AS rn
+      FROM ({RUNS_SQL}) r) x WHERE rn = 1
+"""
+
+
+def latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.latest_per_key(runs(spark, sf_dir), ["source_name", "action"], ["run_ts"])
+
+
+@register("latest_run", f"""
+    SELECT source_name, action, strftime(run_ts, '%Y%m%d_%H%M%S') AS run_label,
+           status, file_count, total_bytes
+    FROM ({LATEST_SQL}) l
+""")
+def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_runs(spark, sf_dir).select(
+        "source_name", "action", run_label("run_ts").alias("run_label"),
+        "status", "file_count", "total_bytes")
+
+
+@register("freshness", f"""
+    SELECT source_name, action, round({AGE_SQL.format(ts='"timestamp"')}, 1) AS age_days,
+           coalesce({AGE_SQL.format(ts='"timestamp"')} <= {FRESH_DAYS}, false) AS fresh
+    FROM ({LATEST_SQL}) l
+""")
+def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = R.with_freshness(latest_runs(spark, sf_dir), "timestamp",
+                              as_of_literal(AS_OF), FRESH_DAYS)
+    return latest.select("source_name", "action", "age_days", "fresh")
+
+
+@register("fetch_summary", f"""
+    SELECT CAST(count_if(status = 'success') AS BIGINT) AS n_success,
+           CAST(count_if(status = 'skipped') AS BIGINT) AS n_skipped,
+           CAST(count_if(status = 'failed') AS BIGINT) AS n_failed,
+           count(*) AS n_total
+    FROM ({RUNS_SQL}) r
+""")
+def fetch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.outcome_counts(runs(spark, sf_dir))
+
+
+@register("fetch_outcomes", f"""
+    SELECT DISTINCT status AS outcome, source_name || '_' || action AS id FROM ({LATEST_SQL}) l
+""")
+def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = latest_runs(spark, sf_dir).withColumn(
+        "run_key", F.concat_ws("_", "source_name", "action"))
+    return R.outcome_rows(latest, "run_key")
+
+
+REQUESTED_SQL = "SELECT 'src_' || CAST(c_custkey AS VARCHAR) AS source_name FROM customer"
+
+
+def _requested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("src_"), F.col("c_custkey").cast("string")).alias("source_name"))
+
+
+@register("select_sources", f"""
+    SELECT source_name FROM ({REQUESTED_SQL}) q
+    WHERE source_name IN (SELECT source_name FROM ({RUN_FILES_SQL}) l)
+""")
+def select_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = R.select_known(_requested(spark, sf_dir), run_files(spark, sf_dir), "source_name")
+    return found
+
+
+@register("unknown_sources", f"""
+    SELECT source_name FROM ({REQUESTED_SQL}) q
+    WHERE source_name NOT IN (SELECT source_name FROM ({RUN_FILES_SQL}) l)
+""")
+def unknown_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, unknown = R.select_known(_requested(spark, sf_dir), run_files(spark, sf_dir), "source_name")
+    return unknown
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("src_"), F.col("c_custkey").cast("string")).alias("source_id"),
+        F.col("c_name").alias("funder"), F.lower("c_mktsegment").alias("format"))
+
+
+def status_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.source_status(_catalog(spark, sf_dir), runs(spark, sf_dir), as_of_literal(AS_OF))
+
+
+STATUS_SQL = f"""
+    WITH r AS ({RUNS_SQL}),
+    last AS (SELECT * FROM (
+        SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY "timestamp" DESC, action DESC) AS rn
+        FROM r WHERE status = 'success') x WHERE rn = 1),
+    cat AS (SELECT 'src_' || CAST(c_custkey AS VARCHAR) AS source_id, c_name AS funder,
+                   lower(c_mktsegment) AS format FROM customer)
+    SELECT cat.source_id, funder, format,
+           last.source_name IS NOT NULL AS downloaded,
+           strftime(last."timestamp", '%Y-%m-%d %H:%M:%S') AS last_download,
+           round({AGE_SQL.format(ts='last."timestamp"')}, 1) AS age_days,
+           CASE WHEN last.source_name IS NOT NULL THEN 'raw/' || last.source_name || '/'
+                || last.action || '/' || strftime(last.run_ts, '%Y%m%d_%H%M%S') END AS download_path,
+           coalesce(last.file_count, 0) AS file_count,
+           coalesce(round(last.total_bytes / 1048576.0, 2), 0.0) AS size_mb
+    FROM cat LEFT JOIN last ON cat.source_id = last.source_name
+"""
+
+
+@register("source_status", STATUS_SQL)
+def source_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.sort_status(status_frame(spark, sf_dir))
+
+
+@register("status_totals", f"""
+    SELECT CAST(count_if(downloaded) AS BIGINT) AS n_downloaded, count(*) AS n_sources,
+           round(sum(size_mb), 2) AS total_size_mb
+    FROM ({STATUS_SQL}) s
+""")
+def status_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.status_totals(status_frame(spark, sf_dir))
+
+
+@register("status_display", f"""
+    SELECT source_id AS "Source ID", funder AS "Funder", format AS "Format",
+           downloaded AS "Downloaded", last_download AS "Last Download",
+           age_days AS "Age (days)", file_count AS "Files", size_mb AS "Size (MB)"
+    FROM ({STATUS_SQL}) s
+""")
+def status_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.status_display(R.sort_status(status_frame(spark, sf_dir)))
+
+
+@register("status_json", f"""
+    SELECT CAST(json_object('source_id', source_id, 'funder', funder, 'format', format,
+                            'downloaded', downloaded, 'last_download', last_download,
+                            'age_days', age_days, 'download_path', download_path,
+                            'file_count', file_count, 'size_mb', size_mb) AS VARCHAR) AS json
+    FROM ({STATUS_SQL}) s
+""")
+def status_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.status_json(status_frame(spark, sf_dir))
+
+
+@register("run_extras", f"""
+    SELECT event_id, source_name || '_' || action AS run_key,
+           strftime(run_ts, '%Y%m%d_%H%M%S') AS run_label,
+           CASE WHEN ok THEN 'success' ELSE 'failed' END AS status,
+           coalesce(json_extract_string(props, '$.k'), 'unset') AS k,
+           CAST(bytes AS VARCHAR) AS file_size_bytes,
+           CAST(3 + len(list_filter(json_keys(props),
+                lambda x: x NOT IN ('status', 'file_size_bytes', 'k'))) AS BIGINT) AS n_keys
+    FROM (SELECT l.*, e.props FROM ({RUN_FILES_SQL}) l JOIN events e USING (event_id)) x
+""")
+def run_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = run_files(spark, sf_dir).join(
+        table(spark, sf_dir, "events").select("event_id", "props"), "event_id")
+    meta = R.run_metadata(files, "props")
+    return meta.select(
+        "event_id", "run_key", "run_label",
+        F.col("extra")["status"].alias("status"), F.col("extra")["k"].alias("k"),
+        F.col("extra")["file_size_bytes"].alias("file_size_bytes"),
+        F.size("extra").cast("bigint").alias("n_keys"))
+
+
+@register("last_download", f"""
+    SELECT source_name, action, status,
+           strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS last_download,
+           strftime(run_ts, '%Y%m%d_%H%M%S') AS run_label
+    FROM (SELECT *, row_number() OVER (PARTITION BY source_name, action
+                                       ORDER BY "timestamp" DESC) AS rn
+          FROM ({RUNS_SQL}) r) x WHERE rn = 1
+""")
+def last_download(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs appended to an ``ingest_runs`` table in two loads (timestamps as
+    ISO text, as run metadata stores them), read back, latest per key."""
+    path = scratch_dir(spark, "ingest_runs")
+    r = runs(spark, sf_dir).withColumn(
+        "timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    cut = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    r.filter(F.col("run_ts") < cut).write.mode("append").parquet(path)
+    r.filter(F.col("run_ts") >= cut).write.mode("append").parquet(path)
+    landed = spark.read.parquet(path).withColumn("timestamp", parse_ts("timestamp"))
+    latest = R.latest_per_key(landed.select("source_name", "action", "timestamp", "status", "run_ts"),
+                              ["source_name", "action"], ["timestamp"])
+    return latest.select("source_name", "action", "status",
+                         display_ts("timestamp").alias("last_download"),
+                         run_label("run_ts").alias("run_label"))
