@@ -105,3 +105,29 @@ def latest_mappings(store: DataFrame) -> DataFrame:
     """Latest-wins read: for each (source, hash) the rows of its newest ``ts``."""
     newest = store.groupBy(*CACHE_KEYS).agg(F.max("ts").alias("ts"))
     return store.join(newest, [*CACHE_KEYS, "ts"], "left_semi")
+
+
+def resolve_mappings(spark: SparkSession, datasets: DataFrame, cache: DataFrame, fn,
+                     partitions: int | None = None):
+    """Cache-first column mapping.
+
+    ``datasets``: (source, columns_hash, prompt); ``cache``: exploded rows
+    (source, columns_hash, source_col, target_col).  Only misses are sent
+    to ``fn``; an unusable answer degrades to an empty mapping, is counted
+    as failed and never saved.  Cached rows are validated too.
+
+    Returns ``(mapping_rows, failed_datasets, rejected_rows)``.
+    """
+    from grantflow.functions.text import parse_mapping, strip_fences_braces
+    from grantflow.operators.inference import complete
+
+    hits, misses = cache_split(datasets, cache)
+    answered = complete(misses, "prompt", fn, partitions=partitions).withColumn(
+        "mapping", parse_mapping(strip_fences_braces(F.col("response"))))
+    failed = answered.filter(F.col("mapping").isNull() | (F.size("mapping") == 0)) \
+                     .select(*CACHE_KEYS, "error")
+    fresh = explode_mapping(answered.filter(F.size("mapping") > 0).select(*CACHE_KEYS, "mapping"))
+    cached = cache.join(hits.select(*CACHE_KEYS), CACHE_KEYS, "left_semi") \
+                  .select(*CACHE_KEYS, "source_col", "target_col")
+    valid, rejected = validate_mapping(spark, fresh.unionByName(cached))
+    return valid, failed, rejected

@@ -1 +1,234 @@
-"""Registered queries (filled in below)."""
+"""Queries over column mappings and model calls."""
+
+from __future__ import annotations
+
+import datetime as _dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from grantflow.functions.ids import columns_hash
+from grantflow.operators import inference as INF
+from grantflow.operators import mapping as M
+from grantflow.operators.conform import compound_targets, drop_all_null_rows, rename_by_mapping
+from grantflow.plans.frames import LANDING_SQL, landing_frame, table
+from grantflow.plans.registry import register
+from grantflow.plans.report import portable
+from grantflow.schema import vocabulary_rows
+from grantflow.session import scratch_dir
+
+# ------------------------------------------------------------ schema identity
+
+LAYOUT_SQL = """
+    SELECT 'src_' || CAST(user_id AS VARCHAR) AS source, list_sort(list(DISTINCT event_type)) AS cols
+    FROM events WHERE value > 40 GROUP BY user_id
+"""
+DATASETS_SQL = f"""
+    SELECT source, md5(array_to_string(cols, ',')) AS columns_hash, cols FROM ({LAYOUT_SQL}) l
+"""
+
+
+def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source its column layout: the distinct event types of its large
+    events (a bounded set, combined map-side before the shuffle)."""
+    e = table(spark, sf_dir, "events").filter(F.col("value") > 40)
+    return (e.select(F.concat(F.lit("src_"), F.col("user_id").cast("string")).alias("source"),
+                     "event_type").distinct()
+             .groupBy("source").agg(F.collect_list("event_type").alias("cols")))
+
+
+def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layouts(spark, sf_dir).select("source", columns_hash("cols").alias("columns_hash"), "cols")
+
+
+@register("columns_hash", f"""
+    SELECT source, CAST(len(cols) AS INTEGER) AS n_columns, columns_hash FROM ({DATASETS_SQL}) d
+""")
+def columns_hash_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets(spark, sf_dir).select("source", F.size("cols").alias("n_columns"), "columns_hash")
+
+
+def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = datasets(spark, sf_dir)
+    even = F.substring_index("source", "_", -1).cast("bigint") % 2 == 0
+    return d.filter(even).select("source", "columns_hash")
+
+
+CACHE_SQL = f"""SELECT source, columns_hash FROM ({DATASETS_SQL}) d
+                WHERE CAST(split_part(source, '_', 2) AS BIGINT) % 2 = 0"""
+
+
+@register("mapping_cache_hit", f"""
+    SELECT source, columns_hash FROM ({DATASETS_SQL}) d
+    WHERE (source, columns_hash) IN (SELECT (source, columns_hash) FROM ({CACHE_SQL}) c)
+""")
+def mapping_cache_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, _ = M.cache_split(datasets(spark, sf_dir).drop("cols"), _cache(spark, sf_dir))
+    return hits
+
+
+@register("mapping_cache_miss", f"""
+    SELECT source, columns_hash FROM ({DATASETS_SQL}) d
+    WHERE (source, columns_hash) NOT IN (SELECT (source, columns_hash) FROM ({CACHE_SQL}) c)
+""")
+def mapping_cache_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, misses = M.cache_split(datasets(spark, sf_dir).drop("cols"), _cache(spark, sf_dir))
+    return misses
+
+
+# ------------------------------------------------------------ validation
+
+VOCAB_KEYS = [k for _, k, _, _ in vocabulary_rows()]
+N_SLOTS = len(VOCAB_KEYS) + 5
+
+
+def _synthetic_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model-style mapping rows: each conversation turn maps ``col_<turn>``
+    to a vocabulary key, ``"null"``, or an unknown name."""
+    c = table(spark, sf_dir, "conversations")
+    idx = ((F.col("conv_id") * 7 + F.col("turn")) % N_SLOTS).cast("int")
+    key = F.get(F.array(*[F.lit(k) for k in VOCAB_KEYS]), idx)
+    target = F.coalesce(key, F.when(idx == N_SLOTS - 1, F.lit("null"))
+                        .otherwise(F.concat(F.lit("award-"), idx.cast("string"))))
+    return c.select("conv_id", F.concat(F.lit("col_"), F.col("turn").cast("string")).alias("source_col"),
+                    target.alias("target_col"))
+
+
+def _targets_sql() -> str:
+    keys = ", ".join("'" + k + "'" for k in VOCAB_KEYS)
+    return f"""
+    SELECT conv_id, 'col_' || CAST(turn AS VARCHAR) AS source_col,
+           coalesce([{keys}][idx + 1], CASE WHEN idx = {N_SLOTS - 1} THEN 'null'
+                    ELSE 'award-' || CAST(idx AS VARCHAR) END) AS target_col
+    FROM (SELECT conv_id, turn, CAST((conv_id * 7 + turn) % {N_SLOTS} AS INTEGER) AS idx
+          FROM conversations) c
+    """
+
+
+ALLOWED_SQL = "(" + ", ".join("'" + k + "'" for k in VOCAB_KEYS + ["null"]) + ")"
+
+
+@register("mapping_validate", f"SELECT * FROM ({_targets_sql()}) t WHERE target_col IN {ALLOWED_SQL}")
+def mapping_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid, _ = M.validate_mapping(spark, _synthetic_targets(spark, sf_dir))
+    return valid
+
+
+@register("mapping_rejects", f"SELECT * FROM ({_targets_sql()}) t WHERE target_col NOT IN {ALLOWED_SQL}")
+def mapping_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rejected = M.validate_mapping(spark, _synthetic_targets(spark, sf_dir))
+    return rejected
+
+
+# ------------------------------------------------------------ mapping store
+
+def _rule_a(c):
+    return (F.when(c == "purchase", "award-amount").when(c == "signup", "award-start-date")
+            .otherwise("null"))
+
+
+def _rule_b(c):
+    return F.when(c == "purchase", "@amount").otherwise("description")
+
+
+@register("mapping_store", f"""
+    SELECT source, columns_hash, c AS source_col,
+           CASE WHEN CAST(split_part(source, '_', 2) AS BIGINT) % 2 = 0
+                THEN CASE WHEN c = 'purchase' THEN '@amount' ELSE 'description' END
+                ELSE CASE WHEN c = 'purchase' THEN 'award-amount'
+                          WHEN c = 'signup' THEN 'award-start-date' ELSE 'null' END END AS target_col
+    FROM (SELECT source, columns_hash, unnest(cols) AS c FROM ({DATASETS_SQL}) d) x
+""")
+def mapping_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mappings appended twice (second load re-maps even sources); latest wins."""
+    path = scratch_dir(spark, "column_mappings")
+    rows = datasets(spark, sf_dir).select("source", "columns_hash",
+                                          F.explode("cols").alias("source_col"))
+    first = rows.withColumn("target_col", _rule_a(F.col("source_col"))) \
+                .withColumn("ts", F.lit(_dt.datetime(2024, 1, 1)).cast("timestamp_ntz"))
+    even = F.substring_index("source", "_", -1).cast("bigint") % 2 == 0
+    second = rows.filter(even).withColumn("target_col", _rule_b(F.col("source_col"))) \
+                 .withColumn("ts", F.lit(_dt.datetime(2024, 2, 1)).cast("timestamp_ntz"))
+    M.save_mappings(first, path)
+    M.save_mappings(second, path)
+    return M.latest_mappings(spark.read.parquet(path)).drop("ts")
+
+
+# ------------------------------------------------------------ rename / compound
+
+RENAME = {"Research Project Title": "project-title", "Project/Area Number": "award-number",
+          "Total Cost (Overall)": "award-amount", "Keywords": "null"}
+
+
+@register("rename_by_mapping", f"""
+    SELECT row_no, source_id, "Research Project Title" AS "project-title",
+           "Project Title (English)", "Project/Area Number" AS "award-number",
+           "Project Period (FY)", "Principal Investigator", "Research Institution",
+           "Total Cost (Overall)" AS "award-amount", "Keywords"
+    FROM ({LANDING_SQL}) g
+""")
+def rename_by_mapping_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = drop_all_null_rows(landing_frame(spark, sf_dir))
+    return rename_by_mapping(g, RENAME)
+
+
+@register("compound_targets", f"""
+    SELECT "Project/Area Number" AS grant_id,
+           CASE WHEN len(pp) = 2 THEN strftime(CAST(try_strptime(pp[1], '%Y-%m-%d') AS DATE), '%Y-%m-%d') END AS start_date,
+           CASE WHEN len(pp) = 2 THEN strftime(CAST(try_strptime(pp[2], '%Y-%m-%d') AS DATE), '%Y-%m-%d') END AS end_date,
+           CASE WHEN len(np) > 1 THEN np[1] END AS investigator_given_name,
+           CASE WHEN len(np) > 1 THEN np[2] END AS investigator_family_name
+    FROM (SELECT *, string_split("Project Period (FY)", ' – ') AS pp,
+                 string_split("Principal Investigator", ' ') AS np FROM ({LANDING_SQL}) g0) g1
+""")
+def compound_targets_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = compound_targets(landing_frame(spark, sf_dir), "Project Period (FY)", "Principal Investigator")
+    return portable(g.select(F.col("`Project/Area Number`").alias("grant_id"), "start_date",
+                             "end_date", "investigator_given_name", "investigator_family_name"))
+
+
+# ------------------------------------------------------------ model calls
+
+def echo(prompts):
+    """Stand-in model: answers each prompt with the prompt itself."""
+    return list(prompts)
+
+
+def fails_on_tenth(prompts):
+    """Stand-in model that raises for prompts of documents whose id ends in 0."""
+    out = []
+    for p in prompts:
+        if p.split("\n", 1)[0].endswith("0"):
+            raise RuntimeError("model call failed")
+        out.append(p)
+    return out
+
+
+CLEAN_HEAD = "Clean the text of document "
+PROMPT_SQL = f"'{CLEAN_HEAD}' || CAST(doc_id AS VARCHAR) || chr(10) || text"
+
+
+def _doc_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.concat(F.lit(CLEAN_HEAD), F.col("doc_id").cast("string"),
+                                       F.lit("\n"), F.col("text")).alias("prompt"))
+
+
+@register("complete_batch", f"""
+    SELECT doc_id, md5(p) AS response_md5, CAST(length(p) AS INTEGER) AS response_chars, 'ok' AS status
+    FROM (SELECT doc_id, {PROMPT_SQL} AS p FROM documents) d
+""")
+def complete_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = INF.outcome(INF.complete(_doc_prompts(spark, sf_dir), "prompt", echo, partitions=8))
+    return out.select("doc_id", F.md5("response").alias("response_md5"),
+                      F.length("response").alias("response_chars"), "status")
+
+
+@register("isolate_failures", f"""
+    SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE md5(p) END AS response_md5,
+           CASE WHEN doc_id % 10 = 0 THEN 'failed' ELSE 'ok' END AS status
+    FROM (SELECT doc_id, {PROMPT_SQL} AS p FROM documents) d
+""")
+def isolate_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = INF.outcome(INF.complete(_doc_prompts(spark, sf_dir), "prompt", fails_on_tenth, partitions=8))
+    return out.select("doc_id", F.md5("response").alias("response_md5"), "status")
