@@ -1 +1,548 @@
-"""Registered queries (filled in below)."""
+"""Queries over sources and sinks: JSON shapes, project-API pages, landing,
+tolerant CSV, round-trips, incremental ingest.
+
+Files are written under the session's shared checkpoint folder (a fresh
+sub-folder per run) and read back with this package's readers.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from grantflow.functions.ids import raw_path, run_label
+from grantflow.operators.joins import broadcast_if_small
+from grantflow.plans.frames import LANDING_SQL, landing_frame, table
+from grantflow.plans.grants_q import CONFORMED_OUT, _conformed_out_sql
+from grantflow.plans.registry import register
+from grantflow.plans.report import portable
+from grantflow.session import scratch_dir
+from grantflow.sources import csv_tolerant as CT
+from grantflow.sources import json_shapes as J
+from grantflow.sources import landing as L
+from grantflow.streaming.ingest import ingest_landing, paths
+
+# --------------------------------------------------------------- API pages
+
+def _api_body() -> Column:
+    e, p = F.col("event_id"), F.col("props")
+    return (F.when(e % 9 == 0, F.concat(F.lit('{"data": [], "results": ['), p, F.lit("]}")))
+            .when(e % 4 == 0, F.concat(F.lit("["), p, F.lit(", "), p, F.lit("]")))
+            .when(e % 4 == 1, F.concat(F.lit('{"data": ['), p, F.lit('], "next": "page2"}')))
+            .when(e % 4 == 2, F.concat(F.lit('{"results": ['), p, F.lit('], "has_more": false}')))
+            .otherwise(p))
+
+
+API_BODY_SQL = """CASE WHEN event_id % 9 = 0 THEN '{"data": [], "results": [' || props || ']}'
+                       WHEN event_id % 4 = 0 THEN '[' || props || ', ' || props || ']'
+                       WHEN event_id % 4 = 1 THEN '{"data": [' || props || '], "next": "page2"}'
+                       WHEN event_id % 4 = 2 THEN '{"results": [' || props || '], "has_more": false}'
+                       ELSE props END"""
+
+FALSY_SQL = "('null', 'false', '0', '0.0', '\"\"', '[]', '{}', '')"
+
+
+@register("json_unwrap", f"""
+    SELECT event_id, CAST(pos - 1 AS INTEGER) AS pos, rec->>'k' AS k, has_more
+    FROM (SELECT event_id, has_more, unnest(recs) AS rec, generate_subscripts(recs, 1) AS pos
+          FROM (SELECT event_id,
+                       CASE WHEN json_type(b) = 'ARRAY' THEN json_extract(b, '$[*]')
+                            WHEN json_type(b -> 'data') = 'ARRAY' THEN json_extract(b, '$.data[*]')
+                            WHEN json_type(b -> 'results') = 'ARRAY' THEN json_extract(b, '$.results[*]')
+                            WHEN json_type(b) = 'OBJECT' THEN [CAST(b AS JSON)] END AS recs,
+                       json_type(b) = 'OBJECT'
+                         AND (coalesce(CAST(b -> 'next' AS VARCHAR) NOT IN {FALSY_SQL}, false)
+                              OR coalesce(CAST(b -> 'has_more' AS VARCHAR) NOT IN {FALSY_SQL}, false)) AS has_more
+                FROM (SELECT event_id, {API_BODY_SQL} AS b FROM events) x) y) z
+""")
+def json_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", _api_body().alias("body"))
+    return e.select("event_id", J.api_has_more("body").alias("has_more"),
+                    F.posexplode(J.api_records("body")).alias("pos", "rec")) \
+            .select("event_id", "pos", F.get_json_object("rec", "$.k").alias("k"), "has_more")
+
+
+def _file_doc() -> Column:
+    e, p = F.col("event_id"), F.col("props")
+    k = F.get_json_object(p, "$.k")
+    return (F.when(e % 4 == 0, F.concat(F.lit("["), p, F.lit("]")))
+            .when(e % 4 == 1, F.concat(F.lit('{"meta": {"n": 2}, "empty": [], "items": ['), p,
+                                       F.lit(", "), p, F.lit("]}")))
+            .when(e % 4 == 2, F.concat(F.lit('{"empty": [], "x": '), k, F.lit("}")))
+            .otherwise(k))
+
+
+FILE_DOC_SQL = """CASE WHEN event_id % 4 = 0 THEN '[' || props || ']'
+                       WHEN event_id % 4 = 1 THEN '{"meta": {"n": 2}, "empty": [], "items": [' || props || ', ' || props || ']}'
+                       WHEN event_id % 4 = 2 THEN '{"empty": [], "x": ' || (props->>'k') || '}'
+                       ELSE props->>'k' END"""
+
+
+@register("json_file_records", f"""
+    SELECT event_id, CAST(pos - 1 AS INTEGER) AS pos,
+           CASE WHEN json_type(rec) = 'OBJECT' THEN coalesce(rec->>'k', rec->>'x') ELSE CAST(rec AS VARCHAR) END AS value
+    FROM (SELECT event_id, unnest(recs) AS rec, generate_subscripts(recs, 1) AS pos
+          FROM (SELECT event_id,
+                       CASE WHEN json_type(d) = 'ARRAY' THEN json_extract(d, '$[*]')
+                            WHEN event_id % 4 = 1 THEN json_extract(d, '$.items[*]')
+                            ELSE [CAST(d AS JSON)] END AS recs
+                FROM (SELECT event_id, {FILE_DOC_SQL} AS d FROM events) x) y) z
+""")
+def json_file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event rendered as one landed JSON document of a varying shape."""
+    e = table(spark, sf_dir, "events").select("event_id", _file_doc().alias("doc"))
+    r = e.select("event_id", F.posexplode(J.file_records("doc")).alias("pos", "rec"))
+    is_obj = F.substring(F.trim("rec"), 1, 1) == "{"
+    return r.select("event_id", "pos", F.when(is_obj, F.coalesce(
+        F.get_json_object("rec", "$.k"), F.get_json_object("rec", "$.x"))).otherwise(F.col("rec"))
+        .alias("value"))
+
+
+@register("json_flatten", """
+    SELECT event_id AS "event.id", event_type AS "event.type",
+           CAST(props->>'k' AS BIGINT) AS "props.k", '["a","b"]' AS tags, value
+    FROM events
+""")
+def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested JSON lines landed as text, read with an inferred schema and
+    flattened to dotted columns."""
+    path = scratch_dir(spark, "nested_json")
+    e = table(spark, sf_dir, "events")
+    line = F.concat(F.lit('{"event": {"id": '), F.col("event_id").cast("string"),
+                    F.lit(', "type": "'), F.col("event_type"), F.lit('"}, "props": '), F.col("props"),
+                    F.lit(', "value": '), F.col("value").cast("string"),
+                    F.lit(', "tags": ["a", "b"]}'))
+    e.select(line.alias("value")).write.mode("overwrite").text(path)
+    return J.read_json_flat(spark, path)
+
+
+# ------------------------------------------------------------ project API
+
+PROJECT_ROWS_PER_PAGE = 300
+
+
+def _q(x: Column) -> Column:
+    return F.concat(F.lit('"'), x, F.lit('"'))
+
+
+def _dollar(x: Column) -> Column:
+    return F.concat(F.lit('{"$": "'), x, F.lit('"}'))
+
+
+def _project_json(k: Column) -> Column:
+    ks = k.cast("string")
+    start = F.to_date("o_orderdate")
+    code = F.when(k % 3 == 0, _dollar(ks)).when(k % 3 == 1, ks).otherwise(_q(ks))
+    acr = F.concat(F.lit("P"), ks)
+    acronym = F.when(k % 2 == 0, _dollar(acr)).otherwise(_q(acr))
+    sd = F.when(k % 4 != 0, F.concat(F.lit(', "startdate": '), _dollar(F.date_format(start, "yyyy-MM-dd")))) \
+          .otherwise(F.lit(""))
+    ed = F.when(k % 4 != 1, F.concat(F.lit(', "enddate": '), _q(F.date_format(F.date_add(start, 365), "yyyy-MM-dd")))) \
+          .otherwise(F.lit(""))
+    funder = F.when(k % 5 == 0, F.lit('{"shortname": {"$": "EC"}}')).otherwise(
+        F.concat(F.lit('[{"shortname": {"$": "EC"}}, {"shortname": ""}, {"shortname": "'),
+                 F.col("o_orderstatus"), F.lit('"}]')))
+    inner = F.concat(F.lit('{"code": '), code, F.lit(', "acronym": '), acronym,
+                     F.lit(', "title": '), _q(F.col("o_orderpriority")), sd, ed,
+                     F.lit(', "fundingtree": {"funder": '), funder, F.lit("}}"))
+    return F.when(k % 2 == 0, F.concat(F.lit('{"metadata": {"oaf:entity": {"oaf:project": '), inner,
+                                       F.lit("}}}"))) \
+            .otherwise(F.concat(F.lit('{"metadata": '), inner, F.lit("}")))
+
+
+def _total_json(total: Column, page: Column) -> Column:
+    t = total.cast("string")
+    return (F.when(page % 4 == 0, t).when(page % 4 == 1, _q(t))
+            .when(page % 4 == 2, _dollar(t))
+            .otherwise(F.concat(F.lit('{"count": '), t, F.lit("}"))))
+
+
+def project_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders rendered as landed project-API pages ``(source, page, body)``.
+
+    Orders group into pages by key range (at most 300 per page, bounded by
+    construction); each source ends with an empty page followed by a stray
+    copy of its first page, which the fetch rules must ignore.
+    """
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority",
+                                               "o_orderdate")
+    k = F.col("o_orderkey")
+    items = o.select(F.concat(F.lit("proj_"), F.lower("o_orderstatus")).alias("source"),
+                     (F.floor(k / PROJECT_ROWS_PER_PAGE) + 1).cast("bigint").alias("page"),
+                     k.alias("k"), _project_json(k).alias("item"))
+    totals = broadcast_if_small(items.groupBy("source").agg(
+        F.count(F.lit(1)).alias("total"), F.max("page").alias("last_page")), 10_000)
+    pages = items.groupBy("source", "page").agg(
+        F.sort_array(F.collect_list(F.struct("k", "item"))).alias("its"))
+    pages = pages.join(totals, "source")
+    arr = F.transform("its", lambda x: x["item"])
+    result = F.when(F.size(arr) == 1, F.get(arr, 0)) \
+              .otherwise(F.concat(F.lit("["), F.array_join(arr, ", "), F.lit("]")))
+
+    def body(total_page: Column, results: Column) -> Column:
+        return F.concat(F.lit('{"response": {"header": {"total": '),
+                        _total_json(F.col("total"), total_page), F.lit('}, "results": '),
+                        results, F.lit("}}"))
+
+    data = pages.select("source", "page", body(F.col("page"), F.concat(
+        F.lit('{"result": '), result, F.lit("}"))).alias("body"))
+    empty = totals.select("source", (F.col("last_page") + 1).alias("page"),
+                          body(F.col("last_page") + 1, F.lit("{}")).alias("body"))
+    stray = data.filter(F.col("page") == 1).join(totals, "source").select(
+        "source", (F.col("last_page") + 2).alias("page"), "body")
+    return data.unionByName(empty).unionByName(stray)
+
+
+PROJECT_BASE_SQL = f"""
+    SELECT 'proj_' || lower(o_orderstatus) AS source,
+           CAST(o_orderkey // {PROJECT_ROWS_PER_PAGE} + 1 AS BIGINT) AS page, o_orderkey AS k, *
+    FROM orders
+"""
+
+
+@register("project_flatten", f"""
+    SELECT source, page, CAST(row_number() OVER (PARTITION BY source, page ORDER BY k) - 1 AS INTEGER) AS pos,
+           CAST(k AS VARCHAR) AS code, 'P' || CAST(k AS VARCHAR) AS acronym, o_orderpriority AS title,
+           CASE WHEN k % 4 <> 0 THEN strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') END AS start_date,
+           CASE WHEN k % 4 <> 1 THEN strftime(CAST(o_orderdate AS DATE) + 365, '%Y-%m-%d') END AS end_date,
+           CASE WHEN k % 5 = 0 THEN 'EC' ELSE 'EC; ' || o_orderstatus END AS funder
+    FROM ({PROJECT_BASE_SQL}) b
+""")
+def project_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.flatten_projects(project_landing(spark, sf_dir))
+
+
+@register("project_pages", f"""
+    WITH b AS ({PROJECT_BASE_SQL}),
+    per AS (SELECT source, page, count(*) AS n FROM b GROUP BY source, page),
+    tot AS (SELECT source, count(*) AS total, max(page) AS last_page FROM b GROUP BY source),
+    allp AS (SELECT source, page, n FROM per
+             UNION ALL SELECT source, last_page + 1, 0 FROM tot
+             UNION ALL SELECT t.source, t.last_page + 2, p.n FROM tot t JOIN per p
+                       ON p.source = t.source AND p.page = 1)
+    SELECT a.source, a.page, CAST(a.n AS INTEGER) AS n_items, t.total,
+           CAST(ceil(t.total / 100.0) AS BIGINT) AS expected_pages,
+           a.page <= t.last_page AND a.page <= least(ceil(t.total / 100.0) + 5, 1000) AS kept
+    FROM allp a JOIN tot t USING (source)
+""")
+def project_pages_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.project_pages(project_landing(spark, sf_dir))
+
+
+# ------------------------------------------------------------- round trips
+
+# Full microsecond precision (the writers' default keeps milliseconds).
+TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+EVENT_COLS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+
+
+@register("roundtrip_json", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def roundtrip_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "events_json")
+    e = table(spark, sf_dir, "events")
+    e.write.mode("overwrite").option("timestampNTZFormat", TS_FORMAT).json(path)
+    return (spark.read.schema(e.schema).option("timestampNTZFormat", TS_FORMAT).json(path)
+            .select(*EVENT_COLS))
+
+
+@register("roundtrip_csv", """
+    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders
+""")
+def roundtrip_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "orders_csv")
+    o = table(spark, sf_dir, "orders")
+    o.write.mode("overwrite").option("header", True).option("timestampNTZFormat", TS_FORMAT).csv(path)
+    return (spark.read.schema(o.schema).option("header", True)
+            .option("timestampNTZFormat", TS_FORMAT).csv(path))
+
+
+@register("roundtrip_pages", """
+    SELECT page_id, 'page' || CAST(page_id AS VARCHAR) AS source_id, url, md5(html) AS html_md5,
+           CAST(length(html) AS INTEGER) AS html_chars
+    FROM pages
+""")
+def roundtrip_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grantflow.sources.html_pages import read_pages, write_pages
+    path = scratch_dir(spark, "pages")
+    p = table(spark, sf_dir, "pages").select(
+        "page_id", F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("source_id"),
+        "url", "html")
+    write_pages(p, path)
+    back = read_pages(spark, path)
+    return back.select("page_id", "source_id", "url", F.md5("html").alias("html_md5"),
+                       F.length("html").alias("html_chars"))
+
+
+# ------------------------------------------------------------------ landing
+
+LANDING_ROOT = "raw"
+
+
+def land_events(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Events landed as runs: weekly runs per (source, action); every run
+    as JSON, and the runs of two sources also as CSV."""
+    e = table(spark, sf_dir, "events").select(
+        "event_id", "user_id", "event_type", "value", "props",
+        F.concat(F.lit("src_"), (F.col("user_id") % 5).cast("string")).alias("source_name"),
+        F.concat(F.lit("a"), (F.col("event_id") % 2).cast("string")).alias("action"),
+        run_label(F.date_trunc("week", "ts")).alias("run_ts"))
+    L.land(e, root, "json")
+    L.land(e.filter(F.col("source_name").isin("src_0", "src_1")), root, "csv", header=True)
+
+
+@register("landing_latest", f"""
+    WITH e AS (SELECT 'src_' || CAST(user_id % 5 AS VARCHAR) AS source_name,
+                      'a' || CAST(event_id % 2 AS VARCHAR) AS action,
+                      strftime(date_trunc('week', ts), '%Y%m%d_%H%M%S') AS run_ts FROM events),
+    latest AS (SELECT source_name, action, max(run_ts) AS run_ts FROM e GROUP BY 1, 2)
+    SELECT source_name, action, run_ts AS run_label,
+           CASE WHEN source_name IN ('src_0', 'src_1') THEN 'csv' ELSE 'json' END AS format,
+           (SELECT count(*) FROM e WHERE e.source_name = l.source_name AND e.action = l.action
+                                     AND e.run_ts = l.run_ts) AS n_records,
+           '{LANDING_ROOT}/' || source_name || '/' || action AS raw_path
+    FROM latest l
+""")
+def landing_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_dir(spark, "landing")
+    land_events(spark, sf_dir, root)
+    chosen = L.pick_files(L.latest_run_files(L.list_landed(spark, root)))
+    keys = ["source_name", "action", "run_ts"]
+    chosen_runs = chosen.select(*keys, F.col("ext").alias("format")).distinct()
+    schema = "event_id bigint, user_id bigint, event_type string, value double, props string"
+    js = spark.read.schema(schema).option("pathGlobFilter", "*.json").json(root)
+    cs = spark.read.schema(schema).option("header", True).option("pathGlobFilter", "*.csv").csv(root)
+    rows = (js.withColumn("format", F.lit("json")).unionByName(cs.withColumn("format", F.lit("csv")))
+            .select(*[F.col(c).cast("string") for c in keys], "format"))
+    picked = rows.join(chosen_runs, [*keys, "format"], "left_semi")
+    counts = picked.groupBy(*keys, "format").agg(F.count(F.lit(1)).alias("n_records"))
+    return counts.select("source_name", "action", F.col("run_ts").alias("run_label"), "format",
+                         "n_records", raw_path(LANDING_ROOT, F.col("source_name"), F.col("action"))
+                         .alias("raw_path"))
+
+
+# ------------------------------------------------------- ragged page union
+
+RAGGED = [["event_id", "ts", "user_id"], ["event_type"], ["value"], ["props"]]
+
+
+def _ragged_cols(p: int) -> list[str]:
+    return [c for group in RAGGED[: p + 1] for c in group]
+
+
+def _land_ragged(spark: SparkSession, sf_dir: str):
+    """Events split into four pages with growing column sets, written as
+    JSON while counting rows on the way (``observe``: no second pass)."""
+    from pyspark.sql import Observation
+    root = scratch_dir(spark, "ragged")
+    e = table(spark, sf_dir, "events")
+    stats = []
+    for p in range(4):
+        obs = Observation(f"page{p}")
+        part = e.filter(F.col("event_id") % 4 == p).select(*_ragged_cols(p))
+        part.observe(obs, F.count(F.lit(1)).alias("n_records")) \
+            .write.mode("overwrite").json(os.path.join(root, f"page={p}"))
+        stats.append((p, int(obs.get["n_records"]), len(part.columns)))
+    return root, stats
+
+
+@register("load_counts", """
+    SELECT CAST(event_id % 4 AS INTEGER) AS page, count(*) AS n_records,
+           CAST(3 + event_id % 4 AS INTEGER) AS n_columns
+    FROM events GROUP BY 1, 3
+""")
+def load_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, stats = _land_ragged(spark, sf_dir)
+    return spark.createDataFrame(stats, "page int, n_records bigint, n_columns int")
+
+
+@register("union_pages", """
+    SELECT event_id, user_id,
+           CASE WHEN event_id % 4 >= 1 THEN event_type END AS event_type,
+           CASE WHEN event_id % 4 >= 2 THEN value END AS value,
+           CASE WHEN event_id % 4 = 3 THEN props END AS props
+    FROM events
+""")
+def union_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, _ = _land_ragged(spark, sf_dir)
+    parts = [spark.read.json(os.path.join(root, f"page={p}")) for p in range(4)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.select("event_id", "user_id", "event_type", "value", "props")
+
+
+# ------------------------------------------------------------- damaged CSV
+
+DOC_HEADER = "doc_id,lang,source,n_chars,text"
+
+
+def _csv_quote(c: Column) -> Column:
+    return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def write_lines(df: DataFrame, header: str, path: str, encoding: str = "UTF-8") -> None:
+    """Pre-formatted lines (column ``line``) written as-is, ``header`` first
+    in every file (added per partition, so each output file starts with it)."""
+    import pandas as pd
+
+    def with_header(batches):
+        first = True
+        for pdf in batches:
+            if first:
+                pdf = pd.concat([pd.DataFrame({"line": [header]}), pdf], ignore_index=True)
+                first = False
+            yield pdf
+
+    lines = df.select("line").mapInPandas(with_header, "line string")
+    if encoding.upper().replace("-", "") == "UTF8":
+        lines.write.mode("overwrite").text(path)
+        return
+    # Other encodings: the CSV writer with separator/quote characters that
+    # never occur, so each line is written verbatim in ``encoding``.
+    (lines.write.mode("overwrite").option("sep", "\u0001").option("quote", "\u0002")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .option("encoding", encoding).csv(path))
+
+
+def _damaged_docs(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_dir(spark, "docs_csv")
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    full = F.concat_ws(",", k.cast("string"), "lang", "source", F.col("n_chars").cast("string"),
+                       _csv_quote(F.col("text")))
+    line = (F.when(k % 7 == 0, F.concat(full, F.lit(",EXTRA")))
+            .when(k % 11 == 0, F.concat_ws(",", k.cast("string"), "lang"))
+            .otherwise(full))
+    write_lines(d.select(line.alias("line")), DOC_HEADER, path)
+    return path
+
+
+def _na_sql(x: str) -> str:
+    from grantflow.schema import NA_TOKENS
+    toks = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
+    return f"(CASE WHEN {x} IN ({toks}) THEN NULL ELSE {x} END)"
+
+
+@register("csv_tolerant", f"""
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, {_na_sql('lang')} AS lang,
+           CASE WHEN doc_id % 11 = 0 THEN NULL ELSE {_na_sql('source')} END AS source,
+           CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(n_chars AS VARCHAR) END AS n_chars,
+           CASE WHEN doc_id % 11 = 0 THEN NULL ELSE {_na_sql('text')} END AS text
+    FROM documents WHERE doc_id % 7 <> 0
+""")
+def csv_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = CT.read_tolerant_csv(spark, _damaged_docs(spark, sf_dir))
+    kept, _ = CT.split_overflow(rows)
+    return kept.drop("__file")
+
+
+@register("csv_quarantine", """
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'EXTRA' AS overflow FROM documents WHERE doc_id % 7 = 0
+""")
+def csv_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = CT.read_tolerant_csv(spark, _damaged_docs(spark, sf_dir))
+    _, bad = CT.split_overflow(rows)
+    return bad.select("doc_id", F.col(CT.OVERFLOW).alias("overflow"))
+
+
+@register("csv_verify")
+def csv_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-file verdicts over the damaged documents CSV (file count depends
+    on the writer's partitioning, so this one is checked rows-only)."""
+    return CT.verify_files(spark, _damaged_docs(spark, sf_dir))
+
+
+def _latin1_customers(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_dir(spark, "customers_latin1")
+    c = table(spark, sf_dir, "customer")
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"),
+                       F.concat(F.col("c_name"), F.lit(" Müller-Núñez")), "c_mktsegment")
+    odd = c.filter(F.col("c_custkey") % 2 == 1).select(line.alias("line"))
+    even = c.filter(F.col("c_custkey") % 2 == 0).select(line.alias("line"))
+    write_lines(odd, "c_custkey,c_name,c_mktsegment", os.path.join(path, "latin1"), "ISO-8859-1")
+    write_lines(even, "c_custkey,c_name,c_mktsegment", os.path.join(path, "utf8"), "UTF-8")
+    return path
+
+
+@register("csv_latin1", """
+    SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || ' Müller-Núñez' AS c_name, c_mktsegment
+    FROM customer
+""")
+def csv_latin1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half the files in ISO-8859-1, half in UTF-8: invalid UTF-8 files are re-read as Latin-1."""
+    root = _latin1_customers(spark, sf_dir)
+    rows = CT.read_tolerant_csv(spark, os.path.join(root, "*"), multiline=False)
+    kept, _ = CT.split_overflow(rows)
+    return kept.drop("__file")
+
+
+@register("csv_sniff", """
+    SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus,
+           CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS o_totalprice, o_orderpriority
+    FROM orders
+""")
+def csv_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders landed with ';' (and ``|`` for a third of them); each file's
+    delimiter is sniffed from its head and the files are read per delimiter."""
+    path = scratch_dir(spark, "orders_sniff")
+    o = table(spark, sf_dir, "orders")
+    cols = [F.col("o_orderkey").cast("string"), F.col("o_orderstatus"),
+            F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.col("o_orderpriority")]
+    names = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+    third = F.col("o_orderkey") % 3 == 0
+    write_lines(o.filter(~third).select(F.concat_ws(";", *cols).alias("line")), ";".join(names),
+                os.path.join(path, "semi"))
+    write_lines(o.filter(third).select(F.concat_ws("|", *cols).alias("line")), "|".join(names),
+                os.path.join(path, "pipe"))
+    glob = os.path.join(path, "*")
+    seps = CT.sniff_delimiter(spark, glob)
+    # One sample file per delimiter found (at most the four candidates).
+    samples = seps.groupBy("delimiter").agg(F.min("path").alias("path")).collect()
+    out = None
+    for sep, sample in sorted((r[0], r[1]) for r in samples):
+        files = seps.filter(F.col("delimiter") == sep).select(F.col("path").alias("__file"))
+        header = CT.header_names(spark, sample, sep)
+        part = CT.read_tolerant_csv(spark, glob, sep=sep, multiline=False, detect_encoding=False,
+                                    names=header)
+        part = part.join(F.broadcast(files), "__file", "left_semi")
+        kept, _ = CT.split_overflow(part)
+        kept = kept.select(*names)
+        out = kept if out is None else out.unionByName(kept)
+    return out
+
+
+@register("header_offset", """
+    SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer
+""")
+def header_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose header sits on line 2 under a title line."""
+    path = scratch_dir(spark, "customers_offset")
+    c = table(spark, sf_dir, "customer")
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment")
+    write_lines(c.select(line.alias("line")), "Customer export\nc_custkey,c_name,c_mktsegment", path)
+    rows = CT.read_tolerant_csv(spark, path, header_row=1, multiline=False)
+    kept, _ = CT.split_overflow(rows)
+    return kept.drop("__file")
+
+
+# --------------------------------------------------------------- streaming
+
+@register("stream_ingest", _conformed_out_sql("first_column").replace(
+    "SELECT grant_id,", "SELECT source_id, grant_id,", 1))
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed grant files ingested incrementally (AvailableNow); the result
+    equals the batch conform of the same rows."""
+    p = paths(scratch_dir(spark, "stream"))
+    g = landing_frame(spark, sf_dir).drop("row_no")
+    for part in range(4):   # four landing drops -> several micro-batches
+        g.filter(F.abs(F.hash("Project/Area Number")) % 4 == part) \
+         .write.mode("append").parquet(p["landing"])
+    ingest_landing(spark, p["landing"], g.schema, p["grants"], p["checkpoint"], p["ingest_runs"],
+                   files_per_trigger=2)
+    out = spark.read.parquet(p["grants"])
+    return portable(out.select("source_id", *CONFORMED_OUT, "quarantine_reasons"))
+
+
+__all__ = ["LANDING_SQL"]
