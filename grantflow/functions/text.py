@@ -24,6 +24,14 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def labels(*flags: Column) -> Column:
+    """array<string> of the non-null labels among ``flags`` (each a
+    ``when(cond, 'label')``), built with codegen-friendly ``concat_ws`` +
+    ``split`` instead of a lambda filter.  Labels must not contain ``,``."""
+    joined = F.concat_ws(",", *flags)
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, ","))
+
+
 def py_strip(c: Column | str) -> Column:
     """Strip leading/trailing whitespace the way Python's ``strip()`` does."""
     return F.regexp_replace(_col(c), STRIP_RE, "")

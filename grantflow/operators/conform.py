@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantflow.functions.dates import parse_date, split_period
-from grantflow.functions.text import split_name
+from grantflow.functions.text import labels, split_name
 from grantflow.schema import AMOUNT_TYPE, GRANT_FIELDS, PERCENT_TYPE, PROTOTYPE_MAPPING
 
 # Typed targets; any other target stays a string.
@@ -104,7 +104,7 @@ def conform(df: DataFrame, mapping=PROTOTYPE_MAPPING, policy: str = "first_colum
         else:
             raise ValueError(f"unknown conform policy {policy!r}")
         out.append(value.alias(field))
-    reason_arr = F.array_compact(F.array(*reasons)) if reasons else F.array().cast("array<string>")
+    reason_arr = labels(*reasons) if reasons else F.array().cast("array<string>")
     return df.select(*[F.col(f"`{k}`") for k in keep], *out,
                      reason_arr.alias("quarantine_reasons"))
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grantflow.functions.text import labels
 from grantflow.schema import REQUIRED_GRANT_FIELDS, ROLES
 
 # Shapes of codes and identifiers.
@@ -35,7 +36,7 @@ def violation_checks(required=REQUIRED_GRANT_FIELDS) -> list[Column]:
 def validate(grants: DataFrame) -> DataFrame:
     """Adds ``violations`` (array<string>, empty when valid) and ``null_amount``."""
     return grants.withColumns({
-        "violations": F.array_compact(F.array(*violation_checks())),
+        "violations": labels(*violation_checks()),
         "null_amount": F.col("amount").isNull(),
     })
 

@@ -15,13 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantflow.operators.joins import broadcast_if_small
+from grantflow.session import spread
 
 AS_OF = "2024-02-01 00:00:00"
 NATION_MAX_ROWS = 10_000
 
 
+# Text tables whose per-row work (regex, HTML, JSON over long strings) is
+# heavy enough to spread when the scan comes out under-partitioned.
+FACT_TABLES = {"documents", "pages", "conversations"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if name in FACT_TABLES else df
 
 
 # ---------------------------------------------------------------- landing G

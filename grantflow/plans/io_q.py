@@ -539,8 +539,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in range(4):   # four landing drops -> several micro-batches
         g.filter(F.abs(F.hash("Project/Area Number")) % 4 == part) \
          .write.mode("append").parquet(p["landing"])
-    ingest_landing(spark, p["landing"], g.schema, p["grants"], p["checkpoint"], p["ingest_runs"],
-                   files_per_trigger=2)
+    ingest_landing(spark, p["landing"], g.schema, p["grants"], p["checkpoint"], p["ingest_runs"])
     out = spark.read.parquet(p["grants"])
     return portable(out.select("source_id", *CONFORMED_OUT, "quarantine_reasons"))
 

@@ -64,3 +64,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if "://" not in path or path.startswith("file:"):
         os.makedirs(path.removeprefix("file:"), exist_ok=True)
     return path
+
+
+def spread(df):
+    """Round-robin an under-partitioned input over the cluster's cores.
+
+    A no-op (no shuffle) when the input already has at least as many
+    partitions as the default parallelism — the normal case for large
+    inputs; it only helps small files with a single row group.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
