@@ -52,14 +52,20 @@ def dedupe_names(names: list[str]) -> list[str]:
 
 def header_names(spark: SparkSession, path: str, sep: str = ",",
                  encoding: str = "UTF-8", header_row: int = 0) -> list[str]:
-    """Header of the first file under ``path`` (reads only its first lines)."""
+    """Column names from the header of the first file under ``path``."""
+    return dedupe_names(header_tokens(spark, path, sep, encoding, header_row))
+
+
+def header_tokens(spark: SparkSession, path: str, sep: str = ",",
+                  encoding: str = "UTF-8", header_row: int = 0) -> list[str]:
+    """Raw fields of line ``header_row`` of the first file (reads only its first lines)."""
     lines = (spark.read.option("encoding", encoding).text(path)
              .filter(F.col("_metadata.file_path") == F.lit(_first_file(spark, path)))
              .limit(header_row + 1).collect())
     if len(lines) <= header_row:
         return []
     row = next(csv.reader(io.StringIO(lines[header_row][0]), delimiter=sep))
-    return dedupe_names([c.strip("﻿") for c in row])
+    return [c.strip("\ufeff") for c in row]
 
 
 def _first_file(spark: SparkSession, path: str) -> str:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantflow.functions.text import na_to_null
-from grantflow.sources.catalog import header_names, string_schema
+from grantflow.sources.catalog import dedupe_names, header_names, header_tokens, string_schema
 
 OVERFLOW = "__overflow"
 DELIMITERS = [",", ";", "\t", "|"]
@@ -60,8 +60,9 @@ def read_tolerant_csv(spark: SparkSession, path: str, sep: str = ",", header_row
     Preamble and header lines are recognised by content (they equal the
     first file's lines), so the read stays splittable across files.
     """
-    names = names or header_names(spark, path, sep, header_row=header_row)
-    preamble = [header_names(spark, path, sep, header_row=i) for i in range(header_row)]
+    raw_header = header_tokens(spark, path, sep, header_row=header_row) if names is None else names
+    names = names or dedupe_names(raw_header)
+    preamble = [header_tokens(spark, path, sep, header_row=i) for i in range(header_row)]
 
     def read(encoding: str) -> DataFrame:
         return (_reader(spark, names, sep, encoding, quote, multiline).csv(path)
@@ -81,7 +82,7 @@ def read_tolerant_csv(spark: SparkSession, path: str, sep: str = ",", header_row
             cond = cond & (c.isNull() if tok in (None, "") else (c == F.lit(tok)))
         return cond
 
-    for line in [names] + preamble:
+    for line in [raw_header] + preamble:
         df = df.filter(~same_as(line))
     # Blank lines are skipped by the reader; rows of only nulls are dropped.
     df = df.filter(F.coalesce(*[F.col(f"`{n}`") for n in names + [OVERFLOW]]).isNotNull())
@@ -142,7 +143,8 @@ def verify_files(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     ``strict`` (parses, no bad rows) > ``skip_bad`` (parses once over-long
     rows are skipped) > ``unparsed_nonempty`` (no rows but bytes present)
     > ``empty``.  ``success`` is true for every non-empty file;
-    ``verification_passed`` only when rows were parsed.
+    ``verification_passed`` only when rows were parsed.  Zero-byte files
+    are skipped by Spark's file listing and so get no row (= not a success).
     """
     listing = (spark.read.format("binaryFile").load(path)
                .select(F.col("path").alias("__file"), F.col("length").alias("n_bytes")))
