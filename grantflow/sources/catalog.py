@@ -64,7 +64,7 @@ def header_tokens(spark: SparkSession, path: str, sep: str = ",",
              .limit(header_row + 1).collect())
     if len(lines) <= header_row:
         return []
-    row = next(csv.reader(io.StringIO(lines[header_row][0]), delimiter=sep))
+    row = next(csv.reader(io.StringIO(lines[header_row][0]), delimiter=sep), [])
     return [c.strip("\ufeff") for c in row]
 
 

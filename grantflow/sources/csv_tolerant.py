@@ -62,6 +62,9 @@ def read_tolerant_csv(spark: SparkSession, path: str, sep: str = ",", header_row
     """
     raw_header = header_tokens(spark, path, sep, header_row=header_row) if names is None else names
     names = names or dedupe_names(raw_header)
+    if not [n for n in names if n.strip()]:
+        # A dataset without header columns is skipped (no columns to map).
+        return spark.createDataFrame([], f"`{OVERFLOW}` string, __file string")
     preamble = [header_tokens(spark, path, sep, header_row=i) for i in range(header_row)]
 
     def read(encoding: str) -> DataFrame:

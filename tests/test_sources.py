@@ -175,3 +175,13 @@ def test_landing_listing(spark, tmpdir_):
     assert {r.run_ts for r in latest.collect()} == {"20240201_000000"}
     picked = L.pick_files(latest).collect()
     assert [r.file_name for r in picked] == ["data.csv"]
+
+
+def test_csv_quote_none_and_empty_header(spark, tmpdir_):
+    d = os.path.join(tmpdir_, "q")
+    write(d, "q.csv", 'id,text\n1,He said "hi\n2,ok\n')
+    rows = CT.read_tolerant_csv(spark, d, quote="", multiline=False)
+    assert sorted((r["id"], r["text"]) for r in rows.collect()) == [("1", 'He said "hi'), ("2", "ok")]
+    e = os.path.join(tmpdir_, "e")
+    write(e, "e.csv", "\n1,2\n")
+    assert CT.read_tolerant_csv(spark, e, multiline=False).count() == 0
