@@ -35,12 +35,16 @@ def split_period(c: Column | str) -> Column:
 
     Exactly two parts are required; any other count gives two nulls and
     ``period_ok = false`` (the row is then quarantined with a reason).
+    Literal-string functions only (no per-row regex): the part count is the
+    separator count plus one.
     """
-    parts = period_parts(c)
-    ok = F.coalesce(F.size(parts) == 2, F.lit(False))
+    col = _col(c)
+    sep = F.lit(PERIOD_SEPARATOR)
+    n_sep = (F.length(col) - F.length(F.replace(col, sep, F.lit("")))) / len(PERIOD_SEPARATOR)
+    ok = F.coalesce(n_sep == 1, F.lit(False))
     return F.struct(
-        F.when(ok, parse_date(F.get(parts, 0))).alias("start_date"),
-        F.when(ok, parse_date(F.get(parts, 1))).alias("end_date"),
+        F.when(ok, parse_date(F.substring_index(col, PERIOD_SEPARATOR, 1))).alias("start_date"),
+        F.when(ok, parse_date(F.substring_index(col, PERIOD_SEPARATOR, -1))).alias("end_date"),
         ok.alias("period_ok"),
     )
 

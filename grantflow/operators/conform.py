@@ -117,7 +117,10 @@ def split_quarantine(conformed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def quarantine_reason_counts(conformed: DataFrame) -> DataFrame:
     """``reason, n_rows`` over all quarantined rows (partial aggregation)."""
-    return (conformed.select(F.explode("quarantine_reasons").alias("reason"))
+    # explode_outer + filter: a plain explode makes the optimizer infer a
+    # size(...) > 0 filter and push the whole reason expression below joins.
+    return (conformed.select(F.explode_outer("quarantine_reasons").alias("reason"))
+            .filter(F.col("reason").isNotNull())
             .groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows")))
 
 

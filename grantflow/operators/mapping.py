@@ -86,7 +86,8 @@ def validate_mapping(spark: SparkSession, mappings: DataFrame) -> tuple[DataFram
 def explode_mapping(df: DataFrame, mapping_col: str = "mapping") -> DataFrame:
     """``map<source_col,target_col>`` -> one row per entry."""
     return df.select(*[c for c in df.columns if c != mapping_col],
-                     F.explode(mapping_col).alias("source_col", "target_col"))
+                     F.explode_outer(mapping_col).alias("source_col", "target_col")) \
+             .filter(F.col("source_col").isNotNull())
 
 
 def cache_split(datasets: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:

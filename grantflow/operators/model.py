@@ -72,8 +72,13 @@ def grant_parties(keyed: DataFrame) -> DataFrame:
             .dropDuplicates())
 
 
-def normalise(grants: DataFrame) -> dict[str, DataFrame]:
+def normalise(grants: DataFrame, materialize: bool = False) -> dict[str, DataFrame]:
+    """The four relational tables.  With ``materialize`` the keyed rows are
+    checkpointed (shared checkpoint folder) once, so building all four
+    tables reads them back instead of recomputing the input four times."""
     keyed = with_keys(grants)
+    if materialize:
+        keyed = keyed.checkpoint()
     return {
         "grant_project": grant_projects(keyed),
         "organization": organizations(keyed),

@@ -163,7 +163,7 @@ REASSEMBLED_OUT = ["grant_id", "project_title", "start_date", "end_date", "amoun
     FROM ({conformed_sql()}) cg
 """)
 def reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = model.normalise(conformed(spark, sf_dir))
+    tables = model.normalise(conformed(spark, sf_dir), materialize=True)
     return portable(model.reassemble(tables).select(*REASSEMBLED_OUT))
 
 
@@ -191,7 +191,7 @@ def pk_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
       AND organization_name IS NOT NULL AND investigator_family_name LIKE '%7'
 """)
 def fk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = model.normalise(conformed(spark, sf_dir))
+    tables = model.normalise(conformed(spark, sf_dir), materialize=True)
     inv = tables["investigator"].withColumn(
         "organization_id",
         F.when(F.col("family_name").endswith("7"),

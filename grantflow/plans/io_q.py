@@ -60,7 +60,8 @@ FALSY_SQL = "('null', 'false', '0', '0.0', '\"\"', '[]', '{}', '')"
 def json_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", _api_body().alias("body"))
     return e.select("event_id", J.api_has_more("body").alias("has_more"),
-                    F.posexplode(J.api_records("body")).alias("pos", "rec")) \
+                    F.posexplode_outer(J.api_records("body")).alias("pos", "rec")) \
+            .filter(F.col("pos").isNotNull()) \
             .select("event_id", "pos", F.get_json_object("rec", "$.k").alias("k"), "has_more")
 
 
@@ -93,7 +94,8 @@ FILE_DOC_SQL = """CASE WHEN event_id % 4 = 0 THEN '[' || props || ']'
 def json_file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event rendered as one landed JSON document of a varying shape."""
     e = table(spark, sf_dir, "events").select("event_id", _file_doc().alias("doc"))
-    r = e.select("event_id", F.posexplode(J.file_records("doc")).alias("pos", "rec"))
+    r = e.select("event_id", F.posexplode_outer(J.file_records("doc")).alias("pos", "rec")) \
+         .filter(F.col("pos").isNotNull())
     is_obj = F.substring(F.trim("rec"), 1, 1) == "{"
     return r.select("event_id", "pos", F.when(is_obj, F.coalesce(
         F.get_json_object("rec", "$.k"), F.get_json_object("rec", "$.x"))).otherwise(F.col("rec"))

@@ -139,7 +139,8 @@ def fence_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mapping_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations")
     m = T.parse_mapping(T.strip_fences_braces(_wrap(_mapping_payload(), braces=False)))
-    return conv.select("conv_id", "turn", F.explode(m).alias("source_col", "target_col"))
+    return conv.select("conv_id", "turn", F.explode_outer(m).alias("source_col", "target_col")) \
+               .filter(F.col("source_col").isNotNull())
 
 
 def _records_sql() -> str:
@@ -163,7 +164,8 @@ def _records_sql() -> str:
 def records_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations")
     recs = T.parse_records(T.strip_fences(_wrap(_records_payload(), braces=False)))
-    ex = conv.select("conv_id", "turn", F.posexplode(recs).alias("pos", "rec"))
+    ex = conv.select("conv_id", "turn", F.posexplode_outer(recs).alias("pos", "rec")) \
+             .filter(F.col("pos").isNotNull())
     known = F.array(*[F.lit(f) for f in T.RECORD_FIELDS])
     return ex.select(
         "conv_id", "turn", "pos",
@@ -268,7 +270,8 @@ def cost_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = F.floor("o_totalprice").cast("bigint") - first
     s = F.concat(y.cast("string"), F.lit(":"), first.cast("string"), F.lit(" "),
                  (y + 1).cast("string"), F.lit(":"), rest.cast("string"))
-    return o.select("o_orderkey", F.explode(T.cost_breakdown(s)).alias("year", "amount"))
+    return o.select("o_orderkey", F.explode_outer(T.cost_breakdown(s)).alias("year", "amount")) \
+            .filter(F.col("year").isNotNull())
 
 
 KEYWORDS_SQL = "o_orderpriority || ' / ' || o_orderstatus || ' / ' || CAST(year(o_orderdate) AS VARCHAR)"
@@ -282,7 +285,8 @@ KEYWORDS_SQL = "o_orderpriority || ' / ' || o_orderstatus || ' / ' || CAST(year(
 def keyword_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     s = F.concat_ws(" / ", "o_orderpriority", "o_orderstatus", F.year("o_orderdate").cast("string"))
-    return o.select("o_orderkey", F.posexplode(T.keyword_list(s)).alias("pos", "keyword"))
+    return o.select("o_orderkey", F.posexplode_outer(T.keyword_list(s)).alias("pos", "keyword")) \
+            .filter(F.col("pos").isNotNull())
 
 
 FLAG_SQL = """CASE WHEN event_id % 7 = 0 THEN NULL

@@ -95,7 +95,8 @@ def read_json_files(spark: SparkSession, path: str) -> DataFrame:
     files = (spark.read.option("wholetext", True).text(path)
              .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
              .filter(~F.col("path").endswith("/metadata.json")))
-    return files.select("path", F.posexplode(file_records("text")).alias("row_no", "record"))
+    return files.select("path", F.posexplode_outer(file_records("text")).alias("row_no", "record")) \
+                .filter(F.col("row_no").isNotNull())
 
 
 def flatten_columns(df: DataFrame, sep: str = ".") -> DataFrame:
@@ -191,17 +192,27 @@ def project_fields(p: Column) -> Column:
     )
 
 
+def page_stats(pages: DataFrame, source: str = "source", page: str = "page",
+               body: str = "body") -> DataFrame:
+    """One small row per landed page: item count and announced total."""
+    return pages.select(source, page, F.size(project_results(body)).alias("n_items"),
+                        project_total(body).alias("total"))
+
+
 def project_pages(pages: DataFrame, source: str = "source", page: str = "page",
-                  body: str = "body") -> DataFrame:
+                  body: str = "body", materialize: bool = True) -> DataFrame:
     """Per landed page: item count, announced total/pages and whether the
     fetch loop would have kept it (before the first empty page, within
     ``pages + 5`` and the 1000-page cap).
 
-    The first empty page per source is an aggregate (min), joined back on
-    the source key — no window over a possibly huge source.
+    The per-page stats (one small row per page) are checkpointed to the
+    shared checkpoint folder so the page bodies are parsed once for all
+    three uses; the first empty page per source is an aggregate (min)
+    joined back on the source key — no window over a possibly huge source.
     """
-    per = pages.select(source, page, F.size(project_results(body)).alias("n_items"),
-                       project_total(body).alias("total"))
+    per = page_stats(pages, source, page, body)
+    if materialize:
+        per = per.checkpoint()
     stop = per.filter(F.col("n_items") == 0).groupBy(source).agg(F.min(page).alias("__stop"))
     announced = per.filter(F.col(page) == 1).select(
         source, F.ceil(F.col("total") / F.lit(PAGE_SIZE)).cast("bigint").alias("expected_pages"))
@@ -219,6 +230,9 @@ def flatten_projects(pages: DataFrame, source: str = "source", page: str = "page
     """Kept pages -> one flat row per project."""
     kept = project_pages(pages, source, page, body).filter("kept").select(source, page)
     rows = pages.join(kept, [source, page], "left_semi")
-    return rows.select(source, page, F.posexplode(project_results(body)).alias("pos", "p")) \
+    # posexplode_outer + filter keeps the optimizer from inferring (and
+    # pushing down) a size() filter that would parse every body twice.
+    return rows.select(source, page, F.posexplode_outer(project_results(body)).alias("pos", "p")) \
+               .filter(F.col("pos").isNotNull()) \
                .select(source, page, "pos", project_fields(F.col("p")).alias("f")) \
                .select(source, page, "pos", "f.*")
