@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grantflow.llm import exact, mixing, packing
+from grantflow.llm import exact, mixing, packing, repair
 from grantflow.llm.store import table
 
 
@@ -15,6 +15,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder, manifest = repair.write_shards(docs, "word_bpe_49k.json", end_id=1)
+    return repair.read_shards(folder, manifest, docs.schema["doc_id"].dataType.simpleString()) \
+        .withColumnRenamed("id", "doc_id")
+
+
 def op9_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=1)
     return out.withColumnRenamed("id", "doc_id")
@@ -27,6 +34,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_repair_shards": op6_repair_shards,
     "op9_pack_windows": op9_pack_windows,
     "op10_mix_sources": op10_mix_sources,
 }
