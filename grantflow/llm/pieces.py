@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHE_SIZE = 800_000
 CACHED_CHARS = 48
@@ -141,6 +142,19 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of bounded text size; a longer text is a slice."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and (i - start >= BATCH_TEXTS or total + n > BATCH_CHARS):
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def id_rows(file: str, end_id: int | None):
     """``mapInArrow`` function: (id, text) batches -> (id, ids, n_tokens).
 
@@ -151,8 +165,7 @@ def id_rows(file: str, end_id: int | None):
         tok = token_ids(vocabulary(file))
         end = b"" if end_id is None else np.array([end_id], tok.dtype).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_TEXTS):
-                part = batch.slice(at, BATCH_TEXTS)
+            for part in text_slices(batch, 1):
                 ids = [x + end for x in tok.encode(part.column(1).to_pylist())]
                 n = [len(x) // tok.dtype.itemsize for x in ids]
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.large_binary()).cast(pa.binary()),

@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grantflow.llm import exact, mixing, packing, repair
+from grantflow.llm import exact, mixing, packing, repair, token_counts
 from grantflow.llm.store import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts.prefix_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", budget=512)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens",
+                      (F.col("n_tokens") > 512).alias("over_limit"), "fit_chars")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact.duplicates(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -33,6 +39,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_repair_shards": op6_repair_shards,
     "op9_pack_windows": op9_pack_windows,
