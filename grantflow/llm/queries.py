@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grantflow.llm import exact, mixing, packing, repair, simhash, token_counts
+from grantflow.llm import exact, mixing, packing, repair, simhash, token_counts, warc
 from grantflow.llm.store import table
 
 
@@ -21,6 +21,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder, index = warc.normalise(spark, warc.write_monolithic(spark, pages))
+    kind = pages.schema["page_id"].dataType
+    return warc.read_records(folder, index).select(
+        F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact.duplicates(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -46,6 +55,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
+    "op3_warc": op3_warc,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_repair_shards": op6_repair_shards,
     "op9_pack_windows": op9_pack_windows,
@@ -53,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc": warc.ORACLE_SQL,
     "op4_exact_dedup": exact.ORACLE_SQL,
     "op10_mix_sources": mixing.ORACLE_SQL,
 }
