@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grantflow.llm import exact, mixing, packing, repair, simhash, token_counts, warc
+from grantflow.llm import ann, exact, mixing, packing, repair, simhash, token_counts, warc
 from grantflow.llm.store import table
 
 
@@ -42,6 +42,10 @@ def op6_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumnRenamed("id", "doc_id")
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=1)
     return out.withColumnRenamed("id", "doc_id")
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_repair_shards": op6_repair_shards,
+    "op7_nearest": op7_nearest,
     "op9_pack_windows": op9_pack_windows,
     "op10_mix_sources": op10_mix_sources,
 }
