@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grantflow.llm import ann, exact, mixing, packing, repair, simhash, token_counts, warc
+from grantflow.llm import ann, exact, langid, mixing, packing, repair, simhash, token_counts, toxicity, warc
 from grantflow.llm.store import table
 
 
@@ -35,6 +35,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op6_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder, manifest = repair.write_shards(docs, "word_bpe_49k.json", end_id=1)
@@ -46,6 +51,10 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=1)
     return out.withColumnRenamed("id", "doc_id")
@@ -61,8 +70,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_warc": op3_warc,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_repair_shards": op6_repair_shards,
     "op7_nearest": op7_nearest,
+    "op8_language": op8_language,
     "op9_pack_windows": op9_pack_windows,
     "op10_mix_sources": op10_mix_sources,
 }

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from grantflow.llm.learning import bounded_sample, held_out
-from grantflow.llm.pieces import ragged, space_chunks, text_slices
+from grantflow.llm.chunks import ragged, space_chunks, text_slices
 
 BUCKETS = 1 << 20
 SAMPLE_PER_LABEL = 5_000
