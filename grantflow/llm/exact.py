@@ -71,6 +71,17 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.lower(F.hex("l.sha")).alias("text_sha256"))
 
 
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with the columns of ``docs``.  Rows meet their
+    decision on id and digest; of rows that repeat both, any one stays."""
+    kept = duplicates(docs, id_col, text_col).where("kept").select("id", F.unhex("text_sha256").alias("sha"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"),
+                       F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("sha"))
+    return (rows.alias("r").join(kept.alias("k"), F.col("r.id").eqNullSafe(F.col("k.id"))
+                                 & (F.col("r.sha") == F.col("k.sha")), "left_semi")
+            .dropDuplicates(["id", "sha"]).select("row.*"))
+
+
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)

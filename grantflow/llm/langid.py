@@ -188,13 +188,19 @@ def _predict(net: Network | None):
                     for i, row in enumerate(rows.tolist()):
                         names[row], scores[row] = net.langs[best[i]], total[i, best[i]]
                 yield pa.record_batch([part.column(0), pa.array(names), pa.array(scores)],
-                                      names=["id", "lang_pred", "score"])
+                                      names=["row", "lang_pred", "score"])
     return run
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: id, held_out, lang_pred, score."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(_predict(train(docs, id_col, text_col, lang_col)), f"id {kind}, lang_pred string, score double")
-    return out.select("id", held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+             carry: bool = False) -> DataFrame:
+    """One row per document: id, held_out, lang_pred, score; with ``carry``
+    also ``row``, the input row as a struct."""
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry else [id_col])])
+    rows = docs.select(row.alias("row"), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    out = rows.mapInArrow(_predict(train(docs, id_col, text_col, lang_col)),
+                          f"row {kind}, lang_pred string, score double")
+    doc_id = F.col("row")[id_col]
+    return out.select(doc_id.alias("id"), held_out(doc_id).alias("held_out"), "lang_pred", "score",
+                      *(["row"] if carry else []))

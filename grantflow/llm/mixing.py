@@ -91,15 +91,15 @@ def _boundary(rows: DataFrame, budgets: DataFrame, level: int) -> DataFrame:
         .select("source", "x.b", "x.budget")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source") -> DataFrame:
-    """One row per document: id, h, size, source, source_size, target, copies, taken."""
-    rows = staged(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-        word_count(F.col(text_col)).alias("size"),
-        row_hash(F.col(id_col), F.col(text_col)).alias("h")), "mix-rows")
-    sources = staged(source_targets(rows), "mix-sources")
+def plan(rows: DataFrame) -> DataFrame:
+    """(source, size, h) rows -> source, b, source_size, target, full, theta:
+    a document whose hash has the leading bits b is taken ``full`` times, and
+    once more if its hash is below ``theta``.
 
+    One row per source and leading bits: documents meet the plan on that
+    pair, so a large source is spread over its buckets.
+    """
+    sources = staged(source_targets(rows), "mix-sources")
     level_rows, budgets = rows, sources.select("source", "budget")
     theta = sources.select("source", F.lit(0).cast("long").alias("theta"))
     for level in range(LEVELS):
@@ -113,20 +113,43 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 level_rows.alias("r").join(cut.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source"))
                                            & (_bucket(level) == F.col("c.b")), "left_semi"),
                 f"mix-level{level}")
-
-    plan = (sources.alias("s").join(theta.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")), "left")
-            .select("s.*", "theta"))
-    # One row per (source, leading bits): documents meet it on that pair, so a
-    # large source is spread over its buckets.
+    found = (sources.alias("s").join(theta.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")), "left")
+             .select("s.*", "theta"))
     keys = rows.groupBy("source", _bucket(0).alias("b")).agg(F.lit(1).alias("one"))
-    plan = staged(keys.alias("k").join(plan.alias("p"), F.col("k.source").eqNullSafe(F.col("p.source")))
+    return staged(keys.alias("k").join(found.alias("p"), F.col("k.source").eqNullSafe(F.col("p.source")))
                   .select("k.source", "k.b", "source_size", "target", "full", "theta"), "mix-plan")
+
+
+def with_plan(rows: DataFrame, planned: DataFrame) -> DataFrame:
+    """Rows that have source and h, with source_size, target and copies."""
     out = rows.withColumn("b", _bucket(0)).alias("r").join(
-        plan.alias("p"), (F.col("r.b") == F.col("p.b")) & F.col("r.source").eqNullSafe(F.col("p.source")))
+        planned.alias("p"), (F.col("r.b") == F.col("p.b")) & F.col("r.source").eqNullSafe(F.col("p.source")))
     copies = F.col("full") + F.when(F.col("h") < F.col("theta"), 1).otherwise(0)
-    return out.select("r.id", "r.h", "r.size", "r.source", "source_size", "target",
-                      copies.cast("long").alias("copies"),
-                      (copies * F.col("size")).cast("long").alias("taken"))
+    return out.select(*[f"r.{c}" for c in rows.columns], "source_size", "target",
+                      copies.cast("long").alias("copies"))
+
+
+def sized(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """What mixing needs of a document: id, source, size, h."""
+    return [F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+            word_count(F.col(text_col)).alias("size"), row_hash(F.col(id_col), F.col(text_col)).alias("h")]
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+        source_col: str = "source") -> DataFrame:
+    """One row per document: id, source, size, h, source_size, target, copies, taken."""
+    rows = staged(docs.select(*sized(id_col, text_col, source_col)), "mix-rows")
+    return with_plan(rows, plan(rows)).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          source_col: str = "source") -> DataFrame:
+    """The documents of the mix, each as often as it is taken."""
+    need = sized(id_col, text_col, source_col)
+    rows = staged(docs.select(*need), "mix-rows")
+    whole = docs.select(*need, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    taken = with_plan(whole.select("source", "h", "row"), plan(rows)).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 #: The same rule in DuckDB SQL: documents below the threshold are those whose

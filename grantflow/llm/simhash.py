@@ -63,7 +63,8 @@ def _fingerprints(width: int):
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 fps = np.fromiter((fingerprint(t.as_py(), width) for t in part.column(1)), np.uint64, part.num_rows)
-                yield pa.record_batch([part.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+                yield pa.record_batch([part.column(0), part.column(2), pa.array(fps.view(np.int64))],
+                                      names=["id", "text_hash", "fp"])
     return run
 
 
@@ -122,17 +123,33 @@ def links(fps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     width: int = 3) -> DataFrame:
-    """One row per document: id, fp (signed long), component_id."""
+    """One row per document: id, text_hash (XXH64 of the text), fp (signed
+    long), component_id, and kept: the component's row with the smallest id
+    (of rows with that id, the smallest text_hash)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = staged(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-                  .mapInArrow(_fingerprints(width), f"id {kind}, fp long"), "simhash-rows")
-    fps = staged(rows.groupBy("fp").agg(F.min("id").alias("id")), "simhash-fps")
+    text = F.col(text_col).cast("string")
+    rows = staged(docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+                  .mapInArrow(_fingerprints(width), f"id {kind}, text_hash long, fp long"), "simhash-rows")
+    mine = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+    fps = staged(rows.groupBy("fp").agg(F.min(mine).alias("least")), "simhash-fps")
     roots = components(links(fps.select("fp")))
     rooted = staged(fps.join(roots, F.col("fp") == F.col("node"), "left")
-                    .select("fp", "id", F.coalesce("root", "fp").alias("root")), "simhash-roots")
-    names = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = staged(rooted.join(staged(names, "simhash-names"), "root").select("fp", "component_id"), "simhash-named")
-    return rows.join(named, "fp").select("id", "fp", "component_id")
+                    .select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    least = staged(rooted.groupBy("root").agg(F.min("least").alias("least")), "simhash-least")
+    named = staged(rooted.select("fp", "root").join(least, "root").select("fp", "least"), "simhash-named")
+    return rows.join(named, "fp").select(
+        "id", "text_hash", "fp", F.col("least.id").alias("component_id"), mine.eqNullSafe(F.col("least")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """One row of each component, with the columns of ``docs``.  Rows meet
+    their decision on id and text hash, so rows that repeat both stay or go
+    together; drop exact duplicates first."""
+    kept = near_duplicates(docs, id_col, text_col, width).where("kept").select("id", "text_hash").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"),
+                       F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+    return rows.alias("r").join(kept.alias("k"), F.col("r.id").eqNullSafe(F.col("k.id"))
+                                & (F.col("r.text_hash") == F.col("k.text_hash")), "left_semi").select("row.*")
 
 
 def as_hex(fp: Column) -> Column:
