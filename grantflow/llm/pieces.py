@@ -3,8 +3,7 @@
 A byte-pair tokenizer encodes every pre-token on its own, and no pre-token of
 the two tokenizer kinds used here spans the start of a run of white space.
 So a text is cut there, a stretch seen before is one dictionary lookup, and
-all new stretches of a batch go to the library in one call, with a special
-token between them that marks where the ids of one end.
+all new stretches of a batch go to the library in one call.
 
 The cache takes ``CACHE_SIZE`` stretches of up to ``CACHED_CHARS`` characters
 and starts afresh when most lookups of a batch miss a full cache, so memory
@@ -15,16 +14,16 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_SIZE = 800_000
+from grantflow.llm.chunks import ragged, space_chunks, text_slices
+
+CACHE_SIZE = 1_000_000
 CACHED_CHARS = 48
-#: Texts and characters that are looked at together.
-BATCH_TEXTS, BATCH_CHARS = 512, 4_000_000
 
 # The white space of the Unicode standard.
 BLANKS = ("\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029"
@@ -49,6 +48,9 @@ class TokenIds:
         self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")")
         self.byte_level = type(self.lib.pre_tokenizer).__name__ == "ByteLevel"
         self.dtype = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
+        self.width = np.zeros(self.lib.get_vocab_size(), np.int64)      # bytes of a byte-level token
+        for t, i in self.lib.get_vocab(with_added_tokens=False).items():
+            self.width[i] = len(t)
         #: Ids of a space and the stretch (byte level), or of the stretch.
         self.after_space: dict[str, bytes] = {}
         #: Ids of a stretch as it stands.
@@ -59,73 +61,99 @@ class TokenIds:
                 for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _together(self, units: list[str]) -> list[bytes]:
-        """Ids of each stretch; none of them holds a special string."""
-        if not units:
-            return []
-        ids = np.frombuffer(self.library([self.mark.join(units)])[0], self.dtype)
-        ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-        packed, size, out, start = ids.tobytes(), self.dtype.itemsize, [], 0
-        for end in (ends * size).tolist():
-            out.append(packed[start:end])
-            start = end + size
-        return out
-
-    def _look_up(self, cache: dict[str, bytes], lists: list[list[str]], lead: str) -> list[bytes]:
-        """Joined ids of each list of stretches, new ones encoded together."""
-        every = set().union(*lists)
-        new = [*every.difference(cache)]
-        if len(cache) + len(new) > CACHE_SIZE and 2 * len(new) > len(every):
+        """Ids of each stretch, none of which holds a special string: one call
+        for all, with the mark between them.  After a space, byte-level
+        stretches need no mark; their ends are found by counting bytes."""
+        if self.byte_level and all(u[:1] == " " for u in units):
+            packed = self.library(["".join(units)])[0]
+            upto = np.cumsum(self.width[np.frombuffer(packed, self.dtype)])
+            ends = np.searchsorted(upto, np.cumsum([len(u.encode()) for u in units])) + 1
+            starts = np.append(0, ends[:-1])
+        else:
+            packed = self.library([self.mark.join(units)])[0]
+            ids = np.frombuffer(packed, self.dtype)
+            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
+            starts = np.append(0, ends[:-1] + 1)
+        size = self.dtype.itemsize
+        return [packed[a:b] for a, b in zip((starts * size).tolist(), (ends * size).tolist())]
+
+    def _look_up(self, cache: dict[str, bytes], words: list[str], lead: str) -> list[bytes | None]:
+        """Ids of distinct stretches, new ones encoded together; None for one
+        whose white space meets the space before or after it."""
+        found = [*map(cache.get, words)]
+        new = [i for i, x in enumerate(found) if x is None]
+        if not new:
+            return found
+        if lead:
+            new = [i for i in new if words[i] and not _EDGE.match(words[i])]
+        if len(cache) + len(new) > CACHE_SIZE and 2 * len(new) > len(words):
             cache.clear()
-            new = [*every]
-        odd = [u for u in new if any(s in u for s in self.specials)]
-        if odd:
-            drop = set(odd)
-            new = [u for u in new if u not in drop]
-        found = [*zip(new, self._together([lead + u for u in new])),
-                 *zip(odd, self.library([lead + u for u in odd]))]
-        extra = {}
-        for u, ids in found:
-            if len(u) <= CACHED_CHARS and len(cache) < CACHE_SIZE:
-                cache[u] = ids
-            else:
-                extra[u] = ids
-        if not extra:
-            return [b"".join(map(cache.__getitem__, x)) for x in lists]
-        return [b"".join([extra[u] if u in extra else cache[u] for u in x]) for x in lists]
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
+        units = [lead + words[i] for i in new]
+        joined = "\n".join(units)
+        if any(s in joined for s in self.specials):
+            odd = {i for i, u in zip(new, units) if any(s in u for s in self.specials)}
+            for i in odd:
+                found[i] = self.library([lead + words[i]])[0]
+            new = [i for i in new if i not in odd]
+            units = [lead + words[i] for i in new]
+        for i, ids in zip(new, self._together(units) if units else ()):
+            found[i] = ids
+            if len(words[i]) <= CACHED_CHARS and len(cache) < CACHE_SIZE:
+                cache[words[i]] = ids
+        return found
+
+    def _spaced(self, text: str) -> bytes:
+        """A text cut at every run of white space."""
+        units = _UNIT.findall(text)
+        known = [*dict.fromkeys(units)]
+        ids = dict(zip(known, self._look_up(self.units, known, "")))
+        return b"".join(map(ids.__getitem__, units))
+
+    def _plain(self, texts: pa.Array) -> list[bytes]:
         """Texts without special strings (byte level) or any texts."""
-        split = [t.split(" ") for t in texts]
-        if not self.byte_level:               # white space has no ids of its own
-            return self._look_up(self.after_space, split, "")
-        # A space cuts the text in the right place unless it meets other
-        # white space; those texts are cut at each run of white space.
-        edged = {c for c in set().union(*split).difference(self.after_space) if not c or _EDGE.match(c)}
-        plain = [not (c[0] and _EDGE.match(c[0])) and edged.isdisjoint(c[1:]) for c in split]
-        heads = self._look_up(self.units, [[c[0]] if c[0] and p else [] for c, p in zip(split, plain)], "")
-        tails = self._look_up(self.after_space, [c[1:] if p else [] for c, p in zip(split, plain)], " ")
-        spaced = self._look_up(self.units, [[] if p else _UNIT.findall(t) for t, p in zip(texts, plain)], "")
-        return [h + t + s for h, t, s in zip(heads, tails, spaced)]
-
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        if not self.byte_level or not any(s in t for t in texts for s in self.specials):
+        words, index, at = space_chunks(texts)
+        lead = " " if self.byte_level else ""
+        found = self._look_up(self.after_space, words, lead)
+        irregular = np.array([x is None for x in found], bool)[index] if self.byte_level else None
+        if self.byte_level:
+            # The first stretch of a text follows no space.
+            heads = [words[i] for i in index[at[:-1]].tolist()]
+            known = {h: i for i, h in enumerate(dict.fromkeys(heads))}
+            ends_blank = [bool(h) and _EDGE.match(h[-1]) is not None for h in known]
+            found += self._look_up(self.units, [*known], "")
+            head = np.fromiter((known[h] for h in heads), np.int64, len(heads))
+            index[at[:-1]] = head + len(words)
+            irregular[at[:-1]] = np.array(ends_blank, bool)[head]
+        size = self.dtype.itemsize
+        found = [x or b"" for x in found]
+        length = np.fromiter(map(len, found), np.int64, len(found)) // size
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        first = np.cumsum(length) - length
+        runs, upto = ragged(first, length, index)
+        ids = flat[runs].tobytes()
+        ends = (upto[at] * size).tolist()
+        out = [ids[a:b] for a, b in zip(ends, ends[1:])]
+        if irregular is not None and irregular.any():
+            for i in np.unique(np.searchsorted(at, np.flatnonzero(irregular), "right") - 1).tolist():
+                out[i] = self._spaced(texts[i].as_py())
+        return out
+
+    def _one(self, text: str) -> bytes:
+        """A byte-level text that holds special strings."""
+        return b"".join(self.library([part])[0] if i % 2 else self._spaced(part)
+                        for i, part in enumerate(self.special.split(text)))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        texts = pc.fill_null(texts, "")
+        if not len(texts):
+            return []
+        if not self.byte_level:
             return self._plain(texts)
-        parts = [self.special.split(t) for t in texts]
-        plain = iter(self._plain([p for x in parts for p in x[::2]]))
-        return [b"".join(b if i % 2 else next(plain) for i, b in enumerate(
-            self.library([p])[0] if i % 2 else b"" for i, p in enumerate(x))) for x in parts]
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        waiting: list[str] = []
-        chars = 0
-        for t in texts:
-            waiting.append(t or "")
-            chars += len(waiting[-1])
-            if len(waiting) >= BATCH_TEXTS or chars >= BATCH_CHARS:
-                yield from self._batch(waiting)
-                waiting, chars = [], 0
-        if waiting:
-            yield from self._batch(waiting)
+        special = functools.reduce(pc.or_, (pc.match_substring(texts, s) for s in self.specials))
+        out = self._plain(pc.if_else(special, "", texts))
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self._one(texts[i].as_py())
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -142,19 +170,6 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of bounded text size; a longer text is a slice."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    start, total = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if i > start and (i - start >= BATCH_TEXTS or total + n > BATCH_CHARS):
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def id_rows(file: str, end_id: int | None):
     """``mapInArrow`` function: (id, text) batches -> (id, ids, n_tokens).
 
@@ -166,7 +181,7 @@ def id_rows(file: str, end_id: int | None):
         end = b"" if end_id is None else np.array([end_id], tok.dtype).tobytes()
         for batch in batches:
             for part in text_slices(batch, 1):
-                ids = [x + end for x in tok.encode(part.column(1).to_pylist())]
+                ids = [x + end for x in tok.encode(part.column(1))]
                 n = [len(x) // tok.dtype.itemsize for x in ids]
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.large_binary()).cast(pa.binary()),
                                        pa.array(n, pa.int64())], names=["id", "ids", "n_tokens"])

@@ -36,7 +36,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from grantflow.llm.pieces import _UNIT, BLANKS, TokenIds, text_slices, vocabulary
+from grantflow.llm.chunks import text_slices
+from grantflow.llm.pieces import _UNIT, BLANKS, TokenIds, vocabulary
 
 # Fixed value: the byte-level pre-token pattern the tokenizer file stands for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -74,6 +75,7 @@ class PrefixSteps(TokenIds):
                 self.ends.add_word(t, (i, len(t)))
         self.ends.make_automaton()
         self.fits: dict[int, bool] = {}
+        self.dtype = STEP
         self.pieces: dict[str, list[int]] = {}
 
     def _ids(self, byte_text: str) -> list[int]:
@@ -152,12 +154,7 @@ class PrefixSteps(TokenIds):
     def _together(self, units: list[str]) -> list[bytes]:
         return [self._steps(u) for u in units]
 
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        if not any(s in t for t in texts for s in self.specials):
-            return self._plain(texts)
-        return [self._special(t) if any(s in t for s in self.specials) else self._plain([t])[0] for t in texts]
-
-    def _special(self, text: str) -> bytes:
+    def _one(self, text: str) -> bytes:
         """A prefix that cuts a special string reads it, and the stretch
         before it, as plain text; the whole string is one token."""
         out, before = [], ""
@@ -168,7 +165,7 @@ class PrefixSteps(TokenIds):
                 counts = [had, *self.unit_counts(head + part)[len(head):-1], had + 1]
                 out.append(array("h", [b - a for a, b in zip(counts, counts[1:])]).tobytes())
             elif part:
-                out.append(self._plain([part])[0])
+                out.append(self._spaced(part))
             before = part if i % 2 == 0 else ""
         return b"".join(out)
 
@@ -195,7 +192,7 @@ def _rows(file: str, budget: int):
         steps_of = _prefix_steps(vocabulary(file))
         for batch in batches:
             for part in text_slices(batch, 1):
-                steps = [*steps_of.encode(part.column(1).to_pylist())]
+                steps = steps_of.encode(part.column(1))
                 yield pa.record_batch([
                     part.column(0), pc.cast(pc.fill_null(pc.binary_length(part.column(1)), 0), pa.int64()),
                     pa.array(steps, pa.binary()),
