@@ -34,18 +34,14 @@ def _call_batch(fn: CompleteFn, prompts: list) -> tuple[list, list]:
         if len(out) != len(prompts):
             raise ValueError(f"model returned {len(out)} responses for {len(prompts)} prompts")
         return out, [None] * len(prompts)
-    except Exception:  # noqa: BLE001 - isolate per row below
-        pass
-    responses, errors = [], []
-    for p in prompts:
-        try:
-            r = list(fn([p]))
-            responses.append(r[0] if r else None)
-            errors.append(None)
-        except Exception as e:  # noqa: BLE001 - one bad row never stops the batch
-            responses.append(None)
-            errors.append(f"{type(e).__name__}: {e}"[:1000])
-    return responses, errors
+    except Exception as e:  # noqa: BLE001 - one bad row never stops the batch
+        if len(prompts) == 1:
+            return [None], [f"{type(e).__name__}: {e}"]
+    # A bad prompt is found by halving: one among n repeats the good ones of
+    # its halves (fewer than n), not every prompt on its own.
+    half = len(prompts) // 2
+    left, right = _call_batch(fn, prompts[:half]), _call_batch(fn, prompts[half:])
+    return left[0] + right[0], left[1] + right[1]
 
 
 def complete(df: DataFrame, prompt_col: str, fn: CompleteFn = offline,

@@ -3,8 +3,8 @@ investigator, grant_party link table).
 
 Surrogate keys are SHA-256 of the identifying attributes joined by the
 unit separator, nulls spelled ``\\u0001`` so that (a, null) and (null, a)
-differ.  ``dropDuplicates`` is a hash aggregate with map-side combine, so
-heavy duplication of one key is reduced before the shuffle.
+differ.  Distinct rows combine map-side, so heavy duplication of one entity is
+reduced before the shuffle.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grantflow.session import staged
+
 SEP = "\u001f"
 NULL_MARK = "\u0001"
 
@@ -31,54 +33,70 @@ def surrogate_key(*cols: str | Column) -> Column:
 
 
 def with_keys(grants: DataFrame) -> DataFrame:
-    """Adds grant_project_id / organization_id / investigator_id where absent."""
+    """Adds organization_id and investigator_id where absent, and the keys by
+    which rows link.
+
+    A key covers every attribute of its entity, its given id included, so
+    rows that differ in anything are different entities and none replaces
+    another; :func:`conflicts` reports ids that stand for several.
+    """
     org_id = F.when(F.col("organization_name").isNotNull(), surrogate_key(*ORG_ATTRS))
     person_id = F.when(
         F.coalesce(*[F.col(c) for c in PERSON_ATTRS[:3]]).isNotNull(),
         surrogate_key(*PERSON_ATTRS, "organization_name"))
-    return grants.withColumns({
-        "grant_project_id": surrogate_key("grant_id", "funder_id", "project_title"),
+    ids = grants.withColumns({
         "organization_id": F.coalesce(F.col("organization_id"), org_id),
         "investigator_id": F.coalesce(F.col("investigator_id"), person_id),
     })
+    return ids.withColumns({
+        "grant_project_id": surrogate_key(*GRANT_ATTRS),
+        "organization_key": F.when(F.coalesce("organization_id", *ORG_ATTRS).isNotNull(),
+                                   surrogate_key("organization_id", *ORG_ATTRS)),
+        "investigator_key": F.when(F.coalesce("investigator_id", *PERSON_ATTRS).isNotNull(),
+                                   surrogate_key("investigator_id", "organization_id", *PERSON_ATTRS)),
+    })
 
 
 def organizations(keyed: DataFrame) -> DataFrame:
-    return (keyed.filter(F.col("organization_id").isNotNull())
-            .select("organization_id", F.col("organization_name").alias("name"),
-                    "ROR", "country_code")
-            .dropDuplicates(["organization_id"]))
+    return (keyed.filter(F.col("organization_key").isNotNull())
+            .select("organization_key", "organization_id", F.col("organization_name").alias("name"),
+                    "ROR", "country_code").distinct())
 
 
 def investigators(keyed: DataFrame) -> DataFrame:
-    return (keyed.filter(F.col("investigator_id").isNotNull())
-            .select("investigator_id", "organization_id",
+    return (keyed.filter(F.col("investigator_key").isNotNull())
+            .select("investigator_key", "investigator_id", "organization_id",
                     F.col("investigator_role").alias("role"),
                     F.col("investigator_given_name").alias("given_name"),
                     F.col("investigator_family_name").alias("family_name"),
                     F.lit(None).cast("string").alias("alternate_name"),
-                    F.col("investigator_ORCID").alias("ORCID"))
-            .dropDuplicates(["investigator_id"]))
+                    F.col("investigator_ORCID").alias("ORCID")).distinct())
 
 
 def grant_projects(keyed: DataFrame) -> DataFrame:
-    return (keyed.select("grant_project_id", F.col("grant_id").alias("award_number"),
-                         *[c for c in GRANT_ATTRS if c != "grant_id"])
-            .dropDuplicates(["grant_project_id"]))
+    return keyed.select("grant_project_id", F.col("grant_id").alias("award_number"),
+                        *[c for c in GRANT_ATTRS if c != "grant_id"]).distinct()
 
 
 def grant_parties(keyed: DataFrame) -> DataFrame:
-    return (keyed.select("grant_project_id", "organization_id", "investigator_id")
-            .dropDuplicates())
+    """Links with their number of flat rows, so repeated rows come back."""
+    return keyed.groupBy("grant_project_id", "organization_key", "investigator_key") \
+                .agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def conflicts(table: DataFrame, id_col: str) -> DataFrame:
+    """Ids under which a relational table holds rows that differ."""
+    return (table.filter(F.col(id_col).isNotNull()).groupBy(id_col)
+            .agg(F.count(F.lit(1)).alias("n_versions")).where("n_versions > 1"))
 
 
 def normalise(grants: DataFrame, materialize: bool = False) -> dict[str, DataFrame]:
     """The four relational tables.  With ``materialize`` the keyed rows are
-    checkpointed (shared checkpoint folder) once, so building all four
-    tables reads them back instead of recomputing the input four times."""
+    staged once, so that the four tables read only their own columns of them
+    instead of recomputing the input."""
     keyed = with_keys(grants)
     if materialize:
-        keyed = keyed.checkpoint()
+        keyed = staged(keyed, "model-keyed")
     return {
         "grant_project": grant_projects(keyed),
         "organization": organizations(keyed),
@@ -87,19 +105,24 @@ def normalise(grants: DataFrame, materialize: bool = False) -> dict[str, DataFra
     }
 
 
+def _left_on_key(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """Left join that keeps rows without a key out of the shuffle: they have
+    no match and would all meet in one partition."""
+    with_key = rows.filter(F.col(key).isNotNull()).join(side, key, "left")
+    bare = rows.filter(F.col(key).isNull())
+    return with_key.unionByName(bare, allowMissingColumns=True)
+
+
 def reassemble(tables: dict[str, DataFrame]) -> DataFrame:
     """grant_project ⋈ grant_party ⟕ organization ⟕ investigator -> flat rows.
 
     All joins are equi-joins on surrogate keys; AQE picks broadcast for the
     small dimension sides at runtime and splits skewed key partitions.
     """
-    gp, party = tables["grant_project"], tables["grant_party"]
-    org, inv = tables["organization"], tables["investigator"]
-    inv = inv.drop("organization_id")
-    out = (party.join(gp, "grant_project_id")
-           .join(org, "organization_id", "left")
-           .join(inv, "investigator_id", "left"))
-    return out.select(
+    out = tables["grant_party"].join(tables["grant_project"], "grant_project_id")
+    out = _left_on_key(out, tables["organization"], "organization_key")
+    out = _left_on_key(out, tables["investigator"].drop("organization_id"), "investigator_key")
+    return out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows"))).select(
         F.col("award_number").alias("grant_id"),
         *[c for c in GRANT_ATTRS if c != "grant_id"],
         "organization_id", F.col("name").alias("organization_name"), "ROR", "country_code",

@@ -27,6 +27,12 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"__best.{c}").alias(c) for c in rest])
 
 
+def successful(runs: DataFrame, status: str = "status") -> DataFrame:
+    """Only a successful run is a download; failed and skipped runs neither
+    renew freshness nor move the last-download marker."""
+    return runs.filter(F.col(status) == "success")
+
+
 def with_freshness(df: DataFrame, ts: str, as_of: Column, max_age_days: float = 7,
                    force: bool = False) -> DataFrame:
     """Adds ``age_days`` (rounded to 0.1) and ``fresh`` (unrounded age <= max)."""
@@ -56,18 +62,18 @@ def select_known(requested: DataFrame, known: DataFrame, key: str) -> tuple[Data
 
 def source_status(catalog: DataFrame, runs: DataFrame, as_of: Column,
                   root: str = "raw") -> DataFrame:
-    """Status row per catalog source (catalog ⟕ latest successful run).
+    """Status row per (catalog source, action): catalog ⟕ latest successful
+    run of the action.
 
-    ``catalog``: source_id, funder, format.  ``runs``: source_name, action,
-    run_ts, status, timestamp, file_count, total_bytes.  Sources never
+    ``catalog``: source_id, action, funder, format.  ``runs``: source_name,
+    action, run_ts, status, timestamp, file_count, total_bytes.  Actions never
     downloaded keep the defaults (false, null, null, null, 0, 0.0).
     """
     last = latest_per_key(
-        runs.filter(F.col("status") == "success")
-            .select("source_name", "timestamp", "action", "run_ts", "file_count", "total_bytes"),
-        ["source_name"], ["timestamp", "action"])
+        successful(runs).select("source_name", "timestamp", "action", "run_ts", "file_count", "total_bytes"),
+        ["source_name", "action"], ["timestamp", "run_ts"])
     last = last.select(
-        F.col("source_name").alias("source_id"),
+        F.col("source_name").alias("source_id"), "action",
         F.lit(True).alias("downloaded"),
         display_ts("timestamp").alias("last_download"),
         F.round(age_days("timestamp", as_of), 1).alias("age_days"),
@@ -75,9 +81,10 @@ def source_status(catalog: DataFrame, runs: DataFrame, as_of: Column,
         F.col("file_count").cast("bigint").alias("file_count"),
         F.round(F.col("total_bytes") / F.lit(1048576.0), 2).alias("size_mb"),
     )
-    joined = catalog.select("source_id", "funder", "format").join(last, "source_id", "left")
+    joined = catalog.select("source_id", "action", "funder", "format") \
+        .join(last, ["source_id", "action"], "left")
     return joined.select(
-        "source_id", "funder", "format",
+        "source_id", "action", "funder", "format",
         F.coalesce("downloaded", F.lit(False)).alias("downloaded"),
         "last_download", "age_days", "download_path",
         F.coalesce("file_count", F.lit(0).cast("bigint")).alias("file_count"),
@@ -100,7 +107,7 @@ def status_totals(status: DataFrame) -> DataFrame:
 
 
 DISPLAY_NAMES = [
-    ("source_id", "Source ID"), ("funder", "Funder"), ("format", "Format"),
+    ("source_id", "Source ID"), ("action", "Action"), ("funder", "Funder"), ("format", "Format"),
     ("downloaded", "Downloaded"), ("last_download", "Last Download"),
     ("age_days", "Age (days)"), ("file_count", "Files"), ("size_mb", "Size (MB)"),
 ]
@@ -124,17 +131,20 @@ def merge_extras(base: Column, extras: Column) -> Column:
     return F.map_concat(kept, F.coalesce(extras, F.create_map().cast("map<string,string>")))
 
 
-def run_metadata(files: DataFrame, extras_json: str) -> DataFrame:
-    """Metadata row per landed load: fixed fields + open ``extra`` map."""
-    base = F.create_map(
-        F.lit("status"), F.when(F.col("ok"), "success").otherwise("failed"),
-        F.lit("file_size_bytes"), F.col("bytes").cast("string"),
-        F.lit("k"), F.lit("unset"),
-    )
+# The fields every run's metadata has, in their order.
+METADATA_FIELDS = ["source_id", "funder", "source_name", "country", "type", "status", "format", "timestamp"]
+
+
+def run_metadata(files: DataFrame, extras_json: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Metadata row per landed load: the base fields (columns of ``files``;
+    an absent or null one is ``""``, status defaults to ``Downloaded``) with
+    the load's own fields over them, as one map.  ``keep`` passes columns on."""
+    def base(name: str) -> Column:
+        default = F.lit("Downloaded" if name == "status" else "")
+        return F.coalesce(F.col(name).cast("string"), default) if name in files.columns else default
+
+    fields = F.create_map(*[x for n in METADATA_FIELDS for x in (F.lit(n), base(n))])
     extras = F.from_json(F.col(extras_json), "map<string,string>")
-    return files.select(
-        "event_id", "source_name", "action",
-        run_key("source_name", "action").alias("run_key"),
-        run_label("run_ts").alias("run_label"),
-        merge_extras(base, extras).alias("extra"),
-    )
+    return files.select(*keep, run_key("source_name", "action").alias("run_key"),
+                        run_label("run_ts").alias("run_label"),
+                        merge_extras(fields, extras).alias("extra"))

@@ -177,16 +177,16 @@ REQUIRED_TYPES = ["click", "error", "purchase", "refund", "signup", "view"]
 
 
 @register("catalog_required", f"""
-    SELECT user_id, array_to_string(m, ',') AS missing, CAST(len(m) AS INTEGER) AS n_missing
-    FROM (SELECT user_id, list_filter({REQUIRED_TYPES!r}, lambda x: NOT list_contains(p, x)) AS m
-          FROM (SELECT user_id, list(DISTINCT event_type) AS p FROM events WHERE value > 30
-                GROUP BY user_id) a) b
+    SELECT user_id, day, array_to_string(m, ',') AS missing, CAST(len(m) AS INTEGER) AS n_missing
+    FROM (SELECT user_id, day, list_filter({REQUIRED_TYPES!r}, lambda x: NOT list_contains(p, x)) AS m
+          FROM (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, list(DISTINCT event_type) AS p
+                FROM events GROUP BY 1, 2) a) b
 """)
 def catalog_required(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter(F.col("value") > 30)
-    present = e.groupBy("user_id").agg(F.collect_set("event_type").alias("present"))
+    e = table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    present = e.groupBy("user_id", "day").agg(F.collect_set("event_type").alias("present"))
     m = SC.missing_required_col(F.col("present"), REQUIRED_TYPES)
-    return present.select("user_id", F.array_join(m, ",").alias("missing"),
+    return present.select("user_id", "day", F.array_join(m, ",").alias("missing"),
                           F.size(m).alias("n_missing"))
 
 

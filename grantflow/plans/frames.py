@@ -14,21 +14,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantflow.operators.joins import broadcast_if_small
-from grantflow.session import spread
-
 AS_OF = "2024-02-01 00:00:00"
-NATION_MAX_ROWS = 10_000
-
-
-# Text tables whose per-row work (regex, HTML, JSON over long strings) is
-# heavy enough to spread when the scan comes out under-partitioned.
-FACT_TABLES = {"documents", "pages", "conversations"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread(df) if name in FACT_TABLES else df
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 # ---------------------------------------------------------------- landing G
@@ -52,8 +42,7 @@ def landing_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderpriority")
     c = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    n = broadcast_if_small(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"),
-                           NATION_MAX_ROWS)
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     j = (o.join(c, o.o_custkey == c.c_custkey)
           .join(n, c.c_nationkey == n.n_nationkey))
     k = F.col("o_orderkey")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from grantflow.functions.dates import split_period
 from grantflow.functions.text import split_name
 from grantflow.operators import model, quality, serve
-from grantflow.operators.conform import conform, quarantine_reason_counts
+from grantflow.operators.conform import conform, drop_all_null_rows, quarantine_reason_counts
 from grantflow.plans.frames import (
-    LANDING_SQL, conformed_sql, landing_frame, quarantine_sql_expr,
+    LANDING_COLUMNS, LANDING_SQL, conformed_sql, landing_frame, quarantine_sql_expr,
 )
 from grantflow.plans.registry import register
 from grantflow.plans.report import portable
@@ -132,7 +132,7 @@ PERSON_ID_SQL = (f"CASE WHEN coalesce(investigator_given_name, investigator_fami
     FROM ({conformed_sql()}) cg WHERE organization_name IS NOT NULL
 """)
 def normalise_orgs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.normalise(conformed(spark, sf_dir))["organization"]
+    return model.normalise(conformed(spark, sf_dir))["organization"].drop("organization_key")
 
 
 @register("normalise_investigators", f"""
@@ -144,7 +144,7 @@ def normalise_orgs(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE coalesce(investigator_given_name, investigator_family_name) IS NOT NULL
 """)
 def normalise_investigators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.normalise(conformed(spark, sf_dir))["investigator"]
+    return model.normalise(conformed(spark, sf_dir))["investigator"].drop("investigator_key")
 
 
 REASSEMBLED_OUT = ["grant_id", "project_title", "start_date", "end_date", "amount",
@@ -167,6 +167,76 @@ def reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable(model.reassemble(tables).select(*REASSEMBLED_OUT))
 
 
+CONFLICT_SQL = f"""
+    SELECT *, amount AS a, organization_name AS o FROM ({conformed_sql()}) c
+    UNION ALL SELECT *, amount + 1, NULL FROM ({conformed_sql()}) c WHERE row_no % 7 = 0
+    UNION ALL SELECT *, amount, organization_name FROM ({conformed_sql()}) c WHERE row_no % 9 = 0
+"""
+
+
+@register("reassemble_conflicts", f"""
+    SELECT grant_id, project_title, CAST(a AS VARCHAR) AS amount, o AS organization_name,
+           investigator_given_name, investigator_family_name, count(*) AS n_rows
+    FROM ({CONFLICT_SQL}) x GROUP BY ALL
+""")
+def reassemble_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated rows, and rows that differ in amount and organization under one
+    grant number, all come back."""
+    c = conformed(spark, sf_dir)
+    other = c.filter(F.col("row_no") % 7 == 0).withColumns({
+        "amount": (F.col("amount") + 1).cast(c.schema["amount"].dataType),
+        "organization_name": F.lit(None).cast("string")})
+    rows = c.unionByName(other).unionByName(c.filter(F.col("row_no") % 9 == 0))
+    back = model.reassemble(model.normalise(rows, materialize=True))
+    cols = ["grant_id", "project_title", "amount", "organization_name",
+            "investigator_given_name", "investigator_family_name"]
+    return portable(back.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+@register("grants_validate_codes", f"""
+    SELECT grant_id, array_to_string(list_filter([
+        CASE WHEN amount IS NOT NULL AND row_no % 5 = 1 THEN 'currency_missing' END,
+        CASE WHEN row_no % 5 = 0 THEN 'currency_format' END,
+        CASE WHEN row_no % 4 = 0 THEN 'country_format' END,
+        CASE WHEN row_no % 6 = 1 THEN 'role_invalid' END,
+        CASE WHEN row_no % 7 = 0 THEN 'orcid_not_url' END,
+        CASE WHEN row_no % 8 = 1 THEN 'ror_not_url' END], lambda x: x IS NOT NULL), ',') AS violations
+    FROM ({conformed_sql()}) cg
+""")
+def grants_validate_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Currency, country, role, ORCID and ROR values, good and bad."""
+    k = F.col("row_no")
+
+    def pick(n: int, bad: dict[int, str | None], good: str):
+        c = F.lit(good)
+        for r, v in bad.items():
+            c = F.when(k % n == r, F.lit(v)).otherwise(c)
+        return c
+
+    rows = _completed(conformed(spark, sf_dir)).withColumns({
+        "currency": pick(5, {0: "eur", 1: None}, "EUR"),
+        "country_code": pick(4, {0: "Germany", 1: None}, "DE"),
+        "investigator_role": pick(6, {1: "boss", 2: "Co-Lead", 3: None}, "lead_investigator"),
+        "investigator_ORCID": pick(7, {0: "0000-0001", 1: None}, "https://orcid.org/0000-0001"),
+        "ROR": pick(8, {1: "ror.org/1", 2: None}, "https://ror.org/1"),
+        "project_title": F.lit("t"),
+    })
+    v = quality.validate(rows)
+    return v.select("grant_id", F.array_join("violations", ",").alias("violations"))
+
+
+@register("all_null_rows", f"""
+    SELECT "Keywords" AS keywords, count(*) AS n_rows FROM ({LANDING_SQL}) g WHERE row_no % 3 <> 0 GROUP BY 1
+""")
+def all_null_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the landed rows has no value at all and goes."""
+    g = landing_frame(spark, sf_dir)
+    blank = F.col("row_no") % 3 == 0
+    rows = g.select(*[F.when(~blank, F.col(f"`{c}`")).alias(c) for c in LANDING_COLUMNS])
+    return drop_all_null_rows(rows).groupBy(F.col("Keywords").alias("keywords")) \
+        .agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 DUP_GRANT_SQL = "CASE WHEN row_no % 11 = 0 THEN CAST(row_no + 1 AS VARCHAR) ELSE grant_id END"
 
 
@@ -214,7 +284,9 @@ LOOKUP_ID = "1234"
     FROM ({conformed_sql()}) cg WHERE grant_id = '{LOOKUP_ID}'
 """)
 def grant_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = serve.grant_by_id(spark, conformed(spark, sf_dir), LOOKUP_ID)
+    path = scratch_dir(spark, "grants_lookup")
+    serve.publish_grants(conformed(spark, sf_dir).drop("quarantine_reasons", "row_no"), path)
+    hit = serve.grant_by_id(spark, serve.read_grants(spark, path), LOOKUP_ID)
     return portable(hit.select(*CONFORMED_OUT))
 
 
@@ -294,4 +366,5 @@ def append_grant(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "grants_append")
     rows = _completed(conformed(spark, sf_dir).drop("quarantine_reasons", "row_no"))
     serve.append_grants(rows, path)
+    serve.append_grants(rows, path)      # the same load again changes nothing
     return portable(serve.read_grants(spark, path).select("source_id", "grant_id", "project_title", "amount"))

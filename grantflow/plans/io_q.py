@@ -13,12 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantflow.functions.ids import raw_path, run_label
-from grantflow.operators.joins import broadcast_if_small
 from grantflow.plans.frames import LANDING_SQL, landing_frame, table
 from grantflow.plans.grants_q import CONFORMED_OUT, _conformed_out_sql
 from grantflow.plans.registry import register
 from grantflow.plans.report import portable
-from grantflow.session import scratch_dir
+from grantflow.session import scratch_dir, staged
 from grantflow.sources import csv_tolerant as CT
 from grantflow.sources import json_shapes as J
 from grantflow.sources import landing as L
@@ -108,16 +107,18 @@ def json_file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM events
 """)
 def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested JSON lines landed as text, read with an inferred schema and
-    flattened to dotted columns."""
+    """Nested JSON lines landed as text, read with the schema that was noted
+    when they landed and flattened to dotted columns."""
     path = scratch_dir(spark, "nested_json")
+    schema = ("event struct<id: bigint, type: string>, props struct<k: bigint>, "
+              "tags array<string>, value double")
     e = table(spark, sf_dir, "events")
     line = F.concat(F.lit('{"event": {"id": '), F.col("event_id").cast("string"),
                     F.lit(', "type": "'), F.col("event_type"), F.lit('"}, "props": '), F.col("props"),
                     F.lit(', "value": '), F.col("value").cast("string"),
                     F.lit(', "tags": ["a", "b"]}'))
     e.select(line.alias("value")).write.mode("overwrite").text(path)
-    return J.read_json_flat(spark, path)
+    return J.read_json_flat(spark, path, schema)
 
 
 # ------------------------------------------------------------ project API
@@ -166,7 +167,8 @@ def project_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Orders group into pages by key range (at most 300 per page, bounded by
     construction); each source ends with an empty page followed by a stray
-    copy of its first page, which the fetch rules must ignore.
+    copy of its first page, and has a page 0 whose only project has no
+    metadata.
     """
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority",
                                                "o_orderdate")
@@ -174,10 +176,10 @@ def project_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = o.select(F.concat(F.lit("proj_"), F.lower("o_orderstatus")).alias("source"),
                      (F.floor(k / PROJECT_ROWS_PER_PAGE) + 1).cast("bigint").alias("page"),
                      k.alias("k"), _project_json(k).alias("item"))
-    totals = broadcast_if_small(items.groupBy("source").agg(
-        F.count(F.lit(1)).alias("total"), F.max("page").alias("last_page")), 10_000)
-    pages = items.groupBy("source", "page").agg(
-        F.sort_array(F.collect_list(F.struct("k", "item"))).alias("its"))
+    pages = staged(items.groupBy("source", "page").agg(
+        F.sort_array(F.collect_list(F.struct("k", "item"))).alias("its")), "project-items")
+    totals = pages.groupBy("source").agg(
+        F.sum(F.size("its")).alias("total"), F.max("page").alias("last_page"))
     pages = pages.join(totals, "source")
     arr = F.transform("its", lambda x: x["item"])
     result = F.when(F.size(arr) == 1, F.get(arr, 0)) \
@@ -194,7 +196,9 @@ def project_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
                           body(F.col("last_page") + 1, F.lit("{}")).alias("body"))
     stray = data.filter(F.col("page") == 1).join(totals, "source").select(
         "source", (F.col("last_page") + 2).alias("page"), "body")
-    return data.unionByName(empty).unionByName(stray)
+    bare = totals.select("source", F.lit(0).cast("bigint").alias("page"), body(F.lit(0), F.concat(
+        F.lit('{"result": {"id": "'), F.col("source"), F.lit('", "metadata": "gone"}}'))).alias("body"))
+    return data.unionByName(empty).unionByName(stray).unionByName(bare)
 
 
 PROJECT_BASE_SQL = f"""
@@ -205,12 +209,18 @@ PROJECT_BASE_SQL = f"""
 
 
 @register("project_flatten", f"""
+    WITH b AS ({PROJECT_BASE_SQL}),
+    landed AS (SELECT * FROM b UNION ALL BY NAME
+               SELECT b.* REPLACE ((SELECT max(page) + 2 FROM b x WHERE x.source = b.source) AS page)
+               FROM b WHERE page = 1)
     SELECT source, page, CAST(row_number() OVER (PARTITION BY source, page ORDER BY k) - 1 AS INTEGER) AS pos,
            CAST(k AS VARCHAR) AS code, 'P' || CAST(k AS VARCHAR) AS acronym, o_orderpriority AS title,
            CASE WHEN k % 4 <> 0 THEN strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') END AS start_date,
            CASE WHEN k % 4 <> 1 THEN strftime(CAST(o_orderdate AS DATE) + 365, '%Y-%m-%d') END AS end_date,
-           CASE WHEN k % 5 = 0 THEN 'EC' ELSE 'EC; ' || o_orderstatus END AS funder
-    FROM ({PROJECT_BASE_SQL}) b
+           CASE WHEN k % 5 = 0 THEN 'EC' ELSE 'EC; ' || o_orderstatus END AS funder, NULL AS raw_id
+    FROM landed
+    UNION ALL
+    SELECT DISTINCT source, 0, 0, NULL, NULL, NULL, NULL, NULL, NULL, source FROM b
 """)
 def project_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.flatten_projects(project_landing(spark, sf_dir))
@@ -221,13 +231,15 @@ def project_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     per AS (SELECT source, page, count(*) AS n FROM b GROUP BY source, page),
     tot AS (SELECT source, count(*) AS total, max(page) AS last_page FROM b GROUP BY source),
     allp AS (SELECT source, page, n FROM per
+             UNION ALL SELECT source, 0, 1 FROM tot
              UNION ALL SELECT source, last_page + 1, 0 FROM tot
              UNION ALL SELECT t.source, t.last_page + 2, p.n FROM tot t JOIN per p
                        ON p.source = t.source AND p.page = 1)
     SELECT a.source, a.page, CAST(a.n AS INTEGER) AS n_items, t.total,
-           CAST(ceil(t.total / 100.0) AS BIGINT) AS expected_pages,
-           a.page <= t.last_page AND a.page <= least(ceil(t.total / 100.0) + 5, 1000) AS kept
-    FROM allp a JOIN tot t USING (source)
+           CASE WHEN f.source IS NOT NULL THEN CAST(ceil(t.total / 100.0) AS BIGINT) END AS expected_pages,
+           a.page > t.last_page + 1 AS after_empty,
+           coalesce(f.source IS NOT NULL AND t.total > 0 AND a.page > ceil(t.total / 100.0), false) AS beyond_announced
+    FROM allp a JOIN tot t USING (source) LEFT JOIN (SELECT source FROM per WHERE page = 1) f USING (source)
 """)
 def project_pages_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.project_pages(project_landing(spark, sf_dir))
@@ -333,20 +345,19 @@ def _ragged_cols(p: int) -> list[str]:
     return [c for group in RAGGED[: p + 1] for c in group]
 
 
-def _land_ragged(spark: SparkSession, sf_dir: str):
-    """Events split into four pages with growing column sets, written as
-    JSON while counting rows on the way (``observe``: no second pass)."""
-    from pyspark.sql import Observation
+RAGGED_SCHEMA = "event_id bigint, ts string, user_id bigint, event_type string, value double, props string"
+
+
+def _land_ragged(spark: SparkSession, sf_dir: str) -> str:
+    """Events as four pages with growing column sets, written in one job:
+    fields that a page lacks are left out of its JSON lines."""
     root = scratch_dir(spark, "ragged")
-    e = table(spark, sf_dir, "events")
-    stats = []
-    for p in range(4):
-        obs = Observation(f"page{p}")
-        part = e.filter(F.col("event_id") % 4 == p).select(*_ragged_cols(p))
-        part.observe(obs, F.count(F.lit(1)).alias("n_records")) \
-            .write.mode("overwrite").json(os.path.join(root, f"page={p}"))
-        stats.append((p, int(obs.get["n_records"]), len(part.columns)))
-    return root, stats
+    e = table(spark, sf_dir, "events").withColumn("page", (F.col("event_id") % 4).cast("int"))
+    late = {c: p for p, group in enumerate(RAGGED) for c in group}
+    cols = [F.when(F.col("page") >= late[c], F.col(c)).alias(c) for c in EVENT_COLS]
+    (e.select("page", *cols).write.partitionBy("page").option("ignoreNullFields", True)
+     .option("timestampNTZFormat", TS_FORMAT).json(root))
+    return root
 
 
 @register("load_counts", """
@@ -355,24 +366,43 @@ def _land_ragged(spark: SparkSession, sf_dir: str):
     FROM events GROUP BY 1, 3
 """)
 def load_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, stats = _land_ragged(spark, sf_dir)
-    return spark.createDataFrame(stats, "page int, n_records bigint, n_columns int")
+    """Records and distinct columns of every landed page, from its lines."""
+    lines = spark.read.schema("value string").text(_land_ragged(spark, sf_dir))
+    per = lines.select("page", F.json_object_keys("value").alias("keys"))
+    counts = per.groupBy("page").agg(F.count(F.lit(1)).alias("n_records"))
+    names = (per.select("page", F.explode("keys").alias("name")).groupBy("page")
+             .agg(F.countDistinct("name").cast("int").alias("n_columns")))
+    return counts.join(names, "page")
 
 
 @register("union_pages", """
-    SELECT event_id, user_id,
+    SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts, user_id,
            CASE WHEN event_id % 4 >= 1 THEN event_type END AS event_type,
            CASE WHEN event_id % 4 >= 2 THEN value END AS value,
            CASE WHEN event_id % 4 = 3 THEN props END AS props
     FROM events
 """)
 def union_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root, _ = _land_ragged(spark, sf_dir)
-    parts = [spark.read.json(os.path.join(root, f"page={p}")) for p in range(4)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out.select("event_id", "user_id", "event_type", "value", "props")
+    return spark.read.schema(RAGGED_SCHEMA).json(_land_ragged(spark, sf_dir)).drop("page")
+
+
+@register("source_continuation", f"""
+    WITH p AS (SELECT 'src_' || CAST(user_id AS VARCHAR) AS source, event_id AS page, {API_BODY_SQL} AS body
+               FROM events),
+    m AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY page DESC) AS rn,
+                 count(*) OVER (PARTITION BY source) AS n_pages FROM p)
+    SELECT source, n_pages, page AS last_page,
+           coalesce(json_type(body) = 'OBJECT'
+             AND (coalesce(CAST(body -> 'next' AS VARCHAR) NOT IN {FALSY_SQL}, false)
+                  OR coalesce(CAST(body -> 'has_more' AS VARCHAR) NOT IN {FALSY_SQL}, false)), false) AS incomplete
+    FROM m WHERE rn = 1
+""")
+def source_continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources whose last landed page still announces more."""
+    pages = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("src_"), F.col("user_id").cast("string")).alias("source"),
+        F.col("event_id").alias("page"), _api_body().alias("body"))
+    return J.sources_with_more(pages)
 
 
 # ------------------------------------------------------------- damaged CSV
@@ -538,10 +568,10 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     equals the batch conform of the same rows."""
     p = paths(scratch_dir(spark, "stream"))
     g = landing_frame(spark, sf_dir).drop("row_no")
-    for part in range(4):   # four landing drops -> several micro-batches
-        g.filter(F.abs(F.hash("Project/Area Number")) % 4 == part) \
-         .write.mode("append").parquet(p["landing"])
-    ingest_landing(spark, p["landing"], g.schema, p["grants"], p["checkpoint"], p["ingest_runs"])
+    g.repartition(4, "Project/Area Number").write.parquet(p["landing"])
+    # One landed file per trigger: as many micro-batches as files.
+    ingest_landing(spark, p["landing"], g.schema, p["grants"], p["checkpoint"], p["ingest_runs"],
+                   files_per_trigger=1)
     out = spark.read.parquet(p["grants"])
     return portable(out.select("source_id", *CONFORMED_OUT, "quarantine_reasons"))
 

@@ -21,7 +21,7 @@ from grantflow.session import scratch_dir
 
 LAYOUT_SQL = """
     SELECT 'src_' || CAST(user_id AS VARCHAR) AS source, list_sort(list(DISTINCT event_type)) AS cols
-    FROM events WHERE value > 40 GROUP BY user_id
+    FROM events GROUP BY user_id
 """
 DATASETS_SQL = f"""
     SELECT source, md5(array_to_string(cols, ',')) AS columns_hash, cols FROM ({LAYOUT_SQL}) l
@@ -29,9 +29,9 @@ DATASETS_SQL = f"""
 
 
 def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per source its column layout: the distinct event types of its large
-    events (a bounded set, combined map-side before the shuffle)."""
-    e = table(spark, sf_dir, "events").filter(F.col("value") > 40)
+    """Per source its column layout: the distinct event types of its events
+    (a bounded set, combined map-side before the shuffle)."""
+    e = table(spark, sf_dir, "events")
     return (e.select(F.concat(F.lit("src_"), F.col("user_id").cast("string")).alias("source"),
                      "event_type").distinct()
              .groupBy("source").agg(F.collect_list("event_type").alias("cols")))
@@ -219,7 +219,7 @@ def _doc_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT doc_id, {PROMPT_SQL} AS p FROM documents) d
 """)
 def complete_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = INF.outcome(INF.complete(_doc_prompts(spark, sf_dir), "prompt", echo, partitions=8))
+    out = INF.outcome(INF.complete(_doc_prompts(spark, sf_dir), "prompt", echo))
     return out.select("doc_id", F.md5("response").alias("response_md5"),
                       F.length("response").alias("response_chars"), "status")
 
@@ -230,5 +230,5 @@ def complete_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT doc_id, {PROMPT_SQL} AS p FROM documents) d
 """)
 def isolate_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = INF.outcome(INF.complete(_doc_prompts(spark, sf_dir), "prompt", fails_on_tenth, partitions=8))
+    out = INF.outcome(INF.complete(_doc_prompts(spark, sf_dir), "prompt", fails_on_tenth))
     return out.select("doc_id", F.md5("response").alias("response_md5"), "status")

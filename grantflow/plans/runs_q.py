@@ -37,15 +37,25 @@ def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         "status", "file_count", "total_bytes")
 
 
+DOWNLOADS_SQL = f"""
+    SELECT source_name, action, max("timestamp") FILTER (WHERE status = 'success') AS "timestamp"
+    FROM ({RUNS_SQL}) r GROUP BY source_name, action
+"""
+
+
 @register("freshness", f"""
     SELECT source_name, action, round({AGE_SQL.format(ts='"timestamp"')}, 1) AS age_days,
            coalesce({AGE_SQL.format(ts='"timestamp"')} <= {FRESH_DAYS}, false) AS fresh
-    FROM ({LATEST_SQL}) l
+    FROM ({DOWNLOADS_SQL}) l
 """)
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = R.with_freshness(latest_runs(spark, sf_dir), "timestamp",
-                              as_of_literal(AS_OF), FRESH_DAYS)
-    return latest.select("source_name", "action", "age_days", "fresh")
+    """Age of the last successful run; without one a source is never fresh."""
+    r = runs(spark, sf_dir)
+    latest = R.latest_per_key(R.successful(r).select("source_name", "action", "timestamp"),
+                              ["source_name", "action"], ["timestamp"])
+    known = r.select("source_name", "action").distinct().join(latest, ["source_name", "action"], "left")
+    return R.with_freshness(known, "timestamp", as_of_literal(AS_OF), FRESH_DAYS) \
+            .select("source_name", "action", "age_days", "fresh")
 
 
 @register("fetch_summary", f"""
@@ -97,6 +107,7 @@ def unknown_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         F.concat(F.lit("src_"), F.col("c_custkey").cast("string")).alias("source_id"),
+        F.explode(F.array(F.lit("a0"), F.lit("a1"), F.lit("a2"))).alias("action"),
         F.col("c_name").alias("funder"), F.lower("c_mktsegment").alias("format"))
 
 
@@ -107,11 +118,11 @@ def status_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATUS_SQL = f"""
     WITH r AS ({RUNS_SQL}),
     last AS (SELECT * FROM (
-        SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY "timestamp" DESC, action DESC) AS rn
+        SELECT *, row_number() OVER (PARTITION BY source_name, action ORDER BY "timestamp" DESC, run_ts DESC) AS rn
         FROM r WHERE status = 'success') x WHERE rn = 1),
-    cat AS (SELECT 'src_' || CAST(c_custkey AS VARCHAR) AS source_id, c_name AS funder,
-                   lower(c_mktsegment) AS format FROM customer)
-    SELECT cat.source_id, funder, format,
+    cat AS (SELECT 'src_' || CAST(c_custkey AS VARCHAR) AS source_id, a.action, c_name AS funder,
+                   lower(c_mktsegment) AS format FROM customer, (VALUES ('a0'), ('a1'), ('a2')) a(action))
+    SELECT cat.source_id, cat.action, funder, format,
            last.source_name IS NOT NULL AS downloaded,
            strftime(last."timestamp", '%Y-%m-%d %H:%M:%S') AS last_download,
            round({AGE_SQL.format(ts='last."timestamp"')}, 1) AS age_days,
@@ -119,7 +130,7 @@ STATUS_SQL = f"""
                 || last.action || '/' || strftime(last.run_ts, '%Y%m%d_%H%M%S') END AS download_path,
            coalesce(last.file_count, 0) AS file_count,
            coalesce(round(last.total_bytes / 1048576.0, 2), 0.0) AS size_mb
-    FROM cat LEFT JOIN last ON cat.source_id = last.source_name
+    FROM cat LEFT JOIN last ON cat.source_id = last.source_name AND cat.action = last.action
 """
 
 
@@ -138,7 +149,7 @@ def status_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("status_display", f"""
-    SELECT source_id AS "Source ID", funder AS "Funder", format AS "Format",
+    SELECT source_id AS "Source ID", action AS "Action", funder AS "Funder", format AS "Format",
            downloaded AS "Downloaded", last_download AS "Last Download",
            age_days AS "Age (days)", file_count AS "Files", size_mb AS "Size (MB)"
     FROM ({STATUS_SQL}) s
@@ -148,7 +159,7 @@ def status_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("status_json", f"""
-    SELECT CAST(json_object('source_id', source_id, 'funder', funder, 'format', format,
+    SELECT CAST(json_object('source_id', source_id, 'action', action, 'funder', funder, 'format', format,
                             'downloaded', downloaded, 'last_download', last_download,
                             'age_days', age_days, 'download_path', download_path,
                             'file_count', file_count, 'size_mb', size_mb) AS VARCHAR) AS json
@@ -161,21 +172,25 @@ def status_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("run_extras", f"""
     SELECT event_id, source_name || '_' || action AS run_key,
            strftime(run_ts, '%Y%m%d_%H%M%S') AS run_label,
-           CASE WHEN ok THEN 'success' ELSE 'failed' END AS status,
-           coalesce(json_extract_string(props, '$.k'), 'unset') AS k,
-           CAST(bytes AS VARCHAR) AS file_size_bytes,
-           CAST(3 + len(list_filter(json_keys(props),
-                lambda x: x NOT IN ('status', 'file_size_bytes', 'k'))) AS BIGINT) AS n_keys
-    FROM (SELECT l.*, e.props FROM ({RUN_FILES_SQL}) l JOIN events e USING (event_id)) x
+           CASE WHEN ok THEN 'success' ELSE 'Downloaded' END AS status,
+           json_extract_string(props, '$.k') AS k,
+           CASE WHEN event_type = 'error' THEN '' ELSE event_type END AS type,
+           source_name, strftime(downloaded_at, '%Y-%m-%d %H:%M:%S') AS "timestamp",
+           CAST(8 + len(list_filter(json_keys(props), lambda x: x NOT IN
+                ('source_id', 'funder', 'source_name', 'country', 'type', 'status', 'format', 'timestamp')))
+                AS BIGINT) AS n_keys
+    FROM (SELECT l.*, e.props, e.event_type FROM ({RUN_FILES_SQL}) l JOIN events e USING (event_id)) x
 """)
 def run_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = run_files(spark, sf_dir).join(
-        table(spark, sf_dir, "events").select("event_id", "props"), "event_id")
-    meta = R.run_metadata(files, "props")
-    return meta.select(
-        "event_id", "run_key", "run_label",
-        F.col("extra")["status"].alias("status"), F.col("extra")["k"].alias("k"),
-        F.col("extra")["file_size_bytes"].alias("file_size_bytes"),
+    """Base fields of every load, with the load's own fields over them."""
+    e = table(spark, sf_dir, "events").select("event_id", "props", F.nullif("event_type", F.lit("error")).alias("type"))
+    files = run_files(spark, sf_dir).join(e, "event_id").select(
+        "event_id", "source_name", "action", "run_ts", "props", "type",
+        F.when(F.col("ok"), "success").alias("status"), display_ts("downloaded_at").alias("timestamp"))
+    x = F.col("extra")
+    return R.run_metadata(files, "props", keep=["event_id"]).select(
+        "event_id", "run_key", "run_label", x["status"].alias("status"), x["k"].alias("k"),
+        x["type"].alias("type"), x["source_name"].alias("source_name"), x["timestamp"].alias("timestamp"),
         F.size("extra").cast("bigint").alias("n_keys"))
 
 
@@ -185,7 +200,7 @@ def run_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
            strftime(run_ts, '%Y%m%d_%H%M%S') AS run_label
     FROM (SELECT *, row_number() OVER (PARTITION BY source_name, action
                                        ORDER BY "timestamp" DESC) AS rn
-          FROM ({RUNS_SQL}) r) x WHERE rn = 1
+          FROM ({RUNS_SQL}) r WHERE status = 'success') x WHERE rn = 1
 """)
 def last_download(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs appended to an ``ingest_runs`` table in two loads (timestamps as
@@ -197,7 +212,7 @@ def last_download(spark: SparkSession, sf_dir: str) -> DataFrame:
     r.filter(F.col("run_ts") < cut).write.mode("append").parquet(path)
     r.filter(F.col("run_ts") >= cut).write.mode("append").parquet(path)
     landed = spark.read.parquet(path).withColumn("timestamp", parse_ts("timestamp"))
-    latest = R.latest_per_key(landed.select("source_name", "action", "timestamp", "status", "run_ts"),
+    latest = R.latest_per_key(R.successful(landed).select("source_name", "action", "timestamp", "status", "run_ts"),
                               ["source_name", "action"], ["timestamp"])
     return latest.select("source_name", "action", "status",
                          display_ts("timestamp").alias("last_download"),

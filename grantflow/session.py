@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import functools
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -21,7 +21,7 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSessio
         .appName("grantflow")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -40,38 +40,34 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@functools.lru_cache(maxsize=1)
+def _test_folder() -> str:
+    return tempfile.mkdtemp(prefix="grantflow-ckpt-")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) is a fresh
-    temporary folder created and registered.
+    Only a ``local[n]`` session (tests, bench) that does not name one gets a
+    temporary folder; a cluster without it is an error, since files in a
+    machine-local folder are missed by other executors.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current
-        root = tempfile.mkdtemp(prefix="grantflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _test_folder()
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new, unique folder under the shared checkpoint root for one run."""
-    root = checkpoint_root(spark)
-    path = os.path.join(root, "grantflow", f"{name}-{uuid.uuid4().hex[:12]}")
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(path.removeprefix("file:"), exist_ok=True)
-    return path
+    """The name of a new folder under the shared root; writers create it."""
+    return f"{checkpoint_root(spark).rstrip('/')}/grantflow/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df):
-    """Round-robin an under-partitioned input over the cluster's cores.
-
-    A no-op (no shuffle) when the input already has at least as many
-    partitions as the default parallelism — the normal case for large
-    inputs; it only helps small files with a single row group.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared root and read it back:
+    computed once, columns still pruned, nothing to recompute after a loss."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

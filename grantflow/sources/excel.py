@@ -45,7 +45,7 @@ def read_excel_files(spark: SparkSession, path: str, reader: ExcelReader = defau
                         row = {c: (None if pd.isna(v) else str(v)) for c, v in zip(cols, rec)}
                         out.append((p, i, row, None))
                 except Exception as e:  # noqa: BLE001 - one bad workbook never stops the run
-                    out.append((p, -1, None, f"{type(e).__name__}: {e}"[:500]))
+                    out.append((p, -1, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["path", "row_no", "row", "error"])
 
     return files.mapInPandas(run, OUT_SCHEMA)

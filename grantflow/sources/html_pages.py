@@ -106,6 +106,17 @@ def page_text(pages: DataFrame, max_chars: int = 32000) -> DataFrame:
         is_truncated("text", max_chars).alias("truncated"))
 
 
+def text_chunks(pages: DataFrame, max_chars: int = 32000) -> DataFrame:
+    """Readable text per page in consecutive chunks of ``max_chars``
+    characters: the input columns, ``chunk_no`` (from 0) and ``chunk``.  A
+    page without text has one empty chunk."""
+    text = pages.select("*", html_to_text(F.col("html")).alias("__text"))
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("__text") / F.lit(max_chars)) - 1, F.lit(0)).cast("int"))
+    return (text.select("*", F.explode(starts).alias("chunk_no"))
+            .select(*pages.columns, "chunk_no",
+                    F.substring("__text", F.col("chunk_no") * max_chars + 1, F.lit(max_chars)).alias("chunk")))
+
+
 def write_pages(pages: DataFrame, path: str) -> None:
     """Land raw pages ``(source_id, url, html)`` as parquet."""
     pages.write.mode("overwrite").parquet(path)

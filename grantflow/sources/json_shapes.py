@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grantflow.functions.text import py_strip
+from grantflow.session import staged
 
 PAGE_SIZE = 100          # records per project-API page
-MAX_PAGES = 1000         # hard page cap
-PAGE_SLACK = 5           # pages tolerated beyond the announced count
 
 
 def _col(c: Column | str) -> Column:
@@ -48,10 +47,12 @@ def file_records(text: Column | str) -> Column:
     order, else the object itself as one record; scalar -> one record.
     """
     t = _col(text)
-    keys = F.json_object_keys(t)
-    values = F.transform(keys, lambda k: _get_path(t, F.concat(F.lit("$['"), k, F.lit("']"))))
-    lists = F.filter(F.transform(values, _as_list),
-                     lambda a: F.coalesce(F.size(a) > 0, F.lit(False)))
+    # Members by their own JSON type, so a string that looks like a list is
+    # not one; keys are looked up in a map, so no key needs quoting in a path.
+    members = F.from_json(t, "map<string,variant>")
+    lists = F.transform(F.json_object_keys(t), lambda k: F.transform(
+        F.try_variant_get(F.element_at(members, k), "$", "array<variant>"), lambda v: F.to_json(v)))
+    lists = F.filter(lists, lambda a: F.coalesce(F.size(a) > 0, F.lit(False)))
     first = _first_char(t)
     return (F.when(first == "[", F.from_json(t, "array<string>"))
             .when(first == "{", F.coalesce(F.get(lists, 0), F.array(t)))
@@ -117,9 +118,10 @@ def flatten_columns(df: DataFrame, sep: str = ".") -> DataFrame:
     return df.select(*cols)
 
 
-def read_json_flat(spark: SparkSession, path: str) -> DataFrame:
-    """JSON-lines records -> inferred schema -> dotted flat columns."""
-    return flatten_columns(spark.read.json(path))
+def read_json_flat(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """JSON-lines records -> dotted flat columns.  Without a schema Spark
+    infers one by an extra pass; give the one noted at landing."""
+    return flatten_columns((spark.read.schema(schema) if schema else spark.read).json(path))
 
 
 # ---------------------------------------------------------------- project API
@@ -169,70 +171,72 @@ def _int_like(raw: Column) -> Column:
 
 def project_fields(p: Column) -> Column:
     """One project (variant) -> struct(code, acronym, title, start_date,
-    end_date, funder).  Metadata may sit under ``oaf:entity.oaf:project``;
-    dates are null when the key is absent; funder names join with ``"; "``
-    without empty names."""
+    end_date, funder, raw_id).  Metadata may sit under
+    ``oaf:entity.oaf:project``; dates are null when the key is absent; funder
+    names join with ``"; "`` without empty names.  A project whose metadata is
+    no object has only its ``raw_id`` (its id, or ``unknown``)."""
     meta0 = F.try_variant_get(p, "$.metadata", "variant")
     wrapped = F.try_variant_get(meta0, "$['oaf:entity']", "variant")
-    meta = F.when(wrapped.isNotNull(),
-                  F.coalesce(F.try_variant_get(wrapped, "$['oaf:project']", "variant"),
-                             F.parse_json(F.lit("{}")))).otherwise(meta0)
+    none = F.parse_json(F.lit("{}"))
+    meta = F.when(wrapped.isNotNull(), F.coalesce(F.try_variant_get(wrapped, "$['oaf:project']", "variant"), none)) \
+        .otherwise(F.coalesce(meta0, none))
+    usable = F.schema_of_variant(meta).startswith("OBJECT<")
     funders_list = F.try_variant_get(meta, "$.fundingtree.funder", "array<variant>")
     funder_one = F.try_variant_get(meta, "$.fundingtree.funder", "variant")
     names = F.transform(funders_list, lambda f: _leaf(f, "shortname"))
     funder = F.when(funders_list.isNotNull(), F.array_join(F.filter(names, lambda n: n != ""), "; ")) \
               .when(funder_one.isNotNull(), _leaf(funder_one, "shortname"))
+    raw_id = F.coalesce(F.try_variant_get(p, "$.id", "string"), F.lit("unknown"))
     return F.struct(
-        _leaf(meta, "code").alias("code"),
-        _leaf(meta, "acronym").alias("acronym"),
-        _leaf(meta, "title").alias("title"),
-        F.when(_present(meta, "startdate"), _leaf(meta, "startdate")).alias("start_date"),
-        F.when(_present(meta, "enddate"), _leaf(meta, "enddate")).alias("end_date"),
-        funder.alias("funder"),
+        F.when(usable, _leaf(meta, "code")).alias("code"),
+        F.when(usable, _leaf(meta, "acronym")).alias("acronym"),
+        F.when(usable, _leaf(meta, "title")).alias("title"),
+        F.when(usable & _present(meta, "startdate"), _leaf(meta, "startdate")).alias("start_date"),
+        F.when(usable & _present(meta, "enddate"), _leaf(meta, "enddate")).alias("end_date"),
+        F.when(usable, funder).alias("funder"),
+        F.when(~usable, raw_id).alias("raw_id"),
     )
 
 
-def page_stats(pages: DataFrame, source: str = "source", page: str = "page",
-               body: str = "body") -> DataFrame:
-    """One small row per landed page: item count and announced total."""
-    return pages.select(source, page, F.size(project_results(body)).alias("n_items"),
-                        project_total(body).alias("total"))
-
-
 def project_pages(pages: DataFrame, source: str = "source", page: str = "page",
-                  body: str = "body", materialize: bool = True) -> DataFrame:
-    """Per landed page: item count, announced total/pages and whether the
-    fetch loop would have kept it (before the first empty page, within
-    ``pages + 5`` and the 1000-page cap).
-
-    The per-page stats (one small row per page) are checkpointed to the
-    shared checkpoint folder so the page bodies are parsed once for all
-    three uses; the first empty page per source is an aggregate (min)
-    joined back on the source key — no window over a possibly huge source.
+                  body: str = "body") -> DataFrame:
+    """Per landed page: item count, announced total and pages, and two flags:
+    ``after_empty`` (a page of the source before it had no items) and
+    ``beyond_announced`` (its number is above the announced page count).
+
+    The flags report; no landed page is dropped for them.  Bodies are parsed
+    once: the small per-page row is staged, and the per-source facts are
+    aggregates joined back on the source.
     """
-    per = page_stats(pages, source, page, body)
-    if materialize:
-        per = per.checkpoint()
-    stop = per.filter(F.col("n_items") == 0).groupBy(source).agg(F.min(page).alias("__stop"))
-    announced = per.filter(F.col(page) == 1).select(
-        source, F.ceil(F.col("total") / F.lit(PAGE_SIZE)).cast("bigint").alias("expected_pages"))
-    out = per.join(stop, source, "left").join(announced, source, "left")
-    # A zero or unknown page count disables the slack guard, as in the fetch loop.
-    limit = F.least(F.when(F.col("expected_pages") > 0, F.col("expected_pages") + PAGE_SLACK)
-                    .otherwise(F.lit(MAX_PAGES)), F.lit(MAX_PAGES))
-    kept = ((F.col("__stop").isNull() | (F.col(page) < F.col("__stop")))
-            & (F.col(page) <= limit) & (F.col("n_items") > 0))
-    return out.select(source, page, "n_items", "total", "expected_pages", kept.alias("kept"))
+    per = staged(pages.select(source, page, F.size(project_results(body)).alias("n_items"),
+                              project_total(body).alias("total")), "project-pages")
+    facts = per.groupBy(source).agg(
+        F.min(F.when(F.col("n_items") == 0, F.col(page))).alias("__stop"),
+        F.min(F.when(F.col(page) == 1, F.ceil(F.col("total") / F.lit(PAGE_SIZE)))).cast("bigint")
+         .alias("expected_pages"))
+    # A zero or unknown page count announces nothing.
+    announced = F.when(F.col("expected_pages") > 0, F.col("expected_pages"))
+    return per.join(facts, source).select(
+        source, page, "n_items", "total", "expected_pages",
+        F.coalesce(F.col(page) > F.col("__stop"), F.lit(False)).alias("after_empty"),
+        F.coalesce(F.col(page) > announced, F.lit(False)).alias("beyond_announced"))
 
 
 def flatten_projects(pages: DataFrame, source: str = "source", page: str = "page",
                      body: str = "body") -> DataFrame:
-    """Kept pages -> one flat row per project."""
-    kept = project_pages(pages, source, page, body).filter("kept").select(source, page)
-    rows = pages.join(kept, [source, page], "left_semi")
+    """Every landed page -> one flat row per project."""
     # posexplode_outer + filter keeps the optimizer from inferring (and
     # pushing down) a size() filter that would parse every body twice.
-    return rows.select(source, page, F.posexplode_outer(project_results(body)).alias("pos", "p")) \
-               .filter(F.col("pos").isNotNull()) \
-               .select(source, page, "pos", project_fields(F.col("p")).alias("f")) \
-               .select(source, page, "pos", "f.*")
+    return pages.select(source, page, F.posexplode_outer(project_results(body)).alias("pos", "p")) \
+                .filter(F.col("pos").isNotNull()) \
+                .select(source, page, "pos", project_fields(F.col("p")).alias("f")) \
+                .select(source, page, "pos", "f.*")
+
+
+def sources_with_more(pages: DataFrame, source: str = "source", page: str = "page",
+                      body: str = "body") -> DataFrame:
+    """Per source: landed pages, last page and ``incomplete``, true where the
+    last landed page still announces more (``next`` / ``has_more``)."""
+    last = F.max(F.struct(F.col(page).alias("p"), F.coalesce(api_has_more(body), F.lit(False)).alias("more")))
+    return (pages.groupBy(source).agg(F.count(F.lit(1)).alias("n_pages"), last.alias("x"))
+            .select(source, "n_pages", F.col("x.p").alias("last_page"), F.col("x.more").alias("incomplete")))

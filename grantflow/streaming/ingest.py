@@ -39,18 +39,17 @@ def ingest_landing(spark: SparkSession, landing: str, schema: T.StructType, out:
     stream = reader.load(landing)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        # Persisted for the two writes below; if an executor is lost the
-        # partition is recomputed from the (immutable) landed files.
-        result = transform(batch).withColumn("batch_id", F.lit(batch_id)).persist()
-        try:
-            (result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("source_id", "batch_id").parquet(out))
-            stats = (result.groupBy("source_id", "batch_id").agg(F.count(F.lit(1)).alias("n_rows"))
-                     .withColumn("ingested_at", F.current_timestamp()))
-            (stats.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("batch_id").parquet(runs_table))
-        finally:
-            result.unpersist()
+        result = transform(batch).withColumn("batch_id", F.lit(batch_id))
+        (result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id", "source_id").parquet(out))
+        # Counted from what was written: the batch is computed once.
+        stats = (spark.read.schema(result.schema).parquet(out).where(F.col("batch_id") == batch_id)
+                 .groupBy("source_id", "batch_id")
+                 .agg(F.count(F.lit(1)).alias("n_rows"),
+                      F.count_if(F.size("quarantine_reasons") > 0).alias("n_quarantined"))
+                 .withColumn("ingested_at", F.current_timestamp()))
+        (stats.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(runs_table))
 
     q = (stream.writeStream.foreachBatch(publish)
          .option("checkpointLocation", checkpoint)
