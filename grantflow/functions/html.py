@@ -1,4 +1,4 @@
-"""HTML -> readable text as pure Column expressions (whole-stage codegen).
+"""HTML -> readable text as Column expressions.
 
 Equivalent to an HTML parser walk that drops ``script``/``style``, strips
 each text node, drops empty nodes and joins the rest with ``\\n``: every tag,
@@ -8,8 +8,12 @@ scripts, styles, comments and doctypes yields the same nodes.
 
 from __future__ import annotations
 
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grantflow.functions.text import STRIP_RE
 
@@ -32,7 +36,12 @@ SCRIPT_RE = r"(?is)<script\b[^>]*>.*?</script\s*>"
 STYLE_RE = r"(?is)<style\b[^>]*>.*?</style\s*>"
 COMMENT_RE = r"(?s)<!--.*?-->"
 DOCTYPE_RE = r"(?i)<!doctype[^>]*>"
-TAG_RE = r"<[^>]*>"
+# A quoted attribute value may hold ">"; a "<" before anything but a name is text.
+TAG_RE = r"""</?[A-Za-z](?:[^>"']|"[^"]*"|'[^']*')*>|<[?!][^>]*>"""
+# The same without backtracking into the parts of a tag, for Java's engine.
+JAVA_TAG_RE = r"""</?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[?!][^>]*+>"""
+# A reference that is not one of ENTITIES.
+OTHER_ENTITY_RE = r"&(?!lt|gt|quot|#39;|#x27;|nbsp|copy|middot|amp)[A-Za-z#]"
 
 
 def _col(c: Column | str) -> Column:
@@ -45,13 +54,25 @@ def decode_entities(c: Column) -> Column:
     return c
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def unescape_all(nodes: pd.Series) -> pd.Series:
+    """Every named and numeric reference of HTML5, once."""
+    return nodes.map(lambda x: None if x is None else [unescape(t) for t in x])
+
+
 def text_nodes(html: Column | str) -> Column:
-    """Array of stripped, non-empty text nodes outside script/style."""
+    """Array of stripped, non-empty text nodes outside script/style.
+
+    The common references are decoded by Spark; only pages with any other
+    reach the Arrow function (the rest hand it a null).
+    """
     h = _col(html)
     for pattern in (SCRIPT_RE, STYLE_RE, COMMENT_RE, DOCTYPE_RE):
         h = F.regexp_replace(h, pattern, "<x>")
-    nodes = F.split(h, TAG_RE)
-    nodes = F.transform(nodes, lambda t: F.regexp_replace(decode_entities(t), STRIP_RE, ""))
+    raw = F.split(h, JAVA_TAG_RE)
+    rest = unescape_all(F.when(h.rlike(OTHER_ENTITY_RE), raw))
+    nodes = F.coalesce(rest, F.transform(raw, decode_entities))
+    nodes = F.transform(nodes, lambda t: F.regexp_replace(t, STRIP_RE, ""))
     return F.filter(nodes, lambda t: t != "")
 
 

@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grantflow.functions.text import RECORD_FIELDS, parse_records, strip_fences
+from grantflow.session import staged
+
 CompleteFn = Callable[[Sequence[str]], Sequence[str | None]]
 
 
@@ -78,3 +81,23 @@ def outcome(df: DataFrame, response_col: str = "response", error_col: str = "err
     return df.withColumn(
         "status", F.when(F.col(error_col).isNotNull() | F.col(response_col).isNull(), "failed")
                    .otherwise("ok"))
+
+
+def extract_records(prompts: DataFrame, prompt_col: str, fn: CompleteFn = offline) -> tuple[DataFrame, DataFrame]:
+    """Prompts -> (records, failed prompts).
+
+    The answers are staged once, so the model is called once per prompt
+    however often the results are read.  ``records`` has the other columns of
+    ``prompts``, ``record_no``, the record fields and ``other`` (a map of the
+    rest); a call that failed or an answer that is no array of objects is a
+    row of ``failed`` with its ``error``.
+    """
+    keep = [c for c in prompts.columns if c != prompt_col]
+    answered = staged(complete(prompts, prompt_col, fn).withColumn(
+        "records", parse_records(strip_fences(F.col("response")))).drop(prompt_col, "response"), "model-answers")
+    failed = answered.filter(F.col("records").isNull()).select(
+        *keep, F.coalesce("error", F.lit("the answer is not an array of records")).alias("error"))
+    rows = answered.select(*keep, F.posexplode_outer("records").alias("record_no", "r")) \
+        .filter(F.col("record_no").isNotNull())
+    return rows.select(*keep, "record_no", *[F.col("r")[f].alias(f) for f in RECORD_FIELDS],
+                       F.map_filter("r", lambda k, v: ~k.isin(*RECORD_FIELDS)).alias("other")), failed

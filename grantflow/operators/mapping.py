@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantflow.functions.ids import columns_hash
-from grantflow.schema import vocabulary_df
+from grantflow.schema import CROSSWALK, vocabulary_df
+from grantflow.session import staged
 
 CACHE_KEYS = ["source", "columns_hash"]
 
@@ -108,8 +109,7 @@ def latest_mappings(store: DataFrame) -> DataFrame:
     return store.join(newest, [*CACHE_KEYS, "ts"], "left_semi")
 
 
-def resolve_mappings(spark: SparkSession, datasets: DataFrame, cache: DataFrame, fn,
-                     partitions: int | None = None):
+def resolve_mappings(spark: SparkSession, datasets: DataFrame, cache: DataFrame, fn):
     """Cache-first column mapping.
 
     ``datasets``: (source, columns_hash, prompt); ``cache``: exploded rows
@@ -123,12 +123,37 @@ def resolve_mappings(spark: SparkSession, datasets: DataFrame, cache: DataFrame,
     from grantflow.operators.inference import complete
 
     hits, misses = cache_split(datasets, cache)
-    answered = complete(misses, "prompt", fn, partitions=partitions).withColumn(
-        "mapping", parse_mapping(strip_fences_braces(F.col("response"))))
-    failed = answered.filter(F.col("mapping").isNull() | (F.size("mapping") == 0)) \
-                     .select(*CACHE_KEYS, "error")
+    # Staged: the three results read one set of answers, one call per prompt.
+    answered = staged(complete(misses, "prompt", fn).drop("prompt").withColumn(
+        "mapping", parse_mapping(strip_fences_braces(F.col("response")))), "mapping-answers")
+    empty = F.col("mapping").isNull() | (F.size("mapping") == 0)
+    failed = answered.filter(empty).select(*CACHE_KEYS, F.coalesce(
+        "error", F.lit("the answer is not a mapping")).alias("error"))
     fresh = explode_mapping(answered.filter(F.size("mapping") > 0).select(*CACHE_KEYS, "mapping"))
     cached = cache.join(hits.select(*CACHE_KEYS), CACHE_KEYS, "left_semi") \
                   .select(*CACHE_KEYS, "source_col", "target_col")
     valid, rejected = validate_mapping(spark, fresh.unionByName(cached))
     return valid, failed, rejected
+
+
+def crosswalked(pairs: Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
+    """(source column, vocabulary key) pairs -> (source column, flat field),
+    the best key of a field first; keys without a flat field are left out."""
+    rank = {key: (field, i) for field, keys in CROSSWALK.items() for i, key in enumerate(keys)}
+    found = [(rank[key][1], source, rank[key][0]) for source, key in pairs if key in rank]
+    return [(source, field) for _, source, field in sorted(found, key=lambda x: x[0])]
+
+
+def conform_mapped(df: DataFrame, pairs: Sequence[tuple[str, str]], policy: str = "coalesce",
+                   lineage: Sequence[str] = ()) -> DataFrame:
+    """One dataset layout -> flat grant rows through its stored mapping, with
+    ``columns_hash`` and the given lineage columns.
+
+    ``pairs`` are the mapping's rows for this layout (as many as it has
+    columns); one projection types every row.
+    """
+    from grantflow.operators.conform import conform
+
+    own = [c for c in df.columns if c not in lineage]
+    return conform(df, crosswalked(pairs), policy, keep=lineage) \
+        .withColumn("columns_hash", dataset_columns_hash(own))

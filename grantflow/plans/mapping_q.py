@@ -11,7 +11,7 @@ from grantflow.functions.ids import columns_hash
 from grantflow.operators import inference as INF
 from grantflow.operators import mapping as M
 from grantflow.operators.conform import compound_targets, drop_all_null_rows, rename_by_mapping
-from grantflow.plans.frames import LANDING_SQL, landing_frame, table
+from grantflow.plans.frames import LANDING_COLUMNS, LANDING_SQL, landing_frame, table
 from grantflow.plans.registry import register
 from grantflow.plans.report import portable
 from grantflow.schema import vocabulary_rows
@@ -232,3 +232,97 @@ def complete_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def isolate_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = INF.outcome(INF.complete(_doc_prompts(spark, sf_dir), "prompt", fails_on_tenth))
     return out.select("doc_id", F.md5("response").alias("response_md5"), "status")
+
+
+# ------------------------------------------------------------ cache-first mapping
+
+def layout_model(prompts):
+    """Stand-in model for column mappings: amounts for purchases, a start date
+    for signups, an unknown name for errors, no mapping for the rest; a prompt
+    of a source whose number ends in 9 raises, one ending in 7 answers prose."""
+    out = []
+    for p in prompts:
+        source, cols = p.split("\n")
+        if source.endswith("9"):
+            raise RuntimeError("model call failed")
+        target = {"purchase": "award-amount", "signup": "award-start-date", "error": "award-x"}
+        body = ", ".join(f'"{c}": "{target.get(c, "null")}"' for c in cols.split(","))
+        out.append("no idea" if source.endswith("7") else "```json\n{" + body + "}\n```")
+    return out
+
+
+def _resolved(spark: SparkSession, sf_dir: str):
+    d = datasets(spark, sf_dir)
+    prompts = d.select("source", "columns_hash", F.concat_ws(
+        "\n", "source", F.array_join(F.sort_array("cols"), ",")).alias("prompt"))
+    even = F.substring_index("source", "_", -1).cast("bigint") % 2 == 0
+    cache = d.filter(even).select("source", "columns_hash", F.explode("cols").alias("source_col")) \
+        .withColumn("target_col", F.when(F.col("source_col") == "view", "no-such-field").otherwise("description"))
+    return M.resolve_mappings(spark, prompts, cache, layout_model)
+
+
+_RESOLVE_SQL = f"""
+    SELECT source, columns_hash, c AS source_col,
+           CASE WHEN CAST(split_part(source, '_', 2) AS BIGINT) % 2 = 0
+                THEN CASE WHEN c = 'view' THEN 'no-such-field' ELSE 'description' END
+                ELSE CASE c WHEN 'purchase' THEN 'award-amount' WHEN 'signup' THEN 'award-start-date'
+                            WHEN 'error' THEN 'award-x' ELSE 'null' END END AS target_col
+    FROM (SELECT source, columns_hash, unnest(cols) AS c FROM ({DATASETS_SQL}) d
+          WHERE right(source, 1) NOT IN ('9', '7')) x
+"""
+
+
+@register("resolve_mappings", f"SELECT * FROM ({_RESOLVE_SQL}) m WHERE target_col IN {ALLOWED_SQL}")
+def resolve_mappings_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir)[0]
+
+
+@register("resolve_rejects", f"SELECT * FROM ({_RESOLVE_SQL}) m WHERE target_col NOT IN {ALLOWED_SQL}")
+def resolve_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir)[2]
+
+
+@register("resolve_failures", f"""
+    SELECT source, columns_hash, CASE WHEN right(source, 1) = '9' THEN 'RuntimeError: model call failed'
+                                      ELSE 'the answer is not a mapping' END AS error
+    FROM ({DATASETS_SQL}) d WHERE right(source, 1) IN ('9', '7')
+""")
+def resolve_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir)[1]
+
+
+STORED = [("Research Project Title", "project-title"), ("Project Title (English)", "project-title"),
+          ("Project/Area Number", "award-number"), ("Research Institution", "institution"),
+          ("Total Cost (Overall)", "award-amount"), ("Keywords", "description"),
+          ("Principal Investigator", "null")]
+
+
+@register("mapping_to_grants", f"""
+    SELECT source_id, strftime(TIMESTAMP '2024-01-05 00:00:00', '%Y-%m-%d %H:%M:%S') AS run_ts,
+           md5(array_to_string(list_sort([{", ".join("'" + c + "'" for c in LANDING_COLUMNS)}]), ',')) AS columns_hash,
+           "Project/Area Number" AS grant_id, coalesce("Research Project Title", "Project Title (English)") AS project_title,
+           "Keywords" AS project_description, "Research Institution" AS organization_name,
+           CAST(TRY_CAST("Total Cost (Overall)" AS DECIMAL(20,2)) AS VARCHAR) AS amount
+    FROM ({LANDING_SQL}) g
+""")
+def mapping_to_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored mapping (vocabulary keys) applied to the landed rows of its
+    layout: crosswalk, typed flat rows, lineage."""
+    path = scratch_dir(spark, "stored_mapping")
+    ts = F.lit(_dt.datetime(2024, 1, 5)).cast("timestamp_ntz")
+    g = landing_frame(spark, sf_dir).drop("row_no").withColumn("run_ts", ts)
+    names = [c for c in g.columns if c not in ("source_id", "run_ts")]
+    stored = g.select(F.col("source_id").alias("source")).distinct().select(
+        "source", M.dataset_columns_hash(names).alias("columns_hash"),
+        F.explode(F.create_map(*[F.lit(x) for pair in STORED for x in pair])).alias("source_col", "target_col"),
+        ts.alias("ts"))
+    M.save_mappings(stored, path)
+    held = M.latest_mappings(spark.read.parquet(path))
+    # The mapping of one layout: as many rows as it has columns.
+    pairs = [(r.source_col, r.target_col) for r in held.where(
+        F.col("columns_hash") == M.dataset_columns_hash(names)).select("source_col", "target_col").distinct().collect()]
+    order = {c: i for i, c in enumerate(names)}
+    rows = M.conform_mapped(g, sorted(pairs, key=lambda x: order[x[0]]), lineage=["source_id", "run_ts"])
+    return portable(rows.select("source_id", F.date_format("run_ts", "yyyy-MM-dd HH:mm:ss").alias("run_ts"),
+                                "columns_hash", "grant_id", "project_title", "project_description",
+                                "organization_name", "amount"))

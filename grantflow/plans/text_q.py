@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +14,11 @@ from grantflow.functions.prompts import (
     EXTRACT_BODY, EXTRACT_HEAD, MAPPING_COLUMNS, MAPPING_HEAD, MAPPING_TAIL, MAPPING_VOCAB,
     column_lines, extract_prompt, mapping_prompt, vocabulary_lines,
 )
+from grantflow.operators import inference as INF
 from grantflow.operators import mapping as M
 from grantflow.plans.frames import LANDING_COLUMNS, LANDING_SQL, landing_frame, table
 from grantflow.plans.registry import register
-from grantflow.sources.html_pages import page_text, scrape_blocks
+from grantflow.sources.html_pages import page_text, scrape_blocks, text_chunks
 
 
 def sql_str(s: str) -> str:
@@ -44,11 +47,16 @@ def response_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.select("conv_id", "turn", T.response_text(env).alias("content"))
 
 
-WORD_SQL = "regexp_extract(text, '[A-Za-z]+', 0)"
+# The whole text as a JSON string (quotes included): one escaping for both engines.
+PLAIN_SQL = ("replace(replace(regexp_replace(text, '[\\x00-\\x1f]', ' ', 'g'), chr(92), '/'), "
+             "chr(34), chr(39))")
+WORD_SQL = f"({PLAIN_SQL})"
 
 
 def _word() -> Column:
-    return F.regexp_extract("text", "[A-Za-z]+", 0)
+    """The whole text in a form that needs no JSON escapes."""
+    return F.replace(F.replace(F.regexp_replace("text", r"[\x00-\x1f]", " "), F.lit("\\"), F.lit("/")),
+                     F.lit('"'), F.lit("'"))
 
 
 def _wrap(payload: Column, braces: bool) -> Column:
@@ -197,7 +205,7 @@ def html_text_sql(h: str = "html") -> str:
         rep_sql = "chr(160)" if rep == "\u00a0" else "'" + rep.replace("'", "''") + "'"
         dec = f"regexp_replace({dec}, '{pat}', {rep_sql}, 'g')"
     strip = f"regexp_replace({dec}, '\\A{WS}+|{WS}+\\z', '', 'g')"
-    return (f"array_to_string(list_filter(list_transform(string_split_regex({x}, '{H.TAG_RE}'), "
+    return (f"array_to_string(list_filter(list_transform(string_split_regex({x}, '{H.TAG_RE.replace("'", "''")}'), "
             f"lambda t: {strip}), lambda t: t <> ''), chr(10))")
 
 
@@ -224,20 +232,68 @@ HOST_SQL = "regexp_extract(url, '://([^/?#:]+)', 1)"
 LANG_SQL = f"regexp_extract({URL_PATH_SQL}, '^/([^/]+)/', 1)"
 
 
-@register("extract_prompt", f"""
-    SELECT page_id, src AS source_desc,
-           {sql_str(EXTRACT_HEAD)} || src || {sql_str(EXTRACT_BODY)} || substring(text, 1, 32000) AS prompt
-    FROM (SELECT page_id, {html_text_sql()} AS text,
-                 CASE WHEN {LANG_SQL} <> '' THEN {HOST_SQL} || ' - ' || {LANG_SQL} ELSE {HOST_SQL} END AS src
-          FROM pages) x
-""")
-def extract_prompt_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = page_text(table(spark, sf_dir, "pages"), 32000)
+CHUNK_CHARS = 32000
+CHUNKS_SQL = f"""
+    SELECT page_id, chunk_no, src, substring(text, CAST(chunk_no * {CHUNK_CHARS} + 1 AS BIGINT), {CHUNK_CHARS}) AS chunk
+    FROM (SELECT *, unnest(range(0, greatest(1, CAST(ceil(length(text) / {CHUNK_CHARS}.0) AS BIGINT)))) AS chunk_no
+          FROM (SELECT page_id, {html_text_sql()} AS text,
+                       CASE WHEN {LANG_SQL} <> '' THEN {HOST_SQL} || ' - ' || {LANG_SQL} ELSE {HOST_SQL} END AS src
+                FROM pages) x) y
+"""
+
+
+def _page_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One prompt per chunk of a page's text: the whole text reaches the model."""
+    t = text_chunks(table(spark, sf_dir, "pages"), CHUNK_CHARS)
     host = F.regexp_extract("url", "://([^/?#:]+)", 1)
     lang = F.regexp_extract(F.try_parse_url("url", F.lit("PATH")), "^/([^/]+)/", 1)
     desc = source_description(host, lang)
-    return t.select("page_id", desc.alias("source_desc"),
-                    extract_prompt(desc, F.col("text_for_model")).alias("prompt"))
+    return t.select("page_id", "chunk_no", desc.alias("source_desc"),
+                    extract_prompt(desc, F.col("chunk")).alias("prompt"))
+
+
+@register("extract_prompt", f"""
+    SELECT page_id, CAST(chunk_no AS INTEGER) AS chunk_no, src AS source_desc,
+           {sql_str(EXTRACT_HEAD)} || src || {sql_str(EXTRACT_BODY)} || chunk AS prompt
+    FROM ({CHUNKS_SQL}) c
+""")
+def extract_prompt_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_prompts(spark, sf_dir)
+
+
+def title_model(prompts):
+    """Stand-in model: every non-empty line of the text that starts with a
+    capital T is one project title; a text without any raises."""
+    out = []
+    for p in prompts:
+        titles = [x for x in p.split("Text:\n", 1)[1].split("\n") if x.startswith("T")]
+        if not titles:
+            raise RuntimeError("nothing found")
+        body = json.dumps([{"project_title": t, "funding_year": len(t)} for t in titles], ensure_ascii=False)
+        out.append(f"```json\n{body}\n```")
+    return out
+
+
+@register("extract_records", f"""
+    SELECT page_id, CAST(chunk_no AS INTEGER) AS chunk_no, t AS project_title,
+           CAST(length(t) AS VARCHAR) AS funding_year
+    FROM (SELECT page_id, chunk_no, unnest(list_filter(string_split(chunk, chr(10)), lambda t: starts_with(t, 'T'))) AS t
+          FROM ({CHUNKS_SQL}) c) x
+""")
+def extract_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured extraction end to end: chunk, prompt, call, strip, parse."""
+    records, _ = INF.extract_records(_page_prompts(spark, sf_dir), "prompt", title_model)
+    return records.select("page_id", "chunk_no", "project_title", "funding_year")
+
+
+@register("extract_failures", f"""
+    SELECT page_id, CAST(chunk_no AS INTEGER) AS chunk_no, 'RuntimeError: nothing found' AS error
+    FROM ({CHUNKS_SQL}) c
+    WHERE len(list_filter(string_split(chunk, chr(10)), lambda t: starts_with(t, 'T'))) = 0
+""")
+def extract_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, failed = INF.extract_records(_page_prompts(spark, sf_dir), "prompt", title_model)
+    return failed.select("page_id", "chunk_no", "error")
 
 
 @register("scrape_blocks", """
