@@ -471,19 +471,80 @@ def csv_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("csv_quarantine", """
-    SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'EXTRA' AS overflow FROM documents WHERE doc_id % 7 = 0
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id,
+           concat_ws(',', CAST(doc_id AS VARCHAR), lang, source, CAST(n_chars AS VARCHAR),
+                     '"' || replace(text, '"', '""') || '"', 'EXTRA') AS overflow
+    FROM documents WHERE doc_id % 7 = 0
 """)
 def csv_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over-long rows with their whole record."""
     rows = CT.read_tolerant_csv(spark, _damaged_docs(spark, sf_dir))
     _, bad = CT.split_overflow(rows)
     return bad.select("doc_id", F.col(CT.OVERFLOW).alias("overflow"))
 
 
-@register("csv_verify")
+@register("csv_verify", """
+    SELECT 'strict' AS kind, 'strict' AS verdict, count(*) AS n_rows, 0 AS n_overflow FROM documents WHERE doc_id % 5 = 0
+    UNION ALL SELECT 'extra', 'skip_bad', count(*), count(*) FROM documents WHERE doc_id % 5 = 1
+    UNION ALL SELECT 'quote', 'quote_none', count(*), 0 FROM documents WHERE doc_id % 5 = 2
+    UNION ALL SELECT 'semicolon', 'sniffed', count(*), 0 FROM documents WHERE doc_id % 5 = 3
+    UNION ALL SELECT 'blank', 'unparsed_nonempty', 0, 0
+""")
 def csv_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-file verdicts over the damaged documents CSV (file count depends
-    on the writer's partitioning, so this one is checked rows-only)."""
-    return CT.verify_files(spark, _damaged_docs(spark, sf_dir))
+    """Five kinds of files, one per rung of the ladder, rows summed per verdict."""
+    root = scratch_dir(spark, "verify")
+    d = table(spark, sf_dir, "documents")
+    k, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 5
+    short = F.concat_ws(",", k, "lang", "source")
+    full = F.concat_ws(",", k, "lang", _csv_quote(F.col("text")))
+    kinds = [("strict", 0, full, "doc_id,lang,text"), ("extra", 1, F.concat(full, F.lit(",EXTRA")), "doc_id,lang,text"),
+             ("quote", 2, short, 'doc_id,lang,"source'), ("semicolon", 3, F.concat_ws(";", k, "lang", "source"),
+                                                          "doc_id;lang;source"),
+             ("blank", 4, F.lit(""), "doc_id,lang,source")]
+    for name, rest, line, header in kinds:
+        write_lines(d.filter(kind == rest).select(line.alias("line")), header, f"{root}/{name}")
+    verdicts = CT.verify_files(spark, f"{root}/*")
+    return (verdicts.groupBy(F.regexp_extract("path", "([a-z]+)/[^/]*$", 1).alias("kind"), "verdict")
+            .agg(F.sum("n_rows").alias("n_rows"), F.sum("n_overflow").alias("n_overflow")))
+
+
+@register("csv_mixed_headers", """
+    SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name,
+           CASE WHEN c_custkey % 3 = 2 THEN c_mktsegment END AS "name.1" FROM customer
+""")
+def csv_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one folder with two column orders and a repeated header; a
+    data row equal to the header and a row without values are kept."""
+    root = scratch_dir(spark, "mixed_headers")
+    c = table(spark, sf_dir, "customer")
+    key, rest = F.col("c_custkey").cast("string"), F.col("c_custkey") % 3
+    for i, (cols, header) in enumerate([((key, "c_name"), "id,name"), (("c_name", key), "name,id"),
+                                        ((key, "c_name", "c_mktsegment"), "id,name,name")]):
+        write_lines(c.filter(rest == i).select(F.concat_ws(",", *cols).alias("line")), header, f"{root}/{i}")
+    return CT.split_overflow(CT.read_tolerant_csv(spark, f"{root}/*", multiline=False))[0].drop("__file")
+
+
+@register("csv_quote_none", """
+    SELECT CAST(c_custkey AS VARCHAR) AS id, '"' || c_name AS name FROM customer
+""")
+def csv_quote_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that start with a quote that never closes."""
+    path = scratch_dir(spark, "quote_none")
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), "c_name")
+    write_lines(table(spark, sf_dir, "customer").select(line.alias("line")), "id,name", path)
+    return CT.split_overflow(CT.read_tolerant_csv(spark, path, quote="", multiline=False))[0].drop("__file")
+
+
+@register("csv_empty_header", """
+    SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_custkey % 2 = 0
+""")
+def csv_empty_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose first line is empty have no columns to map and are skipped."""
+    root = scratch_dir(spark, "empty_header")
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("line"))
+    write_lines(c.filter("c_custkey % 2 = 0").select("line"), "id", f"{root}/named")
+    write_lines(c.filter("c_custkey % 2 = 1").select("line"), "", f"{root}/bare")
+    return CT.split_overflow(CT.read_tolerant_csv(spark, f"{root}/*", multiline=False))[0].drop("__file")
 
 
 def _latin1_customers(spark: SparkSession, sf_dir: str) -> str:
@@ -493,13 +554,13 @@ def _latin1_customers(spark: SparkSession, sf_dir: str) -> str:
                        F.concat(F.col("c_name"), F.lit(" Müller-Núñez")), "c_mktsegment")
     odd = c.filter(F.col("c_custkey") % 2 == 1).select(line.alias("line"))
     even = c.filter(F.col("c_custkey") % 2 == 0).select(line.alias("line"))
-    write_lines(odd, "c_custkey,c_name,c_mktsegment", os.path.join(path, "latin1"), "ISO-8859-1")
-    write_lines(even, "c_custkey,c_name,c_mktsegment", os.path.join(path, "utf8"), "UTF-8")
+    write_lines(odd, "c_custkey,c_näme,c_mktsegment", os.path.join(path, "latin1"), "ISO-8859-1")
+    write_lines(even, "c_custkey,c_näme,c_mktsegment", os.path.join(path, "utf8"), "UTF-8")
     return path
 
 
 @register("csv_latin1", """
-    SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || ' Müller-Núñez' AS c_name, c_mktsegment
+    SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || ' Müller-Núñez' AS "c_näme", c_mktsegment
     FROM customer
 """)
 def csv_latin1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -528,21 +589,8 @@ def csv_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
                 os.path.join(path, "semi"))
     write_lines(o.filter(third).select(F.concat_ws("|", *cols).alias("line")), "|".join(names),
                 os.path.join(path, "pipe"))
-    glob = os.path.join(path, "*")
-    seps = CT.sniff_delimiter(spark, glob)
-    # One sample file per delimiter found (at most the four candidates).
-    samples = seps.groupBy("delimiter").agg(F.min("path").alias("path")).collect()
-    out = None
-    for sep, sample in sorted((r[0], r[1]) for r in samples):
-        files = seps.filter(F.col("delimiter") == sep).select(F.col("path").alias("__file"))
-        header = CT.header_names(spark, sample, sep)
-        part = CT.read_tolerant_csv(spark, glob, sep=sep, multiline=False, detect_encoding=False,
-                                    names=header)
-        part = part.join(F.broadcast(files), "__file", "left_semi")
-        kept, _ = CT.split_overflow(part)
-        kept = kept.select(*names)
-        out = kept if out is None else out.unionByName(kept)
-    return out
+    rows, _ = CT.read_sniffed(spark, os.path.join(path, "*"))
+    return CT.split_overflow(rows)[0].drop("__file")
 
 
 @register("header_offset", """

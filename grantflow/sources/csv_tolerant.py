@@ -1,97 +1,154 @@
 """Tolerant CSV reading for landed datasets.
 
+One scan of the raw lines finds, per file and by position, its header line,
+whether it is UTF-8 throughout, and whether its quotes balance.  Files that
+share a header and an encoding are one layout and are read together with that
+layout's own schema (all strings, repeated names ``a, a.1``), so files of one
+folder may have different headers.
+
 The reader keeps what a lenient pandas read keeps and makes visible what it
 would drop:
 
-* schema from the header line (all strings, repeated names ``a, a.1``)
-  plus one ``__overflow`` column: a row with more fields than the header
-  fills it and is quarantined instead of silently skipped; short rows are
-  padded with nulls;
-* files that are not valid UTF-8 are re-read as ISO-8859-1;
-* ``header_row`` skips preamble lines; ``quote=""`` reads without quoting;
-* :func:`sniff_delimiter` picks ``, ; \\t |`` from the first 4,096 chars;
+* a row with more fields than its header has the whole record (as CSV text)
+  in ``__overflow`` and is quarantined instead of silently skipped; short rows
+  are padded with nulls;
+* files that are not valid UTF-8 are read as ISO-8859-1, header included;
+* ``header_row`` skips that many lines at the start of each file, by
+  position; ``quote=""`` reads without quoting;
+* rows are never recognised by content: a data row that equals the header,
+  or has no value at all, is kept;
+* :func:`sniff_delimiter` scores ``, ; \\t |`` over all lines of a file;
 * :func:`verify_files` gives the per-file verdict of the fallback ladder.
 """
 
 from __future__ import annotations
 
+import csv
+import io
+from collections import defaultdict
+from collections.abc import Iterable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantflow.functions.text import na_to_null
-from grantflow.sources.catalog import dedupe_names, header_names, header_tokens, string_schema
+from grantflow.sources.catalog import dedupe_names, string_schema
 
 OVERFLOW = "__overflow"
+SECOND, RECORD = "__overflow2", "__record"
 DELIMITERS = [",", ";", "\t", "|"]
-SNIFF_CHARS = 4096
-
-
-def _reader(spark: SparkSession, names: list[str], sep: str, encoding: str,
-            quote: str | None, multiline: bool):
-    r = (spark.read.schema(string_schema(names + [OVERFLOW]))
-         .option("header", False).option("sep", sep).option("encoding", encoding)
-         .option("mode", "PERMISSIVE").option("multiLine", multiline))
-    if quote is not None:
-        r = r.option("quote", quote)
-        if quote == "":
-            r = r.option("escape", "\\")
-    else:
-        r = r.option("escape", '"')
-    return r
+#: Share of a file's lines that must agree on the number of a delimiter.
+AGREEING = 0.9
+
+
+@dataclass(frozen=True)
+class FileFacts:
+    path: str
+    header: str            # decoded header line
+    latin1: bool
+    quotes_balance: bool
+    header_id: int         # position of the header among the scanned lines
+
+
+def raw_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Every line as raw bytes in a string: path, first (line lies in the
+    file's first split), id (ascending within a split), value."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        (F.col("_metadata.file_block_start") == 0).alias("first"),
+        F.monotonically_increasing_id().alias("id"), "value")
 
 
-def utf8_invalid_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files with a line that is not valid UTF-8.
+def file_facts(spark: SparkSession, path: str, header_row: int = 0) -> list[FileFacts]:
+    """One entry per file that has a line at ``header_row``.
 
-    The text source hands over the raw bytes of each line, so validity is
-    checked line by line while streaming (splittable, no whole-file buffer).
+    Partial aggregates over the lines; the driver receives one small row per
+    file, as it does from any listing of the files.
     """
-    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    return (t.groupBy("path").agg(F.max((~F.is_valid_utf8("value")).cast("int")).alias("bad"))
-            .filter("bad = 1").select("path"))
+    lines = raw_lines(spark, path)
+    line = F.struct("id", F.col("value").cast("binary").alias("raw"))
+    per = lines.groupBy("path").agg(
+        F.min(F.when(F.col("first"), line)).alias("head"),
+        F.max(~F.is_valid_utf8("value")).alias("latin1"),
+        (F.sum(F.regexp_count("value", F.lit('"'))) % 2 == 0).alias("balance"))
+    for _ in range(header_row):
+        seen = per.select("path", F.col("head.id").alias("seen"))
+        after = lines.join(seen, "path").where("first AND id > seen")
+        per = per.drop("head").join(after.groupBy("path").agg(F.min(line).alias("head")), "path")
+    rows = per.select("path", "head.id", "head.raw", "latin1", "balance").where("raw IS NOT NULL").collect()
+    return [FileFacts(r.path, bytes(r.raw).decode("latin-1" if r.latin1 else "utf-8").removeprefix("﻿"),
+                      r.latin1, r.balance, r.id) for r in sorted(rows, key=lambda r: r.path)]
+
+
+def fields_of(header: str, sep: str) -> list[str]:
+    return next(csv.reader(io.StringIO(header), delimiter=sep), [])
+
+
+def _options(sep: str, quote: str | None, multiline: bool) -> dict[str, str]:
+    out = {"sep": sep, "mode": "PERMISSIVE", "multiLine": str(multiline), "columnNameOfCorruptRecord": RECORD}
+    if quote is None:
+        return out | {"escape": '"'}
+    return out | {"quote": quote} | ({"escape": "\\"} if quote == "" else {})
+
+
+def read_layout(spark: SparkSession, files: Iterable[FileFacts], sep: str, header_row: int, quote: str | None,
+                multiline: bool) -> DataFrame:
+    """Files with one header and encoding -> their columns, overflow and file."""
+    files = list(files)
+    names = dedupe_names(fields_of(files[0].header, sep))
+    # Two columns for surplus fields: a record with one or with more than two
+    # differs from the schema's length, so Spark hands over its text.
+    schema = string_schema([*names, OVERFLOW, SECOND, RECORD])
+    paths, options = [f.path for f in files], _options(sep, quote, multiline)
+    encoding = "ISO-8859-1" if files[0].latin1 else "UTF-8"
+    if header_row == 0:
+        # The reader itself leaves out the first line of every file.
+        rows = spark.read.schema(schema).options(**options).option("header", True).option("enforceSchema", True) \
+            .option("encoding", encoding).csv(paths).withColumn("__file", F.col("_metadata.file_path"))
+    else:
+        if multiline:
+            raise ValueError("files with lines before the header are read line by line: multiline=False")
+        heads = spark.createDataFrame([(f.path, f.header_id) for f in files], "path string, head long")
+        text = F.decode(F.col("value").cast("binary"), encoding)
+        rows = (raw_lines(spark, paths).join(heads, "path").where("NOT first OR id > head")
+                .select(F.col("path").alias("__file"), text.alias("line")).where(F.trim("line") != "")
+                .select("__file", F.from_csv("line", _ddl(schema), options).alias("r"))
+                .select("r.*", "__file"))
+    whole = F.to_csv(F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate([*names, OVERFLOW, SECOND])]),
+                     {"sep": sep})
+    record = F.coalesce(F.regexp_replace(F.col(RECORD), r"[\r\n]+\z", ""), whole)
+    surplus = F.coalesce(OVERFLOW, SECOND).isNotNull()
+    return rows.withColumn(OVERFLOW, F.when(surplus, record)).drop(SECOND, RECORD)
+
+
+def _ddl(schema) -> str:
+    return ", ".join("`" + f.name.replace("`", "``") + "` string" for f in schema.fields)
 
 
 def read_tolerant_csv(spark: SparkSession, path: str, sep: str = ",", header_row: int = 0,
                       quote: str | None = None, multiline: bool = True,
-                      detect_encoding: bool = True, na_exempt: tuple[str, ...] = (),
-                      names: list[str] | None = None) -> DataFrame:
+                      na_exempt: tuple[str, ...] = (), facts: list[FileFacts] | None = None) -> DataFrame:
     """Landed CSV files -> all-string rows + ``__overflow`` + ``__file``.
 
-    Preamble and header lines are recognised by content (they equal the
-    first file's lines), so the read stays splittable across files.
+    The columns are those of all layouts, in the order they first occur by
+    file name; a file without header fields (an empty first line) is skipped.
+    With ``multiline`` a quoted field may hold line breaks and a file is one
+    task; without, files are split.
     """
-    raw_header = header_tokens(spark, path, sep, header_row=header_row) if names is None else names
-    names = names or dedupe_names(raw_header)
-    if not [n for n in names if n.strip()]:
-        # A dataset without header columns is skipped (no columns to map).
+    layouts: dict[tuple[str, bool], list[FileFacts]] = defaultdict(list)
+    for f in facts if facts is not None else file_facts(spark, path, header_row):
+        if any(n.strip() for n in fields_of(f.header, sep)):
+            layouts[f.header, f.latin1].append(f)
+    out = None
+    for files in layouts.values():
+        rows = read_layout(spark, files, sep, header_row, quote, multiline)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
         return spark.createDataFrame([], f"`{OVERFLOW}` string, __file string")
-    preamble = [header_tokens(spark, path, sep, header_row=i) for i in range(header_row)]
-
-    def read(encoding: str) -> DataFrame:
-        return (_reader(spark, names, sep, encoding, quote, multiline).csv(path)
-                .withColumn("__file", F.col("_metadata.file_path")))
-
-    df = read("UTF-8")
-    if detect_encoding:
-        bad = utf8_invalid_files(spark, path).withColumnRenamed("path", "__file")
-        latin = read("ISO-8859-1").join(F.broadcast(bad), "__file", "left_semi")
-        df = df.join(F.broadcast(bad), "__file", "left_anti").unionByName(latin)
-
-    def same_as(tokens: list[str]) -> Column:
-        cond = F.lit(True)
-        for i, n in enumerate(names):
-            tok = tokens[i] if i < len(tokens) else None
-            c = F.col(f"`{n}`")
-            cond = cond & (c.isNull() if tok in (None, "") else (c == F.lit(tok)))
-        return cond
-
-    for line in [raw_header] + preamble:
-        df = df.filter(~same_as(line))
-    # Blank lines are skipped by the reader; rows of only nulls are dropped.
-    df = df.filter(F.coalesce(*[F.col(f"`{n}`") for n in names + [OVERFLOW]]).isNotNull())
-    cols = [(F.col(f"`{n}`") if n in na_exempt else na_to_null(F.col(f"`{n}`"))).alias(n)
-            for n in names]
-    return df.select(*cols, F.col(OVERFLOW), "__file")
+    names = [c for c in out.columns if c not in (OVERFLOW, "__file")]
+    cols = [(F.col(f"`{n}`") if n in na_exempt else na_to_null(F.col(f"`{n}`"))).alias(n) for n in names]
+    return out.select(*cols, F.col(OVERFLOW), "__file")
 
 
 def split_overflow(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -100,71 +157,82 @@ def split_overflow(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(~bad).drop(OVERFLOW), df.filter(bad)
 
 
-def file_heads(spark: SparkSession, path: str, max_chars: int = SNIFF_CHARS) -> DataFrame:
-    """The complete lines within the first ``max_chars`` characters of each
-    file: ``(path, ln, line)``.
-
-    Only each file's first split is scanned (``file_block_start = 0``), so
-    the cost per file is bounded by the split size, never the file size.
-    """
-    from pyspark.sql import Window
-
-    t = (spark.read.text(path)
-         .select(F.col("_metadata.file_path").alias("path"),
-                 F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
-         .filter(F.col("block") == 0)
-         .withColumn("__id", F.monotonically_increasing_id()))
-    w = Window.partitionBy("path").orderBy("__id")
-    t = t.select("path", "line", F.row_number().over(w).alias("ln"),
-                 F.sum(F.length("line") + 1).over(w).alias("__end"))
-    return t.filter(F.col("__end") - 1 <= max_chars).select("path", "ln", "line")
+def overflow_counts(df: DataFrame) -> DataFrame:
+    """Per file its rows and its over-long rows."""
+    return df.groupBy("__file").agg(F.count(F.lit(1)).alias("n_rows"),
+                                    F.count_if(F.col(OVERFLOW).isNotNull()).alias("n_overflow"))
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> DataFrame:
-    """Per file the delimiter whose count is the same (and non-zero) on
-    every non-empty line of the file's first 4,096 characters; ties go to
-    the listed order."""
-    lines = file_heads(spark, path).filter(F.length("line") > 0)
-    scored = []
-    for rank, d in enumerate(DELIMITERS):
-        esc = "\\" + d if d in "|" else d
-        scored.append(lines.select("path", F.lit(d).alias("delimiter"), F.lit(rank).alias("rank"),
-                                   F.regexp_count("line", F.lit(esc)).alias("n")))
-    counts = scored[0]
-    for s in scored[1:]:
-        counts = counts.unionByName(s)
-    per = counts.groupBy("path", "delimiter", "rank").agg(
-        F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("lines"))
-    ok = per.filter((F.col("lo") == F.col("hi")) & (F.col("lo") > 0))
-    return ok.groupBy("path").agg(
-        F.min_by("delimiter", F.struct(-F.col("lines"), "rank")).alias("delimiter"))
+    """Per file ``path, delimiter, share``: of the delimiters that occur, the
+    one with the same number on most non-empty lines (ties: the more frequent
+    one in a line, then the listed order).  ``delimiter`` is null, for the
+    quarantine, where fewer than ``AGREEING`` of the lines agree."""
+    lines = raw_lines(spark, path).where(F.length("value") > 0)
+
+    def count(d: str) -> Column:
+        return F.length("value") - F.length(F.replace("value", F.lit(d), F.lit("")))
+
+    found = lines.select("path", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("rank"), F.lit(d).alias("delimiter"), count(d).alias("n"))
+        for i, d in enumerate(DELIMITERS)])).alias("x")).select("path", "x.*")
+    per = found.groupBy("path", "rank", "delimiter", "n").agg(F.count(F.lit(1)).alias("lines"))
+    best = per.where("n > 0").groupBy("path").agg(
+        F.max_by(F.struct("delimiter", "lines"), F.struct("lines", "n", -F.col("rank"))).alias("b"))
+    total = per.where("rank = 0").groupBy("path").agg(F.sum("lines").alias("total"))
+    share = F.coalesce(F.col("b.lines"), F.lit(0)) / F.col("total")
+    return total.join(best, "path", "left").select(
+        "path", F.when(share >= AGREEING, F.col("b.delimiter")).alias("delimiter"), share.alias("share"))
+
+
+def read_sniffed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of all files, each read with its own delimiter; files without one)."""
+    sniffed = sniff_delimiter(spark, path)
+    delimiter = {r.path: r.delimiter for r in sniffed.where("delimiter IS NOT NULL").collect()}
+    facts = file_facts(spark, path)
+    out = None
+    for d in DELIMITERS:
+        own = [f for f in facts if delimiter.get(f.path) == d]
+        if own:
+            rows = read_tolerant_csv(spark, path, sep=d, multiline=False, facts=own)
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        out = spark.createDataFrame([], f"`{OVERFLOW}` string, __file string")
+    return out, sniffed.where("delimiter IS NULL").select("path", "share")
 
 
 def verify_files(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Per-file verdict of the read ladder:
+    """Per-file verdict of the read ladder, the first rung that gives rows:
 
-    ``strict`` (parses, no bad rows) > ``skip_bad`` (parses once over-long
-    rows are skipped) > ``unparsed_nonempty`` (no rows but bytes present)
-    > ``empty``.  ``success`` is true for every non-empty file;
+    ``strict`` (no bad rows) > ``skip_bad`` (over-long rows skipped) >
+    ``quote_none`` (quotes don't balance: read without quoting) > ``sniffed``
+    (one header field: another delimiter fits) > ``unparsed_nonempty`` (bytes
+    but no rows).  ``success`` is true for every non-empty file;
     ``verification_passed`` only when rows were parsed.  Zero-byte files
     are skipped by Spark's file listing and so get no row (= not a success).
     """
+    facts = file_facts(spark, path)
+    other = {r.path: r.delimiter for r in sniff_delimiter(spark, path).where("delimiter IS NOT NULL").collect()}
+    groups: dict[tuple[str, str], list[FileFacts]] = defaultdict(list)
+    for f in facts:
+        if not f.quotes_balance:
+            groups["quote_none", sep].append(f)
+        elif len(fields_of(f.header, sep)) < 2 and other.get(f.path, sep) != sep:
+            groups["sniffed", other[f.path]].append(f)
+        else:
+            groups["plain", sep].append(f)
+    counts = spark.createDataFrame([], "__file string, n_rows long, n_overflow long, rung string")
+    for (rung, delimiter), files in groups.items():
+        rows = read_tolerant_csv(spark, path, sep=delimiter, quote="" if rung == "quote_none" else None,
+                                 multiline=rung == "plain", facts=files)
+        counts = counts.unionByName(overflow_counts(rows).withColumn("rung", F.lit(rung)))
     listing = (spark.read.format("binaryFile").load(path)
                .select(F.col("path").alias("__file"), F.col("length").alias("n_bytes")))
-    rows = read_tolerant_csv(spark, path, sep=sep)
-    stats = rows.groupBy("__file").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(F.col(OVERFLOW).isNotNull()).alias("n_overflow"))
-    bad_utf8 = utf8_invalid_files(spark, path).select(F.col("path").alias("__file"), F.lit(False).alias("utf8_ok"))
-    j = listing.join(stats, "__file", "left").join(bad_utf8, "__file", "left")
-    n_rows = F.coalesce("n_rows", F.lit(0))
-    verdict = (F.when(F.col("n_bytes") == 0, "empty")
-               .when(n_rows == 0, "unparsed_nonempty")
-               .when(F.coalesce("n_overflow", F.lit(0)) == 0, "strict")
-               .otherwise("skip_bad"))
-    return j.select(F.col("__file").alias("path"), "n_bytes", n_rows.alias("n_rows"),
-                    F.coalesce("n_overflow", F.lit(0)).alias("n_overflow"),
-                    F.coalesce("utf8_ok", F.lit(True)).alias("utf8_ok"),
-                    verdict.alias("verdict"),
-                    (F.col("n_bytes") > 0).alias("success"),
-                    (n_rows > 0).alias("verification_passed"))
+    latin1 = spark.createDataFrame([(f.path, not f.latin1) for f in facts], "__file string, utf8_ok boolean")
+    j = listing.join(counts, "__file", "left").join(latin1, "__file", "left")
+    n_rows, n_overflow = F.coalesce("n_rows", F.lit(0)), F.coalesce("n_overflow", F.lit(0))
+    verdict = (F.when(n_rows == 0, "unparsed_nonempty").when(F.col("rung") != "plain", F.col("rung"))
+               .when(n_overflow == 0, "strict").otherwise("skip_bad"))
+    return j.select(F.col("__file").alias("path"), "n_bytes", n_rows.alias("n_rows"), n_overflow.alias("n_overflow"),
+                    F.coalesce("utf8_ok", F.lit(True)).alias("utf8_ok"), verdict.alias("verdict"),
+                    (F.col("n_bytes") > 0).alias("success"), (n_rows > 0).alias("verification_passed"))

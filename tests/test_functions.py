@@ -190,3 +190,54 @@ def test_truncate(spark):
     df = spark.createDataFrame([("é" * 10,)], "v string")
     r = df.select(T.truncate("v", 4).alias("t"), T.is_truncated("v", 4).alias("f")).first()
     assert r.t == "éééé" and r.f
+
+
+def test_html_text_against_the_standard_parser(spark):
+    """An independent walk: html.parser instead of this package's patterns."""
+    from html.parser import HTMLParser
+
+    from grantflow.functions.html import html_to_text
+
+    class Walk(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.skip, self.out = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style")
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style")
+
+        def handle_data(self, data):
+            if not self.skip and data.strip():
+                self.out.append(data.strip())
+
+    pages = ["<p title='x>y'>a &eacute; &ndash; &#233; &euro; &amp;lt; &lt;b&gt;</p><a href=\"q>\">z</a>",
+             "<style>p{}</style><p>one &amp; two</p><script>if (a<b) {}</script>three&nbsp;",
+             "<!DOCTYPE html><html><body>5 &gt; 4 &copy; &hellip; &#x41;<br/>x</body></html>",
+             "<p>&amp;eacute; &Aacute;&ouml;</p>", "no tags", ""]
+    want = []
+    for p in pages:
+        w = Walk()
+        w.feed(p)
+        w.close()
+        want.append("\n".join(w.out))
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, h string")
+    assert [r.t for r in rows.select("i", html_to_text("h").alias("t")).orderBy("i").collect()] == want
+
+
+def test_text_chunks_cover_the_whole_text(spark):
+    from grantflow.sources.html_pages import text_chunks
+    text = "".join(chr(97 + i % 26) for i in range(70_001))
+    pages = spark.createDataFrame([(1, f"<p>{text}</p>"), (2, ""), (3, None)], "page_id int, html string")
+    rows = text_chunks(pages, 32_000).orderBy("page_id", "chunk_no").collect()
+    assert "".join(r.chunk for r in rows if r.page_id == 1) == text
+    assert [(r.page_id, r.chunk_no) for r in rows] == [(1, 0), (1, 1), (1, 2), (2, 0), (3, 0)]
+
+
+def test_file_records_by_type_and_any_key(spark):
+    from grantflow.sources import json_shapes as J
+    docs = ['{"note": "[\\"x\\"]", "rows": [{"a": 1}, {"a": 2}]}', """{"it's": [{"a": 3}]}"""]
+    rows = spark.createDataFrame([(d,) for d in docs], "d string").select(J.file_records("d").alias("r")).collect()
+    assert [[x.replace(" ", "") for x in r.r] for r in rows] == [['{"a":1}', '{"a":2}'], ['{"a":3}']]

@@ -184,12 +184,24 @@ def test_latest_per_key_and_status(spark):
         "timestamp timestamp_ntz, file_count long, total_bytes long")
     latest = runs.latest_per_key(r, ["source_name", "action"], ["run_ts"]).orderBy("action").collect()
     assert [x.status for x in latest] == ["failed", "success"]
-    cat = spark.createDataFrame([("src_1", "F", "csv"), ("src_9", "G", "api")],
-                                "source_id string, funder string, format string")
-    st = {x.source_id: x for x in runs.source_status(cat, r, as_of_literal("2024-01-04 05:00:00")).collect()}
-    assert st["src_1"].downloaded and st["src_1"].age_days == 2.0 and st["src_1"].size_mb == 1.0
-    assert st["src_1"].download_path == "raw/src_1/b/20240102_000000"
-    assert (st["src_9"].downloaded, st["src_9"].file_count, st["src_9"].size_mb) == (False, 0, 0.0)
+    cat = spark.createDataFrame([("src_1", "a", "F", "csv"), ("src_1", "b", "F", "csv"), ("src_9", "a", "G", "api")],
+                                "source_id string, action string, funder string, format string")
+    st = {(x.source_id, x.action): x
+          for x in runs.source_status(cat, r, as_of_literal("2024-01-04 05:00:00")).collect()}
+    b = st["src_1", "b"]
+    assert b.downloaded and b.age_days == 2.0 and b.size_mb == 1.0
+    assert b.download_path == "raw/src_1/b/20240102_000000"
+    assert st["src_1", "a"].download_path == "raw/src_1/a/20240101_000000"      # the failed run is no download
+    none = st["src_9", "a"]
+    assert (none.downloaded, none.file_count, none.size_mb) == (False, 0, 0.0)
+
+
+def test_run_metadata_has_the_base_fields(spark):
+    files = spark.createDataFrame([("s", "a", dt.datetime(2024, 1, 1), '{"type": "X", "pages": 3}', "csv")],
+                                  "source_name string, action string, run_ts timestamp_ntz, props string, format string")
+    extra = runs.run_metadata(files, "props").first().extra
+    assert extra == {"source_id": "", "funder": "", "source_name": "s", "country": "", "type": "X",
+                     "status": "Downloaded", "format": "csv", "timestamp": "", "pages": "3"}
 
 
 def test_merge_extras_last_wins(spark):
@@ -212,6 +224,60 @@ def test_model_roundtrip(spark):
     assert quality.duplicate_keys(flat.union(flat), "grant_id").count() == 3
 
 
+def test_model_keeps_rows_that_conflict(spark):
+    """Equal ids and titles, other amounts and organizations: nothing is lost."""
+    flat = conform(wide(spark, [("T", None, "1", None, "A B", "U1", "1.00", None),
+                                ("T", None, "1", None, "A B", "U1", "2.00", None),
+                                ("T", None, "1", None, "A B", "U1", "2.00", None),
+                                ("T", None, "1", None, None, None, "3.00", None)])).drop("quarantine_reasons")
+    flat = flat.withColumn("organization_id", F.lit("given")).withColumn(
+        "ROR", F.when(F.col("amount") == 1, "https://ror.org/1"))
+    t = model.normalise(flat)
+    back = model.reassemble(t)
+    cols = flat.columns
+    want = model.with_keys(flat).select(*cols)
+    assert sorted(map(str, back.select(*cols).collect())) == sorted(map(str, want.collect()))
+    assert [r.organization_id for r in model.conflicts(t["organization"], "organization_id").collect()] == ["given"]
+
+
+def test_append_twice_adds_once(spark, tmpdir_):
+    flat = conform(wide(spark, [("T", None, "1", None, "A B", "U1", None, None),
+                                (None, None, "2", None, "A B", "U1", None, None)])).drop("quarantine_reasons")
+    rows = flat.withColumns({c: F.lit("x") for c in ("DOI", "resource", "funder_name", "funder_id", "funding_type",
+                                                    "internal_award_number", "source_id")})
+    path = tmpdir_ + "/appended"
+    for _ in range(2):
+        rejected = serve.append_grants(rows, path)
+        assert [r.grant_id for r in rejected.collect()] == ["2"]
+    assert [r.grant_id for r in serve.read_grants(spark, path).collect()] == ["1"]
+
+
+def test_model_is_called_once_per_prompt(spark, tmpdir_):
+    datasets = spark.createDataFrame([("s", str(i), f"p{i}") for i in range(4)],
+                                     "source string, columns_hash string, prompt string")
+    cache = spark.createDataFrame([], "source string, columns_hash string, source_col string, target_col string")
+    log = tmpdir_
+
+    def fn(prompts):
+        import uuid
+        for p in prompts:
+            open(f"{log}/{p}-{uuid.uuid4().hex}", "w").close()
+        return ['{"a": "DOI"}' if p != "p3" else "?" for p in prompts]
+
+    import os
+    valid, failed, rejected = M.resolve_mappings(spark, datasets, cache, fn)
+    assert (valid.count(), failed.count(), rejected.count(), valid.count()) == (3, 1, 0, 3)
+    assert len([f for f in os.listdir(log) if f.startswith("p")]) == 4
+
+
+def test_conform_mapped_uses_the_vocabulary(spark):
+    pairs = [("Amt", "@amount"), ("Total", "award-amount"), ("Name", "project-title"), ("Odd", "null")]
+    assert M.crosswalked(pairs) == [("Total", "amount"), ("Name", "project_title"), ("Amt", "amount")]
+    df = spark.createDataFrame([("5", None, "T", "s")], "Amt string, Total string, Name string, source_id string")
+    r = M.conform_mapped(df, pairs, lineage=["source_id"]).first()
+    assert (float(r.amount), r.project_title, r.source_id, len(r.columns_hash)) == (5.0, "T", "s", 32)
+
+
 def test_serve_publish_idempotent_and_search(spark, tmpdir_):
     df = conform(wide(spark, [("Urgent T", None, "1", "2024-01-01 – 2025-01-01", "A B", "U", "500", None),
                               ("Other", None, "2", "2023-01-01 – 2024-01-01", "A B", "U", "50", None)])) \

@@ -7,7 +7,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, queries
+from grantflow.plans.registry import ORACLES, QUERIES, load_all
+
+load_all()
 
 SMOKE = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -43,10 +46,9 @@ def duck():
 
 
 def test_registry_complete():
-    q, o = queries(), oracle_sql()
-    assert len(q) >= 75
-    assert set(o) <= set(q)
-    assert set(q) - set(o) == {"csv_verify"}       # the one rows-only query
+    assert len(QUERIES) >= 95
+    assert set(ORACLES) == set(QUERIES)            # every query has its SQL
+    assert set(QUERIES) <= set(queries())
 
 
 def test_entry(spark):
@@ -55,10 +57,10 @@ def test_entry(spark):
     assert df.columns == ["grant_id", "n_violations", "violations", "null_amount"]
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, duck, name):
-    s_cols, s_rows = canon(queries()[name](spark, SMOKE).toPandas())
-    o_cols, o_rows = canon(duck.execute(oracle_sql()[name]).df())
+    s_cols, s_rows = canon(QUERIES[name](spark, SMOKE).toPandas())
+    o_cols, o_rows = canon(duck.execute(ORACLES[name]).df())
     assert s_cols == o_cols
     assert len(s_rows) == len(o_rows)
     assert s_rows == o_rows

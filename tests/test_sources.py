@@ -36,7 +36,7 @@ def test_csv_damage_set(spark, tmpdir_):
     got = {r.id: (r.name, r.amount) for r in kept.collect()}
     assert got == {"1": ("alpha", "10"), "2": ("multi\nline", "20"), "3": ("short", None),
                    "5": ('quote "in" text', None)}
-    assert [(r["id"], r["__overflow"]) for r in bad.collect()] == [("4", "EXTRA")]
+    assert [(r["id"], r["__overflow"]) for r in bad.collect()] == [("4", "4,over,30,EXTRA")]
 
 
 def test_csv_latin1_and_header_offset(spark, tmpdir_):
@@ -54,6 +54,30 @@ def test_csv_repeated_headers(spark, tmpdir_):
     assert tuple(rows.first()[:3]) == ("1", "2", "3")
 
 
+def test_csv_each_file_has_its_own_header(spark, tmpdir_):
+    d = os.path.join(tmpdir_, "mixed")
+    write(d, "a.csv", "id,name\n1,x\nid,name\n,\n2,3,4,5\n")
+    write(d, "b.csv", "name,id\ny,6\n")
+    write(d, "c.csv", "id,Títol\n7,ñ\n".encode("latin-1"))
+    for multiline in (True, False):
+        kept, bad = CT.split_overflow(CT.read_tolerant_csv(spark, d, multiline=multiline))
+        got = sorted(((r.id, r.name, r["Títol"]) for r in kept.collect()), key=str)
+        assert got == sorted([("1", "x", None), ("id", "name", None), (None, None, None), ("6", "y", None),
+                              ("7", None, "ñ")], key=str)
+        assert [r["__overflow"] for r in bad.collect()] == ["2,3,4,5"]
+
+
+def test_sniff_needs_no_prefix_and_names_what_it_cannot_tell(spark, tmpdir_):
+    d = os.path.join(tmpdir_, "sniff2")
+    wide = [f"column_{i}" for i in range(900)]               # a header beyond 4,096 characters
+    write(d, "wide.csv", ";".join(wide) + "\n" + ";".join("1" * 900) + "\n")
+    write(d, "uneven.csv", "a;b\n" + "1;2\n" * 30 + "1;2;3\n")
+    write(d, "prose.csv", "no table\nat all, here\n")
+    rows, unknown = CT.read_sniffed(spark, d)
+    assert rows.count() == 32 and len(rows.columns) == 904
+    assert [os.path.basename(r.path) for r in unknown.collect()] == ["prose.csv"]
+
+
 def test_sniff_and_verify(spark, tmpdir_):
     d = os.path.join(tmpdir_, "sniff")
     write(d, "semi.csv", "a;b;c\n1;2;3\n4;5;6\n")
@@ -111,11 +135,16 @@ def test_project_api(spark):
     ]
     df = spark.createDataFrame([("s", p, b) for p, b in bodies], "source string, page long, body string")
     pages = {r.page: r for r in J.project_pages(df).collect()}
-    assert [pages[p].kept for p in (1, 2, 3, 4)] == [True, True, False, False]
+    assert [pages[p].after_empty for p in (1, 2, 3, 4)] == [False, False, False, True]
+    assert [pages[p].beyond_announced for p in (1, 2, 3, 4)] == [False, False, False, True]
     assert pages[1].total == 250 and pages[1].expected_pages == 3
     flat = J.flatten_projects(df).orderBy("page").collect()
     assert [(r.code, r.acronym, r.title, r.start_date, r.end_date, r.funder) for r in flat] == [
-        ("C1", "A", "T", "2020-01-01", None, "EC; NIH"), ("7", "", "", None, None, "ERC")]
+        ("C1", "A", "T", "2020-01-01", None, "EC; NIH"), ("7", "", "", None, None, "ERC"),
+        ("C1", "A", "T", "2020-01-01", None, "EC; NIH")]
+    many = spark.range(1, 2001).select(F.lit("s").alias("source"), F.col("id").alias("page"), F.lit(
+        '{"response": {"header": {"total": 5}, "results": {"result": {"id": "x", "metadata": 3}}}}').alias("body"))
+    assert J.flatten_projects(many).where("raw_id = 'x'").count() == 2000      # no page is dropped
     totals = spark.createDataFrame([('{"response": {"header": {"total": "12.5"}}}',),
                                     ('{"response": {}}',)], "b string")
     assert [r[0] for r in totals.select(J.project_total("b")).collect()] == [None, 0]
