@@ -57,18 +57,13 @@ def funder_key(funder: Column) -> Column:
 
 
 def group_actions(df: DataFrame, funder: str, action: str, data_link: str) -> DataFrame:
-    """Actions per funder key as ``array<struct<name,data_link>>``.
-
-    Distinct (funder, action, link) first — a map-side-combined aggregate —
-    so each funder's array holds its distinct actions, not its rows.
-    """
-    pairs = (df.filter(F.col(funder).isNotNull() & (F.col(funder) != "")
+    """Distinct actions per funder key, one row each (``funder_key, name,
+    data_link``): a funder's links are not bounded, so they are not one array."""
+    return (df.filter(F.col(funder).isNotNull() & (F.col(funder) != "")
                        & F.col(action).isNotNull() & (F.col(action) != ""))
                .select(funder_key(F.col(funder)).alias("funder_key"),
                        F.col(action).alias("name"), F.col(data_link).alias("data_link"))
                .distinct())
-    return pairs.groupBy("funder_key").agg(
-        F.sort_array(F.collect_list(F.struct("name", "data_link"))).alias("actions"))
 
 
 def dispatch(fmt: Column, source_id: Column, url: Column) -> Column:

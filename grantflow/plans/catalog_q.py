@@ -227,9 +227,9 @@ FUNDER_SQL = "'Fundació ' || CAST(user_id % 12 AS VARCHAR)"
 
 
 @register("funder_actions", f"""
-    SELECT replace({FUNDER_SQL}, ' ', '_') AS funder_key, count(DISTINCT event_type) AS n_actions,
-           string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS action_names
-    FROM events GROUP BY 1
+    SELECT DISTINCT replace({FUNDER_SQL}, ' ', '_') AS funder_key, event_type AS name,
+           'https://data.example.org/f' || CAST(user_id % 12 AS VARCHAR) || '/' || event_type AS data_link
+    FROM events
 """)
 def funder_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(
@@ -237,9 +237,7 @@ def funder_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type",
         F.concat(F.lit("https://data.example.org/f"), (F.col("user_id") % 12).cast("string"),
                  F.lit("/"), F.col("event_type")).alias("link"))
-    g = CO.group_actions(e, "funder", "event_type", "link")
-    return g.select("funder_key", F.size("actions").cast("bigint").alias("n_actions"),
-                    F.array_join(F.transform("actions", lambda a: a["name"]), ",").alias("action_names"))
+    return CO.group_actions(e, "funder", "event_type", "link")
 
 
 def _settings_sql() -> str:

@@ -321,9 +321,9 @@ def land_events(spark: SparkSession, sf_dir: str, root: str) -> None:
 def landing_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_dir(spark, "landing")
     land_events(spark, sf_dir, root)
-    chosen = L.pick_files(L.latest_run_files(L.list_landed(spark, root)))
+    chosen = L.pick_files(L.latest_run_files(staged(L.list_landed(spark, root), "listing")))
     keys = ["source_name", "action", "run_ts"]
-    chosen_runs = chosen.select(*keys, F.col("ext").alias("format")).distinct()
+    chosen_runs = staged(chosen.select(*keys, F.col("ext").alias("format")).distinct(), "chosen-runs")
     schema = "event_id bigint, user_id bigint, event_type string, value double, props string"
     js = spark.read.schema(schema).option("pathGlobFilter", "*.json").json(root)
     cs = spark.read.schema(schema).option("header", True).option("pathGlobFilter", "*.csv").csv(root)

@@ -84,10 +84,11 @@ def read_catalog(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     df = (spark.read.schema(string_schema(names))
           .option("header", True).option("enforceSchema", True)
           .option("sep", sep).option("multiLine", True).option("escape", '"')
-          .csv(path))
-    df = df.select(*[(F.col(f"`{c}`") if c in NA_EXEMPT else na_to_null(F.col(f"`{c}`"))).alias(c)
+          .csv(path).withColumn("__file", F.col("_metadata.file_path")))
+    df = df.select("__file", *[(F.col(f"`{c}`") if c in NA_EXEMPT else na_to_null(F.col(f"`{c}`"))).alias(c)
                      for c in names])
-    return df.withColumn("__ord", F.monotonically_increasing_id())
+    # Later files, and later rows of a file, win; a file is read by one task.
+    return df.withColumn("__ord", F.struct("__file", F.monotonically_increasing_id())).drop("__file")
 
 
 def missing_required(columns: list[str], required=CATALOG_REQUIRED) -> list[str]:

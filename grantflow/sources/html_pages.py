@@ -1,18 +1,19 @@
 """HTML pages: landing, readable text, and block scraping.
 
 Readable text is pure Column work (:mod:`grantflow.functions.html`).  Block
-scraping by CSS class needs a real tag tree (nesting), so it is a Python
-UDTF over the standard-library parser; it runs per page inside the task
-that holds the page.
+scraping by CSS class needs a real tag tree (nesting), so it is an Arrow
+function over the standard-library parser; it runs inside the task that
+holds the page.
 """
 
 from __future__ import annotations
 
 from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql import types as T
 
 from grantflow.functions.html import html_to_text
 from grantflow.functions.text import is_truncated, truncate
@@ -74,28 +75,28 @@ class _BlockParser(HTMLParser):
                 self.current.append(s)
 
 
-@udtf(returnType="block_no: int, text: string")
-class ScrapeBlocks:
-    """``scrape_blocks(html, row_class, field_class)`` -> one row per block."""
-
-    def eval(self, html: str, row_cls: str, field_cls: str | None = None):
-        if html is None or not row_cls:
-            return
-        p = _BlockParser(row_cls, field_cls)
-        p.feed(html)
-        p.close()
-        for i, text in enumerate(p.blocks):
-            yield i, text
+def blocks_of(html: str | None, row_cls: str, field_cls: str | None) -> list[str]:
+    if html is None or not row_cls:
+        return []
+    p = _BlockParser(row_cls, field_cls)
+    p.feed(html)
+    p.close()
+    return p.blocks
 
 
 def scrape_blocks(spark: SparkSession, pages: DataFrame, row_cls: str,
                   field_cls: str | None = None) -> DataFrame:
-    """Lateral join of ``pages(page_id, html)`` with :class:`ScrapeBlocks`."""
-    spark.udtf.register("scrape_blocks", ScrapeBlocks)
-    return spark.sql(
-        "SELECT p.page_id, b.block_no, b.text FROM {pages} p, "
-        "LATERAL scrape_blocks(p.html, :row_cls, :field_cls) b",
-        args={"row_cls": row_cls, "field_cls": field_cls}, pages=pages)
+    """``pages(page_id, html)`` -> one row per block: page_id, block_no, text.
+
+    Pages travel in Arrow batches; a page's blocks come back as one array and
+    are exploded by Spark.
+    """
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def found(html: pd.Series) -> pd.Series:
+        return html.map(lambda h: blocks_of(h, row_cls, field_cls))
+
+    return pages.select("page_id", F.posexplode_outer(found("html")).alias("block_no", "text")) \
+                .filter(F.col("block_no").isNotNull())
 
 
 def page_text(pages: DataFrame, max_chars: int = 32000) -> DataFrame:
