@@ -13,7 +13,7 @@ from grantflow.schema import NA_TOKENS
 WS_CLASS = r"[\t\n\x0B\f\r \x{1c}-\x{1f}\x{85}\p{Z}]"
 STRIP_RE = rf"\A{WS_CLASS}+|{WS_CLASS}+\z"
 
-# Record fields asked of the extraction model, in prompt order.
+# Record fields asked of the extraction model, in prompt order.
 RECORD_FIELDS = [
     "project_title", "principal_investigator", "institution", "funding_amount",
     "funding_year", "duration", "description", "research_area",

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
-# Canonical flat grant schema (one wide row per grant x organization x person)
+# Fixed values that must equal the reference's: field names and their order.
 # ---------------------------------------------------------------------------
+
+# Canonical flat grant schema (one wide row per grant x organization x person).
 AMOUNT_TYPE = T.DecimalType(20, 2)
 PERCENT_TYPE = T.DecimalType(7, 4)
 
@@ -39,11 +41,6 @@ GRANT_FIELDS: list[tuple[str, T.DataType]] = [
 ]
 GRANT_SCHEMA = T.StructType([T.StructField(n, t, True) for n, t in GRANT_FIELDS])
 GRANT_COLUMNS = [n for n, _ in GRANT_FIELDS]
-LINEAGE_FIELDS: list[tuple[str, T.DataType]] = [
-    ("source_id", T.StringType()),
-    ("run_ts", T.TimestampType()),
-    ("columns_hash", T.StringType()),
-]
 
 # Relational model (grant_project / organization / investigator + link table).
 GRANT_PROJECT_COLUMNS = [
@@ -65,7 +62,7 @@ REQUIRED_GRANT_FIELDS = [
 ]
 
 # ---------------------------------------------------------------------------
-# Fixed values that must equal the reference's.
+# Vocabulary, word lists, headers and mappings.
 # ---------------------------------------------------------------------------
 
 # Grant vocabulary in declared order: (key, description, limits).  Two keys
@@ -195,7 +192,3 @@ VOCABULARY_SCHEMA = T.StructType([
 def vocabulary_df(spark: SparkSession) -> DataFrame:
     """The vocabulary as a 35-row DataFrame (fixed size: always broadcastable)."""
     return spark.createDataFrame(vocabulary_rows(), VOCABULARY_SCHEMA)
-
-
-def empty_grants(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], GRANT_SCHEMA)

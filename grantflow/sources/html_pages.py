@@ -125,9 +125,3 @@ def write_pages(pages: DataFrame, path: str) -> None:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
-
-
-def read_html_files(spark: SparkSession, path: str) -> DataFrame:
-    """Landed ``.html`` files, one row per file ``(path, html)``."""
-    return (spark.read.option("wholetext", True).text(path)
-            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html")))

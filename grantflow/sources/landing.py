@@ -73,10 +73,3 @@ def pick_files(listing: DataFrame) -> DataFrame:
               .filter(F.col("__rank").isNotNull()))
     best = ranked.groupBy(*PARTITIONS).agg(F.min("__rank").alias("__rank"))
     return ranked.join(best, [*PARTITIONS, "__rank"], "left_semi").drop("__rank")
-
-
-def run_sizes(listing: DataFrame) -> DataFrame:
-    """File count and size (MB, 2 decimals) per run."""
-    return listing.groupBy(*PARTITIONS).agg(
-        F.count(F.lit(1)).alias("file_count"),
-        F.round(F.sum("bytes") / F.lit(1048576.0), 2).alias("size_mb"))
