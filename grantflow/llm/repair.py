@@ -1,7 +1,7 @@
 """Token-id shards compressed by Re-Pair grammars, with random access.
 
-Documents are tokenised once, ordered by id into shards, and every shard is
-written as one file: frequent adjacent pairs of ids are replaced by new
+Documents are ordered by id into shards of bounded text size, tokenised there,
+and every shard is written as one file: frequent adjacent pairs of ids are replaced by new
 symbols, round after round, each round counting all pairs of the shard anew
 and replacing the most frequent ones that do not compete for an id.  No pair
 crosses the end of a document, so the file keeps, per document, where its
@@ -16,7 +16,7 @@ Arrow IPC stream.
 
 A task writes its file under its own attempt's name and reports it in the
 manifest, a table; files of failed attempts are never read.  Rows with equal
-ids are ordered by a hash of their tokens, so that a repeated id is spread
+ids are ordered by a hash of their text, so that a repeated id is spread
 over shards; null ids come first; null and empty texts hold the end id alone;
 an empty table gives no shard and an empty result.
 """
@@ -32,18 +32,31 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from grantflow.llm.pieces import id_rows, token_ids, vocabulary
+from grantflow.llm.chunks import ragged, text_slices
+from grantflow.llm.pieces import token_ids, vocabulary
 from grantflow.llm.store import new_folder, open_store, staged
 
-#: Ids of a shard, on average; a task holds one shard.
-SHARD_TOKENS = 4_000_000
+#: Text of a shard, on average; a task holds one shard.
+SHARD_BYTES = 10_000_000
+#: Stretches of text whose ids a Python worker keeps.
+STRETCHES = 700_000
 #: Most rounds of replacement, and pairs replaced in one round at most.
-ROUNDS, PAIRS = 8, 4096
+ROUNDS, PAIRS = 4, 4096
 #: A pair must occur this often to earn a rule (a rule costs three numbers).
 LEAST = 16
 MAGIC, HEADER = b"GFREPAIR", struct.Struct("<8sQQQQQ")
 
 
+def frequent(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values that occur at least ``LEAST`` times, and how often."""
+    values = np.sort(values)
+    # In sorted order a value that occurs n times equals its LEAST - 1st
+    # successor n - LEAST + 1 times.
+    hits = values[:max(0, len(values) - LEAST + 1)][values[LEAST - 1:] == values[:max(0, len(values) - LEAST + 1)]]
+    at = np.flatnonzero(np.append(True, hits[1:] != hits[:-1])) if len(hits) else np.zeros(0, np.int64)
+    return hits[at], np.diff(np.append(at, len(hits))) + LEAST - 1
+
+
 def replace_pairs(symbols: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over ``symbols``; ``ends`` marks the last symbol of a document.
 
@@ -57,9 +70,7 @@ def replace_pairs(symbols: np.ndarray, ends: np.ndarray, first: int) -> tuple[np
             break
         inside = ~ends[:-1]                                    # no pair across documents
         pairs = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        kinds, counts = np.unique(pairs[inside], return_counts=True)
-        often = counts >= LEAST
-        kinds, counts = kinds[often], counts[often]
+        kinds, counts = frequent(pairs[inside])
         chosen: list[int] = []
         is_left, is_right = np.zeros(new, bool), np.zeros(new, bool)
         for pair in kinds[np.lexsort((kinds, -counts))].tolist():
@@ -103,20 +114,31 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """The ids that ``symbols`` stand for; one pass per nesting level."""
-    while True:
-        nested = symbols >= first
-        if not nested.any():
-            return symbols
-        width = 1 + nested.astype(np.int64)
-        at = np.cumsum(width) - width
-        out = np.empty(int(width.sum()), np.uint32)
-        out[at[~nested]] = symbols[~nested]
-        pair = rules[symbols[nested] - first]
-        out[at[nested]] = pair[:, 0]
-        out[at[nested] + 1] = pair[:, 1]
-        symbols = out
+def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every symbol up to the last rule, where its ids start in one flat
+    array and how many they are."""
+    length = np.append(np.ones(first, np.int64), expansion_lengths(rules, first).astype(np.int64))
+    start = np.cumsum(length) - length
+    flat = np.zeros(int(length.sum()), np.uint32)
+    flat[:first] = np.arange(first)
+    waiting = np.arange(len(rules))
+    done = np.append(np.ones(first, bool), np.zeros(len(rules), bool))
+    while len(waiting):
+        ready = waiting[done[rules[waiting].astype(np.int64)].all(axis=1)]
+        for side, at in ((0, start[first + ready]), (1, start[first + ready] + length[rules[ready, 0]])):
+            part = rules[ready, side].astype(np.int64)
+            n = length[part]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            flat[np.repeat(at, n) + step] = flat[np.repeat(start[part], n) + step]
+        done[first + ready] = True
+        waiting = waiting[~done[first + waiting]]
+    return start, length, flat
+
+
+def expand(symbols: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The ids that ``symbols`` stand for."""
+    start, length, flat = table
+    return flat[ragged(start, length, symbols)[0]]
 
 
 def encode_shard(keys: pa.Array, docs: list[np.ndarray], first: int) -> bytes:
@@ -161,14 +183,21 @@ class Shard:
         self.symbols = self.symbols.view("<u4").reshape(-1)
         self.starts = array("<u8", self.n_docs + 1).astype(np.int64)
         self.first_id = array("<u8", self.n_docs + 1).astype(np.int64)
+        self.table = expansions(self.rules, self.first)
         self.keys = pa.ipc.open_stream(pa.py_buffer(data)[at:]).read_all().column("id").combine_chunks()
 
+    def documents(self, start: int, stop: int) -> list[np.ndarray]:
+        """All ids of documents ``start .. stop - 1``, expanded together."""
+        ids = expand(self.symbols[self.starts[start]:self.starts[stop]], self.table)
+        cut = self.first_id[start:stop + 1] - self.first_id[start]
+        return [ids[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist())]
+
     def ids(self, doc: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids ``start:stop`` of a document; expansion lengths skip the
         symbols before and after the slice."""
         symbols = self.symbols[self.starts[doc]:self.starts[doc + 1]]
         if start == 0 and stop is None:
-            return expand(symbols, self.rules, self.first)
+            return expand(symbols, self.table)
         nested = symbols >= self.first
         width = np.ones(len(symbols), np.int64)
         width[nested] = self.lengths[symbols[nested] - self.first]
@@ -176,19 +205,21 @@ class Shard:
         stop = int(upto[-1]) if stop is None else min(stop, int(upto[-1]))
         lo, hi = np.searchsorted(upto, start, "right"), np.searchsorted(upto, stop, "left") + 1
         skipped = int(upto[lo] - width[lo]) if lo < len(upto) else 0
-        return expand(symbols[lo:hi], self.rules, self.first)[start - skipped:max(stop, start) - skipped]
+        return expand(symbols[lo:hi], self.table)[start - skipped:max(stop, start) - skipped]
 
 
-def _write_shards(folder: str, file: str):
+def _write_shards(folder: str, file: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = token_ids(vocabulary(file))
+        tok = token_ids(vocabulary(file), STRETCHES)
         keys, docs = [], []
         for batch in batches:
-            keys.append(batch.column(0))
-            docs += [np.frombuffer(x, tok.dtype) for x in batch.column(1).to_pylist()]
+            for part in text_slices(batch, 1):
+                keys.append(part.column(0))
+                docs += [np.append(np.frombuffer(x, tok.dtype), tok.dtype.type(end_id))
+                         for x in tok.encode(part.column(1))]
         if not docs:
             return
-        data = encode_shard(pa.concat_arrays(keys), docs, 1 << 16 if tok.dtype.itemsize == 2 else 1 << 31)
+        data = encode_shard(pa.concat_arrays(keys), docs, tok.lib.get_vocab_size())
         task = TaskContext.get()
         store, path = open_store(f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.rp")
         store.create_dir(path.rpartition("/")[0], recursive=True)
@@ -207,15 +238,14 @@ def write_shards(docs: DataFrame, file: str, end_id: int, id_col: str = "doc_id"
     """Write all documents in id order; the folder and its manifest, with
     ``first`` = ids in earlier shards."""
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    ids = staged(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-                 .mapInArrow(id_rows(file, end_id), f"id {kind}, ids binary, n_tokens long"), "tokens")
-    total = ids.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    order = ["id", F.xxhash64("ids")]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    order = ["id", F.xxhash64("text"), "text"]
     folder = new_folder(spark, "shards")
-    sorted_ids = ids.repartitionByRange(max(1, -(-total // SHARD_TOKENS)), *order).sortWithinPartitions(*order)
-    manifest = staged(sorted_ids.select("id", "ids").mapInArrow(
-        _write_shards(folder, file), "shard long, name string, n_docs long, n_tokens long, n_bytes long"), "manifest")
+    ordered = rows.repartitionByRange(total // SHARD_BYTES + 1, *order[:2]).sortWithinPartitions(*order)
+    manifest = staged(ordered.mapInArrow(
+        _write_shards(folder, file, end_id),
+        "shard long, name string, n_docs long, n_tokens long, n_bytes long"), "manifest")
     # One row per shard.
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     return folder, manifest.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -230,7 +260,7 @@ def _read_shards(folder: str):
                     shard = Shard(f.read())
                 for at in range(0, shard.n_docs, 1000):
                     docs = range(at, min(at + 1000, shard.n_docs))
-                    ids = [shard.ids(d) for d in docs]
+                    ids = shard.documents(docs.start, docs.stop)
                     yield pa.record_batch([
                         shard.keys.slice(at, len(docs)),
                         pa.array(shard.first_id[at:docs.stop] + first),

@@ -102,7 +102,7 @@ def test_random_access():
     shard = repair.Shard(repair.encode_shard(pa.array(range(len(docs))), docs, 1 << 16))
     assert len(shard.rules) > 50 and len(shard.symbols) < sum(map(len, docs)) * 0.8
     for rule, size in zip(range(len(shard.rules)), shard.lengths.tolist()):
-        assert len(repair.expand(np.array([shard.first + rule], np.uint32), shard.rules, shard.first)) == size
+        assert len(repair.expand(np.array([shard.first + rule], np.uint32), shard.table)) == size
     for d, ids in enumerate(docs):
         assert (shard.ids(d) == ids).all()
         a, b = sorted(rng.integers(0, len(ids) + 2, 2).tolist())
