@@ -8,6 +8,7 @@ scripts, styles, comments and doctypes yields the same nodes.
 
 from __future__ import annotations
 
+import re
 from html import unescape
 
 import pandas as pd
@@ -55,25 +56,30 @@ def decode_entities(c: Column) -> Column:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def unescape_all(nodes: pd.Series) -> pd.Series:
-    """Every named and numeric reference of HTML5, once."""
-    return nodes.map(lambda x: None if x is None else [unescape(t) for t in x])
+def nodes_with_all_references(html: pd.Series) -> pd.Series:
+    """Text nodes with every named and numeric reference of HTML5 decoded."""
+    def nodes(h: str | None) -> list[str] | None:
+        if h is None:
+            return None
+        for pattern in (SCRIPT_RE, STYLE_RE, COMMENT_RE, DOCTYPE_RE):
+            h = re.sub(pattern, "<x>", h)
+        return [t for t in (unescape(t).strip() for t in re.split(TAG_RE, h)) if t]
+
+    return html.map(nodes)
 
 
 def text_nodes(html: Column | str) -> Column:
     """Array of stripped, non-empty text nodes outside script/style.
 
-    The common references are decoded by Spark; only pages with any other
-    reach the Arrow function (the rest hand it a null).
+    Spark does pages whose references are all common ones; only pages with
+    any other reach the Arrow function (the rest hand it a null).
     """
     h = _col(html)
+    rest = nodes_with_all_references(F.when(h.rlike(OTHER_ENTITY_RE), h))
     for pattern in (SCRIPT_RE, STYLE_RE, COMMENT_RE, DOCTYPE_RE):
         h = F.regexp_replace(h, pattern, "<x>")
-    raw = F.split(h, JAVA_TAG_RE)
-    rest = unescape_all(F.when(h.rlike(OTHER_ENTITY_RE), raw))
-    nodes = F.coalesce(rest, F.transform(raw, decode_entities))
-    nodes = F.transform(nodes, lambda t: F.regexp_replace(t, STRIP_RE, ""))
-    return F.filter(nodes, lambda t: t != "")
+    nodes = F.transform(F.split(h, JAVA_TAG_RE), lambda t: F.regexp_replace(decode_entities(t), STRIP_RE, ""))
+    return F.coalesce(rest, F.filter(nodes, lambda t: t != ""))
 
 
 def html_to_text(html: Column | str) -> Column:

@@ -106,11 +106,10 @@ def normalise(grants: DataFrame, materialize: bool = False) -> dict[str, DataFra
 
 
 def _left_on_key(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
-    """Left join that keeps rows without a key out of the shuffle: they have
-    no match and would all meet in one partition."""
-    with_key = rows.filter(F.col(key).isNotNull()).join(side, key, "left")
-    bare = rows.filter(F.col(key).isNull())
-    return with_key.unionByName(bare, allowMissingColumns=True)
+    """Left join in which rows without a key are spread by their grant: a key
+    made of it matches nothing, where nulls would all meet in one partition."""
+    own = F.coalesce(F.col(key), F.concat(F.lit("-"), F.col("grant_project_id")))
+    return rows.withColumn("__key", own).join(side.withColumnRenamed(key, "__key"), "__key", "left").drop("__key")
 
 
 def reassemble(tables: dict[str, DataFrame]) -> DataFrame:
