@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts and bytes that are looked at together.
-BATCH_TEXTS, BATCH_BYTES = 512, 4_000_000
+BATCH_TEXTS, BATCH_BYTES = 512, 2_000_000
 
 
 def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from grantflow.llm.pieces import id_rows, token_ids, vocabulary
+from grantflow.llm.pieces import id_rows
 from grantflow.llm.store import staged
 
 WINDOW = 2048
@@ -176,10 +176,9 @@ class _Packer:
         self.open = self._lay(self.open, [1 << k for k in range(left.bit_length() - 1, -1, -1) if left >> k & 1])
 
 
-def _pack_rows(file: str, window: int, mix: np.ndarray, per_token: np.ndarray):
+def _pack_rows(window: int, mix: np.ndarray, per_token: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = token_ids(vocabulary(file)).dtype
-        packer = _Packer(window, dtype, mix, per_token, TaskContext.get().partitionId() << 32)
+        packer = _Packer(window, np.dtype("<u2"), mix, per_token, TaskContext.get().partitionId() << 32)
         kind = None
 
         def rows() -> Iterator[pa.RecordBatch]:
@@ -192,9 +191,11 @@ def _pack_rows(file: str, window: int, mix: np.ndarray, per_token: np.ndarray):
         docs, tokens = [], 0
         for batch in batches:
             kind = batch.schema.field(0).type
-            for doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                docs.append(doc)
-                tokens += len(doc[1]) // dtype.itemsize
+            for key, ids, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                # Every document has its end id, so its id width can be seen.
+                packer.dtype = np.dtype(f"<u{len(ids) // n}")
+                docs.append((key, ids))
+                tokens += n
                 if tokens >= BLOCK_TOKENS:
                     packer.block(docs, tokens)
                     docs, tokens = [], 0
@@ -220,4 +221,4 @@ def pack(docs: DataFrame, file: str, end_id: int, id_col: str = "doc_id", text_c
     mix, times = solve_mix({r.b: r.n for r in counted if r.b}, window)
     tokens = sum(r.tokens for r in counted)
     out = f"id {kind}, " + ", ".join(f"{c} long" for c in PIECE[1:])
-    return ids.select("id", "ids").mapInArrow(_pack_rows(file, window, mix, times / max(tokens, 1)), out)
+    return ids.mapInArrow(_pack_rows(window, mix, times / max(tokens, 1)), out)

@@ -5,7 +5,7 @@ the two tokenizer kinds used here spans the start of a run of white space.
 So a text is cut there, a stretch seen before is one dictionary lookup, and
 all new stretches of a batch go to the library in one call.
 
-The cache takes ``CACHE_SIZE`` stretches of up to ``CACHED_CHARS`` characters
+The cache takes ``cache_size`` stretches of up to ``CACHED_CHARS`` characters
 and starts afresh when most lookups of a batch miss a full cache, so memory
 is bounded for any input.
 """
@@ -22,8 +22,11 @@ import pyarrow.compute as pc
 
 from grantflow.llm.chunks import ragged, space_chunks, text_slices
 
-CACHE_SIZE = 1_000_000
+#: Stretches a Python worker keeps (about 200 bytes each).
+CACHE_SIZE = 300_000
 CACHED_CHARS = 48
+#: New stretches that go to the library in one call.
+CALL = 8_192
 
 # The white space of the Unicode standard.
 BLANKS = ("\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029"
@@ -36,9 +39,10 @@ class TokenIds:
     """``encode(texts)`` -> one byte string of little-endian ids per text, as
     the library gives them without added begin or end tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_size: int = CACHE_SIZE):
         from tokenizers import Tokenizer
 
+        self.cache_size = cache_size
         self.lib = Tokenizer.from_file(path)
         added = {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()}
         if not added:
@@ -86,7 +90,7 @@ class TokenIds:
             return found
         if lead:
             new = [i for i in new if words[i] and not _EDGE.match(words[i])]
-        if len(cache) + len(new) > CACHE_SIZE and 2 * len(new) > len(words):
+        if len(cache) + len(new) > self.cache_size and 2 * len(new) > len(words):
             cache.clear()
         units = [lead + words[i] for i in new]
         joined = "\n".join(units)
@@ -96,10 +100,11 @@ class TokenIds:
                 found[i] = self.library([lead + words[i]])[0]
             new = [i for i in new if i not in odd]
             units = [lead + words[i] for i in new]
-        for i, ids in zip(new, self._together(units) if units else ()):
-            found[i] = ids
-            if len(words[i]) <= CACHED_CHARS and len(cache) < CACHE_SIZE:
-                cache[words[i]] = ids
+        for at in range(0, len(new), CALL):
+            for i, ids in zip(new[at:at + CALL], self._together(units[at:at + CALL])):
+                found[i] = ids
+                if len(words[i]) <= CACHED_CHARS and len(cache) < self.cache_size:
+                    cache[words[i]] = ids
         return found
 
     def _spaced(self, text: str) -> bytes:
@@ -157,11 +162,11 @@ class TokenIds:
 
 
 @functools.lru_cache(maxsize=2)
-def token_ids(path: str) -> TokenIds:
+def token_ids(path: str, cache_size: int = CACHE_SIZE) -> TokenIds:
     """The tokenizer of this Python process, loaded once."""
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark runs a process per core
-    return TokenIds(path)
+    return TokenIds(path, cache_size)
 
 
 def vocabulary(name: str) -> str:

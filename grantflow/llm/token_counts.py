@@ -44,7 +44,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Letters below have the same class in all Unicode versions; texts with
 #: others are cut into pre-tokens by the library.
 SETTLED = "\u0530"
-PIECES, PAIRS = 300_000, 600_000
+#: Entries of the caches of a Python worker.
+STRETCHES, PIECES, PAIRS = 700_000, 300_000, 600_000
 STEP = np.dtype("<i2")
 
 
@@ -62,7 +63,7 @@ class PrefixSteps(TokenIds):
     def __init__(self, path: str):
         import ahocorasick
         import regex
-        super().__init__(path)
+        super().__init__(path, STRETCHES)
         if not self.byte_level:
             raise ValueError("prefix counts are for byte-level tokenizers")
         self.pattern = regex.compile(PATTERN)
