@@ -143,7 +143,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Network
         .where(F.col("text").rlike(r"\p{L}"))
     # Bounded: at most SAMPLE_PER_LANG ids of each language.
     sample = bounded_sample(rows.select("id", "lang").distinct(), "lang", SAMPLE_PER_LANG)
-    got = (rows.join(F.broadcast(sample), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))
+    got = (rows.join(sample, ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))
            .select("lang", "text").mapInArrow(_sample_windows, "lang string, window binary").toArrow())
     if not got.num_rows:
         return None

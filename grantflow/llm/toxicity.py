@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     # At most SAMPLE_PER_LABEL ids of each of two labels.
     sample = bounded_sample(rows.where("toxic IN (0, 1)"), "toxic", SAMPLE_PER_LABEL)
     texts = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-             .join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")))
+             .join(sample, "id").groupBy("id", "toxic").agg(F.min("text").alias("text")))
     got = texts.select("toxic", "text").mapInArrow(_sample_terms, "toxic int, terms array<int>").toArrow()
     docs_terms = [x for x in got.column("terms").combine_chunks().to_numpy(zero_copy_only=False)] \
         if got.num_rows else []
