@@ -108,14 +108,17 @@ def page_text(pages: DataFrame, max_chars: int = 32000) -> DataFrame:
 
 
 def text_chunks(pages: DataFrame, max_chars: int = 32000) -> DataFrame:
-    """Readable text per page in consecutive chunks of ``max_chars``
+    """Readable text per page in consecutive chunks of at most ``max_chars``
     characters: the input columns, ``chunk_no`` (from 0) and ``chunk``.  A
-    page without text has one empty chunk."""
+    chunk ends after the last line end within the limit; only a line that is
+    longer than the limit is cut inside.  A page without text has one empty
+    chunk."""
     text = pages.select("*", html_to_text(F.col("html")).alias("__text"))
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("__text") / F.lit(max_chars)) - 1, F.lit(0)).cast("int"))
-    return (text.select("*", F.explode(starts).alias("chunk_no"))
-            .select(*pages.columns, "chunk_no",
-                    F.substring("__text", F.col("chunk_no") * max_chars + 1, F.lit(max_chars)).alias("chunk")))
+    # The rest if it fits, else up to the last line end that does, else a piece of one line.
+    piece = F.lit(rf"(?s).{{1,{max_chars}}}\z|.{{0,{max_chars - 1}}}\n|.{{{max_chars}}}")
+    long = F.coalesce(F.length("__text") > max_chars, F.lit(False))
+    chunks = F.when(long, F.regexp_extract_all("__text", piece, F.lit(0))).otherwise(F.array("__text"))
+    return text.select(*pages.columns, F.posexplode(chunks).alias("chunk_no", "chunk"))
 
 
 def write_pages(pages: DataFrame, path: str) -> None:

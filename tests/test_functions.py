@@ -1,6 +1,8 @@
 """Column helpers on literal frames, including the golden values."""
 
 import datetime as dt
+import itertools
+import random
 from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
@@ -236,6 +238,22 @@ def test_text_chunks_cover_the_whole_text(spark):
     assert [(r.page_id, r.chunk_no) for r in rows] == [(1, 0), (1, 1), (1, 2), (2, 0), (3, 0)]
 
 
+def test_text_chunks_keep_lines_whole(spark):
+    from grantflow.sources.html_pages import text_chunks
+    rng = random.Random(4)
+    lines = ["T" + "xé𝄞 "[i % 3] * rng.randrange(1, 60) for i in range(400)]
+    lines[200] = "T" + "y" * 950                                   # longer than a chunk
+    text = "\n".join(lines)
+    pages = spark.createDataFrame([(1, "".join(f"<p>{x}</p>" for x in lines))], "page_id int, html string")
+    chunks = [r.chunk for r in text_chunks(pages, 300).orderBy("chunk_no").collect()]
+    assert "".join(chunks) == text and max(map(len, chunks)) <= 300
+    titles = [x for c in chunks for x in c.split("\n") if x.startswith("T")]
+    assert [x for x in titles if "y" not in x] == [x for x in lines if "y" not in x]
+    at = text.index(lines[200])
+    for end in itertools.accumulate(map(len, chunks[:-1])):
+        assert text[end - 1] == "\n" or at < end < at + 951
+
+
 def test_file_records_by_type_and_any_key(spark):
     from grantflow.sources import json_shapes as J
     docs = ['{"note": "[\\"x\\"]", "rows": [{"a": 1}, {"a": 2}]}', """{"it's": [{"a": 3}]}"""]
