@@ -3,14 +3,16 @@
 Documents are ordered by id into shards of bounded text size, tokenised there,
 and every shard is written as one file: frequent adjacent pairs of ids are replaced by new
 symbols, round after round, each round counting all pairs of the shard anew
-and replacing the most frequent ones that do not compete for an id.  No pair
-crosses the end of a document, so the file keeps, per document, where its
+and replacing the most frequent ones that do not compete for an id, until no
+pair is frequent.  Pairs of one symbol count, and are replaced, from left to
+right without overlap.  No pair crosses the end of a document, so the file keeps, per document, where its
 symbols start; expanding a slice of them gives the document back without the
 rest of the shard.
 
 File layout (little-endian): a 48-byte header (magic, id of the first new
-symbol, counts, bytes per symbol), then arrays: rules (left, right), expansion
-length of every rule, symbols, first symbol of every document (and the end), first id of
+symbol, counts, bits per symbol), then arrays: rules (left, right), expansion
+length of every rule, symbols (their whole low bytes, then a bit array for
+every higher bit), first symbol of every document (and the end), first id of
 every document within the shard (and the end), and the documents' keys as an
 Arrow IPC stream.
 
@@ -40,8 +42,8 @@ from grantflow.llm.store import new_folder, open_store, staged
 SHARD_BYTES = 10_000_000
 #: Stretches of text whose ids a Python worker keeps.
 STRETCHES = 700_000
-#: Most rounds of replacement, and pairs replaced in one round at most.
-ROUNDS, PAIRS = 4, 4096
+#: Pairs replaced in one round at most.
+PAIRS = 4096
 #: A pair must occur this often to earn a rule (a rule costs three numbers).
 LEAST = 16
 MAGIC, HEADER = b"GFREPAIR", struct.Struct("<8sQQQQQ")
@@ -64,20 +66,31 @@ def replace_pairs(symbols: np.ndarray, ends: np.ndarray, first: int) -> tuple[np
     (left, right) of symbols ``first``, ``first + 1``, ...
     """
     rules = [np.zeros((0, 2), np.uint32)]
-    new = first
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
-        inside = ~ends[:-1]                                    # no pair across documents
-        pairs = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        kinds, counts = frequent(pairs[inside])
+    new = recent = first
+    # A pair of known symbols only gets rarer: later rounds look at pairs
+    # whose sides were in frequent ones, and at those of the last rules.
+    left_of, right_of = np.ones(new, bool), np.ones(new, bool)
+    while True:
+        one, two = symbols[:-1], symbols[1:]
+        seen = left_of[one] & right_of[two]
+        if new > recent:
+            seen |= (one >= recent) | (two >= recent)
+        at = np.flatnonzero(seen & ~ends[:-1])                 # no pair across documents
+        # In a run of one symbol every other pair counts.
+        equal = np.flatnonzero(one[at] == two[at])
+        head = np.append(True, np.diff(at[equal]) != 1)[:len(equal)]
+        rank = np.arange(len(equal)) - np.flatnonzero(head)[np.cumsum(head) - 1]
+        at = np.delete(at, equal[rank % 2 == 1])
+        pairs = (one[at].astype(np.uint64) << np.uint64(32)) | two[at]
+        kinds, counts = frequent(pairs)
         chosen: list[int] = []
         is_left, is_right = np.zeros(new, bool), np.zeros(new, bool)
         for pair in kinds[np.lexsort((kinds, -counts))].tolist():
             left, right = pair >> 32, pair & 0xFFFFFFFF
             # A symbol is a left or a right side this round, not both, so
-            # two chosen pairs never overlap in the text.
-            if left == right or is_right[left] or is_left[right]:
+            # two chosen pairs never overlap in the text; in a pair of equal
+            # symbols it is both, and in no other pair.
+            if is_right[left] or is_left[right]:
                 continue
             chosen.append(pair)
             is_left[left] = is_right[right] = True
@@ -86,9 +99,10 @@ def replace_pairs(symbols: np.ndarray, ends: np.ndarray, first: int) -> tuple[np
         if not chosen:
             break
         table = np.sort(np.array(chosen, np.uint64))
-        at = np.flatnonzero(is_left[symbols[:-1]] & is_right[symbols[1:]] & inside)
-        slot = np.minimum(np.searchsorted(table, pairs[at]), len(table) - 1)
-        hit = table[slot] == pairs[at]
+        maybe = is_left[one[at]] & is_right[two[at]]
+        at, pairs = at[maybe], pairs[maybe]
+        slot = np.minimum(np.searchsorted(table, pairs), len(table) - 1)
+        hit = table[slot] == pairs
         at, slot = at[hit], slot[hit]
         symbols = symbols.copy()
         symbols[at] = new + slot
@@ -98,7 +112,9 @@ def replace_pairs(symbols: np.ndarray, ends: np.ndarray, first: int) -> tuple[np
         keep[at + 1] = False
         symbols, ends = symbols[keep], ends[keep]
         rules.append(np.stack([table >> np.uint64(32), table & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        new += len(table)
+        recent, new = new, new + len(table)
+        left_of, right_of = np.zeros(new, bool), np.zeros(new, bool)
+        left_of[kinds >> np.uint64(32)] = right_of[kinds & np.uint64(0xFFFFFFFF)] = True
     return symbols, ends, np.concatenate(rules)
 
 
@@ -152,11 +168,13 @@ def encode_shard(keys: pa.Array, docs: list[np.ndarray], first: int) -> bytes:
     table = pa.record_batch([keys], names=["id"])
     with pa.ipc.new_stream(sink, table.schema) as w:
         w.write_batch(table)
-    width = -(-int(first + len(rules)).bit_length() // 8)
+    width = int(first + len(rules)).bit_length()
     return b"".join([
         HEADER.pack(MAGIC, first, len(rules), len(symbols), len(docs), width),
         rules.astype("<u4").tobytes(), expansion_lengths(rules, first).astype("<u4").tobytes(),
-        symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes(), starts.tobytes(),
+        symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width // 8].tobytes(),
+        *(np.packbits((symbols >> bit & 1).astype(bool)).tobytes() for bit in range(width // 8 * 8, width)),
+        starts.tobytes(),
         np.append(0, np.cumsum(sizes)).astype("<u8").tobytes(), sink.getvalue().to_pybytes()])
 
 
@@ -177,10 +195,13 @@ class Shard:
 
         self.rules = array("<u4", 2 * n_rules).reshape(-1, 2)
         self.lengths = array("<u4", n_rules)
-        packed = array("u1", n_symbols * width).reshape(-1, width)
+        packed = array("u1", n_symbols * (width // 8)).reshape(n_symbols, width // 8)
         self.symbols = np.zeros((n_symbols, 4), np.uint8)
-        self.symbols[:, :width] = packed
+        self.symbols[:, :width // 8] = packed
         self.symbols = self.symbols.view("<u4").reshape(-1)
+        for bit in range(width // 8 * 8, width):
+            plane = np.unpackbits(array("u1", -(-n_symbols // 8)), count=n_symbols)
+            self.symbols |= plane.astype("<u4") << bit
         self.starts = array("<u8", self.n_docs + 1).astype(np.int64)
         self.first_id = array("<u8", self.n_docs + 1).astype(np.int64)
         self.table = expansions(self.rules, self.first)

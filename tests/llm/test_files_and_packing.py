@@ -96,6 +96,23 @@ def test_shards_round_trip(spark, monkeypatch):
     assert empty.count() == 0
 
 
+def test_pairs_are_replaced_until_none_is_frequent():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(100, 900, 1000)
+    docs = [np.append(x, 1).astype(np.uint16) for x in [passage] * 40 + [np.full(n, 7) for n in (1, 2, 3, 500, 4097)]]
+    shard = repair.Shard(repair.encode_shard(pa.array(range(len(docs))), docs, 1 << 16))
+    assert all((x == y).all() for x, y in zip(shard.documents(0, len(docs)), docs))
+    sizes = np.diff(shard.starts)
+    assert sizes[:40].max() <= 3                                    # a copy is a symbol or two, and the end
+    assert (shard.rules[:, 0] == shard.rules[:, 1]).any() and sizes[44] < 4097 / 8
+    inside = np.ones(len(shard.symbols) - 1, bool)
+    inside[shard.starts[1:-1] - 1] = False
+    pairs = shard.symbols[:-1].astype(np.uint64) << np.uint64(32) | shard.symbols[1:]
+    kinds, counts = np.unique(pairs[inside], return_counts=True)
+    unequal = kinds >> np.uint64(32) != kinds & np.uint64(0xFFFFFFFF)
+    assert counts[unequal].max(initial=0) < repair.LEAST and counts[~unequal].max(initial=0) < 2 * repair.LEAST
+
+
 def test_random_access():
     rng = np.random.default_rng(0)
     docs = [np.append(rng.zipf(1.3, n).clip(max=900), 1).astype(np.uint16) for n in rng.integers(0, 400, 300)]
