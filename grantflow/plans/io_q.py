@@ -609,6 +609,10 @@ def header_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --------------------------------------------------------------- streaming
 
+#: Most rows of a landed file of the stream, and its micro-batches, about.
+STREAM_FILE_ROWS, STREAM_BATCHES = 100_000, 4
+
+
 @register("stream_ingest", _conformed_out_sql("first_column").replace(
     "SELECT grant_id,", "SELECT source_id, grant_id,", 1))
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -616,10 +620,10 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     equals the batch conform of the same rows."""
     p = paths(scratch_dir(spark, "stream"))
     g = landing_frame(spark, sf_dir).drop("row_no")
-    g.repartition(4, "Project/Area Number").write.parquet(p["landing"])
-    # One landed file per trigger: as many micro-batches as files.
+    g.write.option("maxRecordsPerFile", STREAM_FILE_ROWS).parquet(p["landing"])
+    files = len(spark.read.schema(g.schema).parquet(p["landing"]).inputFiles())
     ingest_landing(spark, p["landing"], g.schema, p["grants"], p["checkpoint"], p["ingest_runs"],
-                   files_per_trigger=1)
+                   files_per_trigger=max(1, -(-files // STREAM_BATCHES)))
     out = spark.read.parquet(p["grants"])
     return portable(out.select("source_id", *CONFORMED_OUT, "quarantine_reasons"))
 

@@ -32,3 +32,21 @@ def test_ingest_incremental_and_idempotent(spark, tmpdir_):
     runs = spark.read.parquet(p["ingest_runs"])
     assert runs.agg(F.sum("n_rows")).first()[0] == g.count()
     assert os.path.isdir(p["checkpoint"])
+
+
+def test_stream_query_lands_by_size_and_reads_many_files_a_batch(spark, monkeypatch):
+    from grantflow.plans import io_q
+    seen = []
+
+    def ingest(spark, landing, schema, *rest, files_per_trigger):
+        seen.append((len(spark.read.parquet(landing).inputFiles()), files_per_trigger))
+        ingest_landing(spark, landing, schema, *rest, files_per_trigger=files_per_trigger)
+
+    ingest_landing = io_q.ingest_landing
+    monkeypatch.setattr(io_q, "ingest_landing", ingest)
+    monkeypatch.setattr(io_q, "STREAM_FILE_ROWS", 100)
+    sf = "/root/testdata/sf0.001"
+    out = io_q.stream_ingest(spark, sf)
+    assert out.count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    (files, each), = seen
+    assert files >= 15 and 3 <= each < files
