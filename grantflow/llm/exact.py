@@ -1,7 +1,7 @@
-"""Exact duplicates by a tree-merge of sorted digest runs.
+"""Exact duplicates by a tree-merge of digest runs.
 
-Each input partition becomes one sorted run of (digest, smallest row).  Runs
-are exchanged and merged in rounds of ``FAN_IN`` neighbours (run ``r`` joins
+Each input partition becomes one run of (digest, smallest row).  Runs
+are exchanged and merged, by aggregation on the digest, in rounds of ``FAN_IN`` neighbours (run ``r`` joins
 run ``r >> FAN_IN_BITS``), every merge keeping the smallest row and the count
 of a digest; after ``log(runs)`` rounds one run is left, and the winners go
 back down the same tree.  A text that fills a third of all rows is one row per
@@ -33,13 +33,13 @@ def normalised(text: Column) -> Column:
 
 
 def digest_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, digest key, row number and run, sorted by digest within a run."""
+    """id, digest key, row number and run."""
     rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
     rows = rows.select(
         "id", F.unhex(F.sha2("norm", 256)).alias("sha"), F.octet_length("norm").cast("long").alias("n_bytes"),
         F.xxhash64("norm").alias("xx"), F.monotonically_increasing_id().alias("row"),
         F.spark_partition_id().alias("run"))
-    return staged(rows.sortWithinPartitions("sha"), "exact-runs")
+    return staged(rows, "exact-runs")
 
 
 def _joined(low: DataFrame, high: DataFrame, run: Column) -> DataFrame:

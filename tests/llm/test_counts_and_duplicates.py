@@ -118,3 +118,11 @@ def test_components_of_long_chains(spark):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     first, second = min(nodes[:100]), min(nodes[101:])
     assert got == {n: first for n in nodes[:100]} | {n: second for n in nodes[101:]}
+
+
+def test_digest_runs_are_not_sorted_for_nothing(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(exact, "staged", lambda df, name: plans.append(
+        df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    exact.digest_runs(frame(spark), "doc_id", "text")
+    assert len(plans) == 1 and "Sort" not in plans[0]
