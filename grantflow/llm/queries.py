@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grantflow.llm import ann, exact, langid, mixing, packing, repair, simhash, token_counts, toxicity, warc
+from grantflow.llm import (ann, exact, filter_audit, langid, merkle, mixing, packing, repair, simhash, token_counts,
+                           toxicity, warc)
 from grantflow.llm.store import table
 
 
@@ -65,6 +66,14 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_of_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
@@ -76,10 +85,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_pack_windows": op9_pack_windows,
     "op10_mix_sources": op10_mix_sources,
+    "op11_merkle": op11_merkle,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op3_warc": warc.ORACLE_SQL,
     "op4_exact_dedup": exact.ORACLE_SQL,
     "op10_mix_sources": mixing.ORACLE_SQL,
+    "op11_merkle": merkle.ORACLE_SQL,
+    "op13_filter_audit": filter_audit.ORACLE_SQL,
 }
