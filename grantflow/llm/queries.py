@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grantflow.llm import (ann, exact, filter_audit, langid, merkle, mixing, packing, repair, simhash, token_counts,
-                           toxicity, warc)
+from grantflow.llm import (ann, exact, filter_audit, langid, merkle, mixing, packing, repair, repeats, simhash,
+                           token_counts, toxicity, warc)
 from grantflow.llm.store import table
 
 
@@ -70,6 +70,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_of_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.without_repeats(table(spark, sf_dir, "documents"), width=400)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed",
+                      F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pack_windows": op9_pack_windows,
     "op10_mix_sources": op10_mix_sources,
     "op11_merkle": op11_merkle,
+    "op12_repeats": op12_repeats,
     "op13_filter_audit": op13_filter_audit,
 }
 
