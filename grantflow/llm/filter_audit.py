@@ -122,12 +122,13 @@ def text_filters(docs: DataFrame, labels: DataFrame) -> DataFrame:
         (words < 200).alias("a"), (100 * distinct < 50 * words).alias("b"),
         (100 * F.regexp_count("text", F.lit("[A-Z]")) > 2 * F.length("text")).alias("c"),
         F.col("text").rlike(r"[#$%&*|]").alias("d")), "filter-verdicts")
-    copies = (rows.groupBy("sha", "n_bytes").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest"))
-              .where("largest > smallest").drop("largest"))
+    # Joined on the id too, so the rows of a text with many copies are spread.
+    firsts = rows.groupBy("sha", "n_bytes").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
     told = labels.groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"),
                                         F.max(F.col("toxic") == 1).alias("toxic"))
-    return (rows.join(copies, ["sha", "n_bytes"], "left").withColumn("e", F.col("doc_id") > F.col("smallest"))
-            .drop("sha", "n_bytes", "smallest").join(told, "doc_id", "left"))
+    return (rows.join(firsts, ["sha", "n_bytes", "doc_id"], "left")
+            .withColumn("e", F.col("doc_id").isNotNull() & F.col("first").isNull())
+            .drop("sha", "n_bytes", "first").join(told, "doc_id", "left"))
 
 
 def audit_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
