@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantflow.functions.ids import raw_path, run_label
+from grantflow.operators.runs import LoadCounts
 from grantflow.plans.frames import LANDING_SQL, landing_frame, table
 from grantflow.plans.grants_q import CONFORMED_OUT, _conformed_out_sql
 from grantflow.plans.registry import register
@@ -21,7 +22,7 @@ from grantflow.session import scratch_dir, staged
 from grantflow.sources import csv_tolerant as CT
 from grantflow.sources import json_shapes as J
 from grantflow.sources import landing as L
-from grantflow.streaming.ingest import ingest_landing, paths
+from grantflow.streaming.ingest import committed, ingest_landing, paths
 
 # --------------------------------------------------------------- API pages
 
@@ -348,31 +349,35 @@ def _ragged_cols(p: int) -> list[str]:
 RAGGED_SCHEMA = "event_id bigint, ts string, user_id bigint, event_type string, value double, props string"
 
 
-def _land_ragged(spark: SparkSession, sf_dir: str) -> str:
-    """Events as four pages with growing column sets, written in one job:
-    fields that a page lacks are left out of its JSON lines."""
-    root = scratch_dir(spark, "ragged")
+def _ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as four pages with growing column sets; null where a page lacks a column."""
     e = table(spark, sf_dir, "events").withColumn("page", (F.col("event_id") % 4).cast("int"))
     late = {c: p for p, group in enumerate(RAGGED) for c in group}
-    cols = [F.when(F.col("page") >= late[c], F.col(c)).alias(c) for c in EVENT_COLS]
-    (e.select("page", *cols).write.partitionBy("page").option("ignoreNullFields", True)
+    return e.select("page", *[F.when(F.col("page") >= late[c], F.col(c)).alias(c) for c in EVENT_COLS])
+
+
+def _write_ragged(rows: DataFrame, root: str) -> str:
+    """All pages in one job: fields that a page lacks are left out of its JSON lines."""
+    (rows.write.partitionBy("page").option("ignoreNullFields", True)
      .option("timestampNTZFormat", TS_FORMAT).json(root))
     return root
 
 
+def _land_ragged(spark: SparkSession, sf_dir: str) -> str:
+    return _write_ragged(_ragged(spark, sf_dir), scratch_dir(spark, "ragged"))
+
+
 @register("load_counts", """
     SELECT CAST(event_id % 4 AS INTEGER) AS page, count(*) AS n_records,
            CAST(3 + event_id % 4 AS INTEGER) AS n_columns
     FROM events GROUP BY 1, 3
 """)
 def load_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records and distinct columns of every landed page, from its lines."""
-    lines = spark.read.schema("value string").text(_land_ragged(spark, sf_dir))
-    per = lines.select("page", F.json_object_keys("value").alias("keys"))
-    counts = per.groupBy("page").agg(F.count(F.lit(1)).alias("n_records"))
-    names = (per.select("page", F.explode("keys").alias("name")).groupBy("page")
-             .agg(F.countDistinct("name").cast("int").alias("n_columns")))
-    return counts.join(names, "page")
+    """Records and columns of every page, observed while they are landed."""
+    rows = _ragged(spark, sf_dir)
+    counts = LoadCounts(rows, "page", range(len(RAGGED)), EVENT_COLS)
+    _write_ragged(counts.rows, scratch_dir(spark, "ragged"))
+    return counts.result().where("n_records > 0").select(F.col("load").cast("int").alias("page"), "n_records", "n_columns")
 
 
 @register("union_pages", """
@@ -414,13 +419,13 @@ def _csv_quote(c: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
-def write_lines(df: DataFrame, header: str, path: str, encoding: str = "UTF-8") -> None:
+def write_lines(df: DataFrame, header: str | None, path: str, encoding: str = "UTF-8") -> None:
     """Pre-formatted lines (column ``line``) written as-is, ``header`` first
     in every file (added per partition, so each output file starts with it)."""
     import pandas as pd
 
     def with_header(batches):
-        first = True
+        first = header is not None
         for pdf in batches:
             if first:
                 pdf = pd.concat([pd.DataFrame({"line": [header]}), pdf], ignore_index=True)
@@ -578,7 +583,8 @@ def csv_latin1(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def csv_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders landed with ';' (and ``|`` for a third of them); each file's
-    delimiter is sniffed from its head and the files are read per delimiter."""
+    delimiter is sniffed from all of its records, and the files are read per
+    dialect."""
     path = scratch_dir(spark, "orders_sniff")
     o = table(spark, sf_dir, "orders")
     cols = [F.col("o_orderkey").cast("string"), F.col("o_orderstatus"),
@@ -593,6 +599,85 @@ def csv_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CT.split_overflow(rows)[0].drop("__file")
 
 
+@register("csv_dialects", """
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang,
+           CASE WHEN doc_id % 3 = 0 THEN replace(text, ' ', '; ') WHEN doc_id % 3 = 1 THEN replace(text, ' ', '|')
+                ELSE replace(text, '. ', chr(10) || '; ') END AS text
+    FROM documents
+""")
+def csv_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in three dialects, quoted fields full of other delimiters and
+    of line breaks: ``;`` and ``"``, ``|`` and ``'``, ``,`` and ``"``."""
+    root = scratch_dir(spark, "dialects")
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    texts = [F.replace("text", F.lit(" "), F.lit("; ")), F.replace("text", F.lit(" "), F.lit("|")),
+             F.replace("text", F.lit(". "), F.lit("\n; "))]
+    for i, (sep, quote, text) in enumerate(zip(";|,", "\"'\"", texts)):
+        quoted = F.concat(F.lit(quote), F.replace(text, F.lit(quote), F.lit(quote * 2)), F.lit(quote))
+        write_lines(d.where(F.col("doc_id") % 3 == i).select(F.concat_ws(sep, k, "lang", quoted).alias("line")),
+                    sep.join(["doc_id", "lang", "text"]), f"{root}/{i}")
+    rows, unknown = CT.read_sniffed(spark, f"{root}/*")
+    lost = unknown.select(F.concat(F.lit("unread "), F.col("path")).alias("doc_id"), F.lit(None).cast("string").alias("lang"),
+                          F.lit(None).cast("string").alias("text"))
+    return CT.split_overflow(rows)[0].drop("__file").unionByName(lost)
+
+
+@register("csv_multiline", """
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, replace(text, ' ', chr(10)) || '"' AS text, lang FROM documents
+""")
+def csv_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of a quoted field on a line of its own, in files that are
+    cut wherever a split ends."""
+    path = scratch_dir(spark, "multiline")
+    text = F.concat(F.replace("text", F.lit(" "), F.lit("\n")), F.lit('"'))
+    d = table(spark, sf_dir, "documents")
+    write_lines(d.select(F.concat_ws(",", F.col("doc_id").cast("string"), _csv_quote(text), "lang").alias("line")),
+                "doc_id,text,lang", path)
+    return CT.split_overflow(CT.read_tolerant_csv(spark, path, na_exempt=("text",)))[0].drop("__file")
+
+
+def _land_layouts(spark: SparkSession, sf_dir: str) -> str:
+    """Customers of each nation under a title and a header of their own."""
+    root = scratch_dir(spark, "layouts")
+    c = table(spark, sf_dir, "customer").withColumn("layout", F.col("c_nationkey"))
+    k, n = F.col("c_custkey").cast("string"), F.col("layout").cast("string")
+    own, turned = F.concat(F.lit("seg"), n), F.col("layout") % 2 == 1
+    rows = c.select("layout", F.lit(2).alias("place"), F.when(turned, F.concat_ws(",", "c_name", k, "c_mktsegment"))
+                    .otherwise(F.concat_ws(",", k, "c_name", "c_mktsegment")).alias("line"))
+    heads = c.select("layout", F.explode(F.array(
+        F.struct(F.lit(0).alias("place"), F.concat(F.lit('Customers of "nation '), n).alias("line")),
+        F.struct(F.lit(1).alias("place"), F.when(turned, F.concat_ws(",", F.lit("name"), F.lit("id"), own))
+                 .otherwise(F.concat_ws(",", F.lit("id"), F.lit("name"), own)).alias("line")))).alias("h")).distinct()
+    (rows.unionByName(heads.select("layout", "h.*")).repartition("layout").sortWithinPartitions("layout", "place")
+     .select("layout", "line").write.partitionBy("layout").text(root))
+    return root
+
+
+@register("csv_layouts", """
+    SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, 'seg' || c_nationkey AS own_column, c_mktsegment AS own_value
+    FROM customer
+""")
+def csv_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layout per nation below a title line: one scan, values by name."""
+    rows = CT.read_mapped(spark, _land_layouts(spark, sf_dir), header_row=1)
+    own = F.filter(F.map_keys("values"), lambda n: n.startswith("seg"))[0]
+    return rows.select(F.col("values")["id"].alias("id"), F.col("values")["name"].alias("name"), own.alias("own_column"),
+                       F.element_at("values", own).alias("own_value"))
+
+
+@register("csv_layout_columns", """
+    SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name,
+           CASE WHEN c_nationkey = 3 THEN c_mktsegment END AS seg3, CASE WHEN c_nationkey = 4 THEN c_mktsegment END AS seg4,
+           (SELECT 2 + count(DISTINCT c_nationkey) FROM customer) AS n_columns
+    FROM customer
+""")
+def csv_layout_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files as the columns of all layouts."""
+    rows = CT.read_tolerant_csv(spark, _land_layouts(spark, sf_dir), header_row=1)
+    kept = CT.split_overflow(rows)[0].drop("__file", "layout")
+    return kept.select("id", "name", "seg3", "seg4", F.lit(len(kept.columns)).cast("long").alias("n_columns"))
+
+
 @register("header_offset", """
     SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer
 """)
@@ -613,19 +698,95 @@ def header_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAM_FILE_ROWS, STREAM_BATCHES = 100_000, 4
 
 
-@register("stream_ingest", _conformed_out_sql("first_column").replace(
-    "SELECT grant_id,", "SELECT source_id, grant_id,", 1))
-def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed grant files ingested incrementally (AvailableNow); the result
-    equals the batch conform of the same rows."""
+STREAM_OUT_SQL = _conformed_out_sql("first_column").replace("SELECT grant_id,", "SELECT source_id, grant_id,", 1)
+
+
+def _ingested(spark: SparkSession, p: dict[str, str], schema, **options) -> None:
+    """Ingest what lies in the landing folder, in several batches of files."""
+    files = len(spark.read.format("binaryFile").load(p["landing"]).inputFiles())
+    ingest_landing(spark, p["landing"], schema, p["grants"], p["checkpoint"], p["ingest_runs"],
+                   files_per_trigger=max(1, -(-files // STREAM_BATCHES)), **options)
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     p = paths(scratch_dir(spark, "stream"))
     g = landing_frame(spark, sf_dir).drop("row_no")
     g.write.option("maxRecordsPerFile", STREAM_FILE_ROWS).parquet(p["landing"])
-    files = len(spark.read.schema(g.schema).parquet(p["landing"]).inputFiles())
-    ingest_landing(spark, p["landing"], g.schema, p["grants"], p["checkpoint"], p["ingest_runs"],
-                   files_per_trigger=max(1, -(-files // STREAM_BATCHES)))
-    out = spark.read.parquet(p["grants"])
+    _ingested(spark, p, g.schema)
+    return p
+
+
+@register("stream_ingest", f"SELECT * FROM ({STREAM_OUT_SQL}) x WHERE quarantine_reasons = ''")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed grant files ingested incrementally (AvailableNow): ``grants``
+    has the batch conform of the rows without a reason."""
+    p = _streamed(spark, sf_dir)
+    out = committed(spark, p["grants"], p["ingest_runs"])
     return portable(out.select("source_id", *CONFORMED_OUT, "quarantine_reasons"))
 
 
+@register("stream_quarantine", f"""
+    SELECT x.*, n_rows, n_quarantined FROM ({STREAM_OUT_SQL}) x
+    JOIN (SELECT source_id AS s, count(*) AS n_rows, count_if(quarantine_reasons <> '')::BIGINT AS n_quarantined
+          FROM ({STREAM_OUT_SQL}) y GROUP BY 1) n ON x.source_id = n.s
+    WHERE quarantine_reasons <> ''
+""")
+def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the same stream that were kept out of ``grants``, with the
+    counts that its batches recorded for their source."""
+    p = _streamed(spark, sf_dir)
+    counts = spark.read.parquet(p["ingest_runs"]).groupBy("source_id").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_quarantined").alias("n_quarantined"))
+    out = committed(spark, p["quarantine"], p["ingest_runs"])
+    return portable(out.select("source_id", *CONFORMED_OUT, "quarantine_reasons").join(counts, "source_id"))
+
+
+STREAM_COLUMNS = ["Project/Area Number", "Project Period (FY)", "Total Cost (Overall)", "source_id"]
+
+
+def _text_stream(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
+    """G landed as text with records that can't be read, ingested; both tables."""
+    p = paths(scratch_dir(spark, f"stream-{fmt}"))
+    g = landing_frame(spark, sf_dir)
+    fields = F.struct(*[F.col(f"`{c}`") for c in STREAM_COLUMNS])
+    if fmt == "csv":
+        line = F.concat(F.to_csv(fields, {"quoteAll": "true"}), F.when(F.col("row_no") % 19 == 0, ",x").otherwise(""))
+        write_lines(g.select(line.alias("line")), ",".join(STREAM_COLUMNS), p["landing"])
+    else:
+        line = F.to_json(fields)
+        cut = F.when(F.col("row_no") % 19 == 0, F.substring(line, 1, 40)).otherwise(line)
+        write_lines(g.select(cut.alias("line")), None, p["landing"])
+    _ingested(spark, p, g.select(*[f"`{c}`" for c in STREAM_COLUMNS]).schema, fmt=fmt, pattern="*.txt")
+    good = committed(spark, p["grants"], p["ingest_runs"]).withColumn("record", F.lit(None).cast("string"))
+    bad = committed(spark, p["quarantine"], p["ingest_runs"])
+    both = good.withColumn("table", F.lit("grants")).unionByName(bad.withColumn("table", F.lit("quarantine")))
+    return portable(both.select("table", "grant_id", "start_date", "amount", "quarantine_reasons", "record"))
+
+
+def _text_stream_sql(record: str) -> str:
+    return f"""
+    SELECT CASE WHEN lost OR quarantine_reasons <> '' THEN 'quarantine' ELSE 'grants' END AS "table",
+           CASE WHEN NOT lost THEN grant_id END AS grant_id, CASE WHEN NOT lost THEN start_date END AS start_date,
+           CASE WHEN NOT lost THEN amount END AS amount,
+           CASE WHEN lost THEN 'unreadable' ELSE quarantine_reasons END AS quarantine_reasons,
+           CASE WHEN lost THEN {record} END AS record
+    FROM (SELECT c.*, g."Project Period (FY)" AS period, g."Total Cost (Overall)" AS cost, g.row_no % 19 = 0 AS lost
+          FROM ({STREAM_OUT_SQL}) c JOIN ({LANDING_SQL}) g ON c.grant_id = g."Project/Area Number") x
+    """
+
+
+@register("stream_csv", _text_stream_sql(
+    """'"' || grant_id || '","' || period || '","' || cost || '","' || source_id || '",x'"""))
+def stream_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV landings with over-long records as a stream."""
+    return _text_stream(spark, sf_dir, "csv")
+
+
+@register("stream_json", _text_stream_sql(
+    """left('{"Project/Area Number":"' || grant_id || '","Project Period (FY)":"' || period, 40)"""))
+def stream_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON landings with truncated lines as a stream."""
+    return _text_stream(spark, sf_dir, "json")
+
+
 __all__ = ["LANDING_SQL"]

@@ -3,11 +3,14 @@ Excel (injected reader), HTML blocks, landing listing."""
 
 import io
 import os
+import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from grantflow.sources import catalog as SC
+from grantflow.sources import csv_records as CR
 from grantflow.sources import csv_tolerant as CT
 from grantflow.sources import excel as XL
 from grantflow.sources import json_shapes as J
@@ -78,12 +81,111 @@ def test_sniff_needs_no_prefix_and_names_what_it_cannot_tell(spark, tmpdir_):
     assert [os.path.basename(r.path) for r in unknown.collect()] == ["prose.csv"]
 
 
+def plain_records(text, quote='"'):
+    """One task: records by the state of every character."""
+    out, at, inside, field_start = [], "", False, True
+    i = 0
+    while i < len(text):
+        c = text[i]
+        if inside and c == quote:
+            if text[i + 1:i + 2] == quote:
+                at, i = at + quote, i + 1
+            else:
+                inside = False
+        elif not inside and c == quote and field_start:
+            inside = True
+        elif not inside and c == "\n":
+            out.append(at)
+            at, field_start, i = "", True, i + 1
+            continue
+        field_start = not inside and c == ","
+        at, i = at + c, i + 1
+    return [r for r in [*out, at] if r.strip()], inside
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_records_of_split_files_are_those_of_one_task(spark, tmpdir_, seed):
+    """Small splits that end inside quotes, escaped and stray quotes."""
+    rng = random.Random(seed)
+    d = os.path.join(tmpdir_, "split")
+    want = {}
+    for f in range(3):
+        cell = lambda: rng.choice(["x", "", '5" pipe', '"a,b"', '"two\nlines"', '"say ""hi"""', '"\n\n,"', '""', '"q"junk',
+                                   '"long ' + "text\n" * rng.randrange(40) + '"', "it's"])
+        text = "id,a,b\n" + "".join(f"{i},{cell()},{cell()}\n" for i in range(300))
+        write(d, f"{f}.csv", text)
+        records, inside = plain_records(text)
+        assert not inside
+        want[f"{f}.csv"] = records
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "701")
+    try:
+        rows = CR.Records(spark, d).rows
+        assert rows.sparkSession.read.text(d).rdd.getNumPartitions() > 20
+        got = rows.orderBy("file", "line").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    by = {}
+    for r in got:
+        by.setdefault(os.path.basename(r.file), []).append(r.text)
+    assert by == want
+
+
+def test_layouts_below_title_lines(spark, tmpdir_):
+    """Three layouts under title lines, more than one split each: every row."""
+    d = os.path.join(tmpdir_, "titles")
+    heads = {"a": ("id,name", 2000), "b": ("name,id,year", 1000), "c": ("id;x", 500)}
+    for f, (head, n) in heads.items():
+        write(d, f"{f}.csv", f'Export of "{f}\n' + head + "\n" + "".join(
+            ",".join(f"{c}{i}" for c in head.split(",")) + "\n" for i in range(n)))
+    for multiline in (True, False):
+        rows = CT.read_tolerant_csv(spark, d, header_row=1, multiline=multiline)
+        assert rows.columns == ["id", "name", "year", "id;x", "__overflow", "__file"]
+        assert rows.count() == 3500
+        assert rows.where("id = 'id7' AND name = 'name7'").count() == 2 and rows.where("year IS NOT NULL").count() == 1000
+
+
+def test_a_thousand_layouts_are_one_plan(spark, tmpdir_):
+    d = os.path.join(tmpdir_, "many")
+    for i in range(1000):
+        write(d, f"f{i:04}.csv", f"id,c{i % 7},own{i}\n{i},x,y{i}\n")
+    rows = CT.read_mapped(spark, d)
+    few = CT.read_mapped(spark, [os.path.join(d, "f0001.csv"), os.path.join(d, "f0002.csv")])
+    plan = [df._jdf.queryExecution().optimizedPlan().numberedTreeString().count("\n") for df in (rows, few)]
+    assert plan[0] == plan[1]
+    got = rows.select(F.element_at("values", "id").alias("id"), "values").collect()
+    assert len(got) == 1000 and all(r["values"][f"own{r.id}"] == f"y{r.id}" for r in got)
+
+
+def test_dialects_with_quotes(spark, tmpdir_):
+    d = os.path.join(tmpdir_, "dialect")
+    write(d, "semi.csv", 'id;text;z\n' + "".join(f'{i};"x;y;{";" * (i % 5)}";z\n' for i in range(30)))
+    write(d, "single.csv", "id|text\n" + "".join(f"{i}|'a|b{'|' * (i % 3)}'\n" for i in range(30)))
+    write(d, "lines.csv", 'id,text\n' + "".join(f'{i},"one;two\nthree, four{"," * (i % 4)}\n"\n' for i in range(30)))
+    write(d, "broken.csv", 'a;b\n' + "1;2\n" * 30 + '3;"4\n')
+    got = {os.path.basename(r.path): (r.delimiter, r.quote) for r in CT.sniff_dialect(spark, d).collect()}
+    assert got == {"semi.csv": (";", '"'), "single.csv": ("|", "'"), "lines.csv": (",", '"'), "broken.csv": (";", '"')}
+    rows, unknown = CT.read_sniffed(spark, d)
+    assert unknown.count() == 0 and rows.where("__overflow IS NOT NULL").count() == 0
+    assert {(r.id, r.text) for r in rows.where("id = '3'").collect()} == {
+        ("3", "x;y;;;;"), ("3", "a|b"), ("3", "one;two\nthree, four,,,\n")}
+    assert rows.where("a = '1'").count() == 30 and rows.count() == 121
+
+
+def test_surplus_fields(spark, tmpdir_):
+    d = os.path.join(tmpdir_, "surplus")
+    write(d, "s.csv", 'a,b\n1,2,\n3,4,,,\n5,6,,,7\n8,"9,9"\n10,11,""\n12,13,"x"\n14\n')
+    kept, bad = CT.split_overflow(CT.read_tolerant_csv(spark, d))
+    assert {r.a: r.b for r in kept.collect()} == {"1": "2", "3": "4", "8": "9,9", "10": "11", "14": None}
+    assert sorted(r["__overflow"] for r in bad.collect()) == ['12,13,"x"', "5,6,,,7"]
+
+
 def test_sniff_and_verify(spark, tmpdir_):
     d = os.path.join(tmpdir_, "sniff")
     write(d, "semi.csv", "a;b;c\n1;2;3\n4;5;6\n")
     write(d, "tab.csv", "a\tb\n1\t2\n")
     write(d, "empty.csv", "")
-    seps = {os.path.basename(r.path): r.delimiter for r in CT.sniff_delimiter(spark, d).collect()}
+    seps = {os.path.basename(r.path): r.delimiter for r in CT.sniff_dialect(spark, d).collect()}
     assert seps == {"semi.csv": ";", "tab.csv": "\t"}
     v = os.path.join(tmpdir_, "verify")
     write(v, "good.csv", "x,y\n1,2\n")
