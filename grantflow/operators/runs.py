@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from grantflow.functions.dates import age_days, display_ts, is_fresh
@@ -92,6 +92,47 @@ def source_status(catalog: DataFrame, runs: DataFrame, as_of: Column,
     )
 
 
+def with_landed_sizes(runs: DataFrame, listing: DataFrame) -> DataFrame:
+    """``runs`` (source_name, action, run_ts) with ``file_count`` and
+    ``total_bytes`` of the files that lie in each run's folder, all kinds and
+    sub-folders; 0 where there are none.  ``listing``: the landing listing,
+    with the folder's label in ``run_ts``."""
+    keys = ["source_name", "action"]
+    sizes = listing.where(F.col("run_ts").isNotNull()).groupBy(*keys, F.col("run_ts").alias("__label")).agg(
+        F.count(F.lit(1)).alias("file_count"), F.sum("bytes").alias("total_bytes"))
+    zero = F.lit(0).cast("bigint")
+    return (runs.drop("file_count", "total_bytes").withColumn("__label", run_label("run_ts"))
+            .join(sizes, [*keys, "__label"], "left").drop("__label")
+            .withColumns({"file_count": F.coalesce("file_count", zero), "total_bytes": F.coalesce("total_bytes", zero)}))
+
+
+class LoadCounts:
+    """Records of several loads and the columns that have a value in them,
+    counted while ``rows`` is written.
+
+    ``by`` says which load a row belongs to, one of ``loads``.  Write
+    ``self.rows`` instead of ``rows``: the counts come with the write's own
+    tasks, nothing is read back.  :meth:`result` waits for that write and has a
+    row per load (``load``, ``n_records``, ``n_columns``).
+    """
+
+    def __init__(self, rows: DataFrame, by: str, loads: Sequence, columns: Sequence[str]):
+        self.loads, self.columns, self.spark = list(loads), list(columns), rows.sparkSession
+        self._seen = Observation()
+        metrics = []
+        for i, load in enumerate(self.loads):
+            own = F.col(by) == F.lit(load)
+            metrics.append(F.count_if(own).alias(f"n{i}"))
+            metrics += [F.max(own & F.col(f"`{c}`").isNotNull()).alias(f"c{i}_{j}") for j, c in enumerate(self.columns)]
+        self.rows = rows.observe(self._seen, *metrics)
+
+    def result(self) -> DataFrame:
+        seen = self._seen.get
+        return self.spark.createDataFrame(
+            [(str(load), int(seen[f"n{i}"] or 0), sum(bool(seen[f"c{i}_{j}"]) for j in range(len(self.columns))))
+             for i, load in enumerate(self.loads)], "load string, n_records long, n_columns int")
+
+
 def sort_status(status: DataFrame) -> DataFrame:
     """Not-downloaded first, then oldest first (unknown ages last)."""
     return status.orderBy(F.col("downloaded").asc(), F.col("age_days").desc_nulls_last())

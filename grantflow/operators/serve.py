@@ -21,16 +21,17 @@ from grantflow.session import staged
 PARTITION_COL = "source_id"
 
 
-def publish_grants(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def publish_grants(df: DataFrame, path: str, mode: str = "overwrite",
+                   partitions: Sequence[str] = (PARTITION_COL,)) -> None:
     """Write ``grants`` partitioned by ``source_id`` (dynamic overwrite).
 
     Rows are rebalanced by source first: a source's rows meet in few tasks (a
     large one is split), so a load writes few files per source, each sorted by
     ``grant_id`` so that lookups skip most row groups.
     """
-    (df.hint("rebalance", PARTITION_COL).sortWithinPartitions(PARTITION_COL, "grant_id").write.mode(mode)
+    (df.hint("rebalance", *partitions).sortWithinPartitions(*partitions, "grant_id").write.mode(mode)
        .option("partitionOverwriteMode", "dynamic")
-       .partitionBy(PARTITION_COL)
+       .partitionBy(*partitions)
        .parquet(path))
 
 

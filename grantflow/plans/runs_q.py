@@ -11,6 +11,7 @@ from grantflow.operators import runs as R
 from grantflow.plans.frames import AS_OF, RUN_FILES_SQL, RUNS_SQL, run_files, runs, table
 from grantflow.plans.registry import register
 from grantflow.session import scratch_dir
+from grantflow.sources.landing import list_landed
 
 FRESH_DAYS = 2.0
 AGE_SQL = f"(date_diff('microsecond', {{ts}}, TIMESTAMP '{AS_OF}') / 86400000000.0)"
@@ -139,6 +140,55 @@ def source_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sort_status(status_frame(spark, sf_dir))
 
 
+#: Landed lines of a run and the folder each lies in, one file per folder.
+LANDED_SQL = """
+    SELECT 'src_' || CAST(user_id % 7 AS VARCHAR) AS source_name, 'a' || CAST(event_id % 2 AS VARCHAR) AS action,
+           date_trunc('week', ts) AS run_ts, event_type AS part, ts,
+           event_id || '|' || user_id || '|' || props AS line
+    FROM events
+"""
+
+
+@register("landed_status", f"""
+    WITH l AS ({LANDED_SQL}),
+    r AS (SELECT source_name, action, run_ts, max(ts) AS "timestamp", count(DISTINCT part) AS file_count,
+                 sum(strlen(line) + 1) AS total_bytes,
+                 CASE WHEN count(*) % 4 = 0 THEN 'failed' ELSE 'success' END AS status
+          FROM l GROUP BY 1, 2, 3),
+    last AS (SELECT * FROM (
+        SELECT *, row_number() OVER (PARTITION BY source_name, action ORDER BY "timestamp" DESC, run_ts DESC) AS rn
+        FROM r WHERE status = 'success') x WHERE rn = 1),
+    cat AS (SELECT 'src_' || CAST(n_nationkey AS VARCHAR) AS source_id, a.action, n_name AS funder
+            FROM nation, (VALUES ('a0'), ('a1')) a(action))
+    SELECT cat.source_id, cat.action, funder, 'text' AS format, last.source_name IS NOT NULL AS downloaded,
+           strftime(last."timestamp", '%Y-%m-%d %H:%M:%S') AS last_download,
+           round({AGE_SQL.format(ts='last."timestamp"')}, 1) AS age_days,
+           CASE WHEN last.source_name IS NOT NULL THEN 'raw/' || last.source_name || '/'
+                || last.action || '/' || strftime(last.run_ts, '%Y%m%d_%H%M%S') END AS download_path,
+           coalesce(last.file_count, 0) AS file_count,
+           coalesce(round(last.total_bytes / 1048576.0, 2), 0.0) AS size_mb
+    FROM cat LEFT JOIN last ON cat.source_id = last.source_name AND cat.action = last.action
+""")
+def landed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status report with counts and sizes of the files that lie in the
+    folder of each source's last run."""
+    root, keys = scratch_dir(spark, "landed"), ["source_name", "action", "run_ts"]
+    e = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("src_"), (F.col("user_id") % 7).cast("string")).alias("source_name"),
+        F.concat(F.lit("a"), (F.col("event_id") % 2).cast("string")).alias("action"),
+        F.date_trunc("week", "ts").alias("run_ts"), F.col("event_type").alias("part"), "ts",
+        F.concat_ws("|", "event_id", "user_id", "props").alias("line"))
+    landed = e.withColumn("run_ts", run_label("run_ts")).select(*keys, "part", "line")
+    landed.repartition(*keys, "part").write.partitionBy(*keys, "part").text(root)
+    r = e.groupBy(*keys).agg(F.max("ts").alias("timestamp"),
+                             F.when(F.count(F.lit(1)) % 4 == 0, "failed").otherwise("success").alias("status"))
+    catalog = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("src_"), F.col("n_nationkey").cast("string")).alias("source_id"),
+        F.explode(F.array(F.lit("a0"), F.lit("a1"))).alias("action"), F.col("n_name").alias("funder"),
+        F.lit("text").alias("format"))
+    return R.source_status(catalog, R.with_landed_sizes(r, list_landed(spark, root)), as_of_literal(AS_OF))
+
+
 @register("status_totals", f"""
     SELECT CAST(count_if(downloaded) AS BIGINT) AS n_downloaded, count(*) AS n_sources,
            round(sum(size_mb), 2) AS total_size_mb
