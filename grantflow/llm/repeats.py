@@ -309,7 +309,8 @@ def settle(pieces: DataFrame, width: int) -> DataFrame:
         distinct = pieces.groupBy(*KEY, "u1", "u2").agg(F.sum("n").alias("n"), F.first("windows").alias("windows"),
                                                         F.first("d").alias("d"), F.first("text").alias("text"))
         distinct = staged(distinct, "repeats-distinct")
-        sizes = distinct.groupBy(*KEY).agg(F.count(F.lit(1)).alias("stretches")).where("stretches > 1")
+        sizes = staged(distinct.groupBy(*KEY).agg(F.count(F.lit(1)).alias("stretches")).where("stretches > 1"),
+                       "repeats-sizes")
         sized = staged(distinct.join(sizes, KEY), "repeats-sized")
         small = sized.where(F.col("stretches") <= BUCKET).select(*KEY, "u1", "u2", "windows", "d", "text")
         schema = "key long, low int, u1 long, u2 long, d_first int, d_last int"
@@ -319,7 +320,7 @@ def settle(pieces: DataFrame, width: int) -> DataFrame:
         links = pieces.select("x1", "x2", *KEY, "u1", "u2")
         found.append(staged(links.join(whole.unionAll(part), [*KEY, "u1", "u2"])
                             .select("x1", "x2", "d_first", "d_last"), "repeats-found"))
-        hot = sized.where(F.col("stretches") > BUCKET).select(*KEY).distinct()
+        hot = sizes.where(F.col("stretches") > BUCKET).select(*KEY)
         if hot.isEmpty():
             break
         pieces = staged(pieces.join(hot, KEY).select("x1", "x2", "low", "high", "n", "windows", "d", "text")
@@ -451,8 +452,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stretches = staged(texts.rows.select("row", "text").mapInArrow(_stretches(width), STRETCHES), "repeats-stretches")
     grams = stretches.groupBy("gram").agg(
         F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x1", "x2")])
-    shared = grams.where("n > 1").select(
-        "gram", ((F.col("min_x1") != F.col("max_x1")) | (F.col("min_x2") != F.col("max_x2"))).alias("differ"))
+    # Staged, so that the join has a plain shuffle on both sides and Spark splits a gram of many stretches.
+    shared = staged(grams.where("n > 1").select(
+        "gram", ((F.col("min_x1") != F.col("max_x1")) | (F.col("min_x2") != F.col("max_x2"))).alias("differ")),
+        "repeats-grams")
     met = staged(stretches.join(shared, "gram"), "repeats-met")
     equal = met.where(~F.col("differ")).select("row", F.col("at").alias("first"),
                                                (F.col("at") + F.col("windows") - 1 + width).alias("end"))
