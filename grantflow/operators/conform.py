@@ -20,7 +20,8 @@ from grantflow.schema import AMOUNT_TYPE, GRANT_FIELDS, PERCENT_TYPE, PROTOTYPE_
 _DATE_FIELDS = {"start_date", "end_date"}
 
 
-def _typed(field: str, c: Column) -> Column:
+def typed(field: str, c: Column) -> Column:
+    """The text of a flat field as the field's type, null where it has none."""
     if field in _DATE_FIELDS:
         return parse_date(c)
     if field == "amount":
@@ -30,6 +31,11 @@ def _typed(field: str, c: Column) -> Column:
     return c
 
 
+def checked(field: str) -> bool:
+    """Whether a text may be no value of the field."""
+    return field in _DATE_FIELDS or field in ("amount", "funding_percentage")
+
+
 def _pairs(mapping) -> list[tuple[str, object]]:
     if isinstance(mapping, Mapping):
         return list(mapping.items())
@@ -87,10 +93,10 @@ def conform(df: DataFrame, mapping=PROTOTYPE_MAPPING, policy: str = "first_colum
                     if sub in target:
                         feeds.setdefault(target[sub], []).append(name[sub])
         else:
-            typed = _typed(target, src)
-            feeds.setdefault(target, []).append(typed)
-            if target in _DATE_FIELDS or target in ("amount", "funding_percentage"):
-                reasons.append(F.when(src.isNotNull() & typed.isNull(), F.lit(f"{target}_invalid")))
+            value = typed(target, src)
+            feeds.setdefault(target, []).append(value)
+            if checked(target):
+                reasons.append(F.when(src.isNotNull() & value.isNull(), F.lit(f"{target}_invalid")))
 
     out: list[Column] = []
     for field, dtype in GRANT_FIELDS:

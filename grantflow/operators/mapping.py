@@ -8,13 +8,15 @@ columns_hash)``, so only cache misses ever reach the model function.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantflow.functions.ids import columns_hash
-from grantflow.schema import CROSSWALK, vocabulary_df
+from grantflow.functions.text import labels
+from grantflow.schema import CROSSWALK, GRANT_FIELDS, vocabulary_df
 from grantflow.session import staged
 
 CACHE_KEYS = ["source", "columns_hash"]
@@ -157,3 +159,44 @@ def conform_mapped(df: DataFrame, pairs: Sequence[tuple[str, str]], policy: str
     own = [c for c in df.columns if c not in lineage]
     return conform(df, crosswalked(pairs), policy, keep=lineage) \
         .withColumn("columns_hash", dataset_columns_hash(own))
+
+
+def layout_feeds(spark: SparkSession, mappings: DataFrame) -> DataFrame:
+    """Mapping rows (source, columns_hash, source_col, target_col) -> one row
+    per layout with ``feeds``: flat field -> its source columns, those of the
+    best vocabulary key first, of one key by name.  A layout has as many
+    entries as columns."""
+    rank = [(key, field, i) for field, keys in CROSSWALK.items() for i, key in enumerate(keys)]
+    known = F.broadcast(spark.createDataFrame(rank, "target_col string, field string, rank int"))     # fixed size
+    per = mappings.join(known, "target_col").groupBy(*CACHE_KEYS, "field").agg(
+        F.transform(F.array_sort(F.collect_set(F.struct("rank", "source_col"))), lambda x: x["source_col"]).alias("cols"))
+    return per.groupBy(*CACHE_KEYS).agg(F.map_from_entries(F.collect_list(F.struct("field", "cols"))).alias("feeds"))
+
+
+def conform_layouts(rows: DataFrame, feeds: DataFrame, policy: str = "coalesce",
+                    lineage: Sequence[str] = ()) -> DataFrame:
+    """Rows of any number of layouts -> flat grant rows in one projection.
+
+    ``rows``: source, columns_hash, ``values`` (column -> text) and lineage;
+    ``feeds``: :func:`layout_feeds`.  The mapping travels with the row, so the
+    plan does not grow with the layouts.  Policies and reasons as in
+    :func:`~grantflow.operators.conform.conform`; a row whose layout has no
+    mapping has the reason ``layout_unmapped``.
+    """
+    from grantflow.operators.conform import checked, typed
+
+    rows = rows.join(feeds, CACHE_KEYS, "left")
+    out, reasons = [], [F.when(F.col("feeds").isNull(), F.lit("layout_unmapped"))]
+    for field, dtype in GRANT_FIELDS:
+        texts = F.transform(F.try_element_at("feeds", F.lit(field)), lambda c: F.try_element_at("values", c))
+        as_type = functools.partial(typed, field)
+        value = F.transform(texts, lambda v: as_type(v))
+        if policy == "coalesce":
+            value = F.filter(value, lambda v: v.isNotNull())
+        elif policy != "first_column":
+            raise ValueError(f"unknown conform policy {policy!r}")
+        out.append(F.get(value, F.lit(0)).cast(dtype).alias(field))
+        if checked(field):
+            bad = F.exists(texts, lambda v: v.isNotNull() & as_type(v).isNull())
+            reasons.append(F.when(bad, F.lit(f"{field}_invalid")))
+    return rows.select(*CACHE_KEYS, *lineage, *out, labels(*reasons).alias("quarantine_reasons"))

@@ -108,18 +108,57 @@ def json_file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM events
 """)
 def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested JSON lines landed as text, read with the schema that was noted
-    when they landed and flattened to dotted columns."""
+    """Nested JSON lines landed as text, read without a declared schema and
+    flattened to dotted columns."""
     path = scratch_dir(spark, "nested_json")
-    schema = ("event struct<id: bigint, type: string>, props struct<k: bigint>, "
-              "tags array<string>, value double")
     e = table(spark, sf_dir, "events")
     line = F.concat(F.lit('{"event": {"id": '), F.col("event_id").cast("string"),
                     F.lit(', "type": "'), F.col("event_type"), F.lit('"}, "props": '), F.col("props"),
                     F.lit(', "value": '), F.col("value").cast("string"),
                     F.lit(', "tags": ["a", "b"]}'))
     e.select(line.alias("value")).write.mode("overwrite").text(path)
-    return J.read_json_flat(spark, path, schema)
+    return J.read_json_flat(spark, path)
+
+
+#: Events in one landed document, at most.
+DOCUMENT_EVENTS = 500
+
+
+@register("json_documents", f"""
+    WITH e AS (SELECT *, event_id // {DOCUMENT_EVENTS} AS doc FROM events),
+    n AS (SELECT doc, count(*) AS n FROM e GROUP BY 1)
+    SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY event_id) - 1 AS INTEGER) AS row_no,
+           event_id AS "event.id", event_type AS "event.type",
+           CASE WHEN doc % 4 = 0 THEN value END AS value, CASE WHEN doc % 4 = 1 THEN CAST(props->>'k' AS BIGINT) END AS "props.k",
+           CASE WHEN doc % 4 = 1 THEN '[' || user_id || ',null]' END AS users, NULL AS n, NULL AS record
+    FROM e WHERE doc % 4 < 2
+    UNION ALL SELECT doc, 0, NULL, NULL, NULL, NULL, NULL, CASE WHEN doc % 4 = 2 THEN n END,
+                     CASE WHEN doc % 4 = 3 THEN n::VARCHAR END FROM n WHERE doc % 4 >= 2
+""")
+def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON document a file, in four shapes with different fields: a list,
+    an object that holds one, an object without any, a number.  The fields of
+    all files are found, not declared."""
+    root = scratch_dir(spark, "documents_json")
+    e = table(spark, sf_dir, "events").withColumn("doc", F.floor(F.col("event_id") / DOCUMENT_EVENTS))
+    event = F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))
+    shape = F.col("doc") % 4
+    record = F.when(shape == 0, F.to_json(F.struct(event.alias("event"), "value"))).otherwise(F.concat(
+        F.lit('{"event": '), F.to_json(event), F.lit(', "props": '), F.col("props"), F.lit(', "users": ['),
+        F.col("user_id").cast("string"), F.lit(", null]}")))
+    own = F.array_sort(F.collect_list(F.struct("event_id", record.alias("r"))))       # DOCUMENT_EVENTS at most
+    docs = e.groupBy("doc").agg(F.concat(F.lit("["), F.array_join(F.transform(own, lambda x: x["r"]), ", "), F.lit("]"))
+                                .alias("list"), F.count(F.lit(1)).cast("string").alias("n"))
+    line = (F.when(shape == 0, F.col("list"))
+            .when(shape == 1, F.concat(F.lit('{"meta": {"n": 2}, "empty": [], "items": '), F.col("list"), F.lit("}")))
+            .when(shape == 2, F.concat(F.lit('{"empty": [], "n": '), F.col("n"), F.lit("}"))).otherwise(F.col("n")))
+    docs.select("doc", line.alias("line")).write.partitionBy("doc").text(root)
+    records = staged(J.read_json_files(spark, root).select(
+        F.regexp_extract("path", "doc=([0-9]+)/", 1).cast("long").alias("doc"), "row_no", "record"), "json-records")
+    flat = J.flatten_records(records)
+    names = ["doc", "row_no", "event.id", "event.type", "value", "props.k", "users", "n"]
+    return flat.select(*[F.col(f"`{c}`") if c in flat.columns else F.lit(None).cast("string").alias(c) for c in names],
+                       F.col("__record").alias("record"))
 
 
 # ------------------------------------------------------------ project API

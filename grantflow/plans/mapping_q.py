@@ -326,3 +326,69 @@ def mapping_to_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable(rows.select("source_id", F.date_format("run_ts", "yyyy-MM-dd HH:mm:ss").alias("run_ts"),
                                 "columns_hash", "grant_id", "project_title", "project_description",
                                 "organization_name", "amount"))
+
+
+#: Three layouts: the columns of each, where they come from, and the stored mapping.
+LAYOUTS = {
+    "alpha": [("Project/Area Number", "Project/Area Number", "award-number"), ("Title", "Research Project Title", "project-title"),
+              ("Cost", "Total Cost (Overall)", "award-amount"), ("Person", "Principal Investigator", "null")],
+    "beta": [("amount", "Total Cost (Overall)", "@amount"), ("title en", "Project Title (English)", "project-title"),
+             ("title", "Research Project Title", "project-title"), ("no", "Project/Area Number", "award-number"),
+             ("host", "Research Institution", "institution")],
+    "gamma": [("Id", "Project/Area Number", "award-number"), ("Status", "Keywords", "description")],
+    "delta": [("unknown id", "Project/Area Number", "award-number")],
+}
+
+
+def _layouts_sql() -> str:
+    hashes = [f"md5(array_to_string(list_sort([{', '.join(repr(c) for c, _, _ in cols)}]), ','))" for cols in LAYOUTS.values()]
+    pick = lambda xs: "CASE row_no % 4 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(xs)) + " END"
+    none = "NULL"
+    return f"""
+    SELECT {pick([f"'{s}'" for s in LAYOUTS])} AS source, {pick(hashes)} AS columns_hash,
+           CASE WHEN row_no % 4 < 3 THEN "Project/Area Number" END AS grant_id,
+           {pick(['"Research Project Title"', 'coalesce("Research Project Title", "Project Title (English)")', none, none])}
+             AS project_title,
+           CASE WHEN row_no % 4 = 2 THEN "Keywords" END AS project_description,
+           CASE WHEN row_no % 4 = 1 THEN "Research Institution" END AS organization_name,
+           CASE WHEN row_no % 4 < 2 THEN CAST(TRY_CAST("Total Cost (Overall)" AS DECIMAL(20,2)) AS VARCHAR) END AS amount,
+           CASE WHEN row_no % 4 = 3 THEN 'layout_unmapped'
+                WHEN row_no % 4 < 2 AND "Total Cost (Overall)" = 'TBD' THEN 'amount_invalid' ELSE '' END AS quarantine_reasons
+    FROM ({LANDING_SQL}) g
+    """
+
+
+@register("layouts_to_grants", _layouts_sql())
+def layouts_to_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of four layouts, three with a stored mapping, in one job: fields
+    by name, the mapping of the layout joined, one projection for all."""
+    from grantflow.sources.csv_tolerant import read_mapped
+
+    root, store = scratch_dir(spark, "layout_files"), scratch_dir(spark, "layout_mappings")
+    g = landing_frame(spark, sf_dir)
+    rest = F.col("row_no") % 4
+    source, line, head = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (name, cols) in enumerate(LAYOUTS.items()):
+        own = F.to_csv(F.struct(*[F.col(f"`{c}`").alias(f"c{j}") for j, (_, c, _) in enumerate(cols)]))
+        source = F.when(rest == i, name).otherwise(source)
+        line = F.when(rest == i, own).otherwise(line)
+        head = F.when(rest == i, ",".join(n for n, _, _ in cols)).otherwise(head)
+    rows = g.select(source.alias("source"), F.lit(1).alias("place"), line.alias("line"), head.alias("head"))
+    # A header on top of each file: one file per source and part.
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("line"), F.lit(4)))
+    heads = rows.select("source", "part", F.lit(0).alias("place"), F.col("head").alias("line")).distinct()
+    (heads.unionByName(rows.drop("head")).repartition("source", "part").sortWithinPartitions("source", "part", "place")
+     .select("source", "part", "line").write.partitionBy("source", "part").text(root))
+    ts = F.lit(_dt.datetime(2024, 1, 5)).cast("timestamp_ntz")
+    pairs = [(s, n, t) for s, cols in LAYOUTS.items() if s != "delta" for n, _, t in cols]
+    stored = spark.createDataFrame(pairs, "source string, source_col string, target_col string")
+    hashes = spark.createDataFrame([(s, [n for n, _, _ in cols]) for s, cols in LAYOUTS.items()],
+                                   "source string, cols array<string>").select("source", columns_hash("cols").alias("columns_hash"))
+    M.save_mappings(stored.join(hashes, "source").withColumn("ts", ts), store)
+    landed = read_mapped(spark, root).select(
+        F.regexp_extract("__file", "/source=([^/]+)/", 1).alias("source"),
+        columns_hash(F.map_keys("values")).alias("columns_hash"), "values")
+    feeds = M.layout_feeds(spark, M.latest_mappings(spark.read.parquet(store)))
+    out = M.conform_layouts(landed, feeds)
+    return portable(out.select("source", "columns_hash", "grant_id", "project_title", "project_description",
+                               "organization_name", "amount", "quarantine_reasons"))

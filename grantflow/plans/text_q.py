@@ -232,14 +232,38 @@ HOST_SQL = "regexp_extract(url, '://([^/?#:]+)', 1)"
 LANG_SQL = f"regexp_extract({URL_PATH_SQL}, '^/([^/]+)/', 1)"
 
 
-CHUNK_CHARS = 32000
-CHUNKS_SQL = f"""
-    SELECT page_id, chunk_no, src, substring(text, CAST(chunk_no * {CHUNK_CHARS} + 1 AS BIGINT), {CHUNK_CHARS}) AS chunk
-    FROM (SELECT *, unnest(range(0, greatest(1, CAST(ceil(length(text) / {CHUNK_CHARS}.0) AS BIGINT)))) AS chunk_no
-          FROM (SELECT page_id, {html_text_sql()} AS text,
-                       CASE WHEN {LANG_SQL} <> '' THEN {HOST_SQL} || ' - ' || {LANG_SQL} ELSE {HOST_SQL} END AS src
-                FROM pages) x) y
-"""
+CHUNK_CHARS, SHORT_CHARS = 32000, 600
+
+
+def chunks_sql(limit: int) -> str:
+    """Chunks by cutting one after the other off the rest of the text: all of
+    it if it fits, else up to the last line end among the first ``limit``
+    characters, else that many."""
+    last_line = f"length(list_last(string_split(substring(rest, 1, {limit}), chr(10))))"
+    size = (f"CASE WHEN length(rest) <= {limit} OR {last_line} = {limit} THEN {limit} "
+            f"ELSE {limit} - {last_line} END")
+    return f"""
+    WITH RECURSIVE t AS (
+      SELECT page_id, {html_text_sql()} AS text,
+             CASE WHEN {LANG_SQL} <> '' THEN {HOST_SQL} || ' - ' || {LANG_SQL} ELSE {HOST_SQL} END AS src FROM pages),
+    c(page_id, src, chunk_no, chunk, rest) AS (
+      SELECT page_id, src, -1, '', text FROM t
+      UNION ALL
+      SELECT page_id, src, chunk_no + 1, substring(rest, 1, {size}), substring(rest, 1 + {size})
+      FROM c WHERE chunk_no = -1 OR rest <> '')
+    SELECT page_id, src, chunk_no, chunk FROM c WHERE chunk_no >= 0
+    """
+
+
+CHUNKS_SQL = chunks_sql(CHUNK_CHARS)
+
+
+@register("text_chunks", f"""
+    SELECT page_id, CAST(chunk_no AS INTEGER) AS chunk_no, chunk FROM ({chunks_sql(SHORT_CHARS)}) c
+""")
+def text_chunks_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page text in chunks so short that most pages have several."""
+    return text_chunks(table(spark, sf_dir, "pages"), SHORT_CHARS).select("page_id", "chunk_no", "chunk")
 
 
 def _page_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ for the project API whose leaves are either scalars or ``{"$": value}``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,6 +102,44 @@ def read_json_files(spark: SparkSession, path: str) -> DataFrame:
                 .filter(F.col("row_no").isNotNull())
 
 
+def discover_schema(records: DataFrame, text: str = "record") -> str:
+    """Struct DDL that fits all JSON objects of a text column: one pass, each
+    task merges the fields it sees and the merged schemas meet in a tree.
+
+    Whole numbers are ``bigint`` (longer ones decimal), other numbers
+    ``double``; a field that is always null, or has values of different kinds,
+    is text (of a nested value: its JSON).  Texts that are no JSON object, and
+    columns without any, add no fields.
+    """
+    found = F.schema_of_variant_agg(F.try_parse_json(text))
+    ddl = records.where(_first_char(F.col(text)) == "{").agg(found.alias("s")).first()[0] or ""
+    if not ddl.startswith("OBJECT<"):
+        return ""
+    # Outside quoted names; a name is followed by a colon.
+    parts = re.split(r"(`(?:[^`]|``)*`)", ddl)
+    for pattern, kind in ((r"\bOBJECT<>", "STRING"), (r"\bOBJECT<", "STRUCT<"), (r"\b(?:VOID|VARIANT)\b(?!:)", "STRING"),
+                          (r"\bDECIMAL\(\d+,[1-9]\d*\)", "DOUBLE")):
+        parts[::2] = [re.sub(pattern, kind, p) for p in parts[::2]]
+    return "".join(parts)
+
+
+def flatten_records(records: DataFrame, text: str = "record") -> DataFrame:
+    """JSON records of unknown schema -> the other columns and dotted leaf
+    columns of all fields that any record has.  A record that is no object has
+    none of them and stays in ``__record``."""
+    keep = [c for c in records.columns if c != text]
+    ddl = discover_schema(records, text)
+    is_object = _first_char(F.col(text)) == "{"
+    odd = F.when(is_object, F.lit(None).cast("string")).otherwise(F.col(text)).alias("__record")
+    if not ddl:
+        return records.select(*keep, odd)
+    parsed = F.when(is_object, F.from_json(text, ddl)).alias("__value")
+    rows = records.select(*[F.col(f"`{c}`").alias(f"__keep.{c}") for c in keep], odd, parsed)
+    flat = flatten_columns(rows)
+    name = {f"__keep.{c}": c for c in keep}
+    return flat.select(*[F.col(f"`{c}`").alias(name.get(c, c.removeprefix("__value."))) for c in flat.columns])
+
+
 def flatten_columns(df: DataFrame, sep: str = ".") -> DataFrame:
     """Nested structs -> dotted leaf columns (``a.b.c``); arrays kept as JSON text."""
     cols: list[Column] = []
@@ -119,9 +159,12 @@ def flatten_columns(df: DataFrame, sep: str = ".") -> DataFrame:
 
 
 def read_json_flat(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """JSON-lines records -> dotted flat columns.  Without a schema Spark
-    infers one by an extra pass; give the one noted at landing."""
-    return flatten_columns((spark.read.schema(schema) if schema else spark.read).json(path))
+    """JSON-lines records -> dotted flat columns.  Without a schema the fields
+    of all files are merged first (:func:`discover_schema`)."""
+    if schema is None:
+        schema = discover_schema(spark.read.text(path), "value")
+        schema = T.DataType.fromDDL(schema) if schema else "value string"
+    return flatten_columns(spark.read.schema(schema).json(path))
 
 
 # ---------------------------------------------------------------- project API

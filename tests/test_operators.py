@@ -252,6 +252,54 @@ def test_append_twice_adds_once(spark, tmpdir_):
     assert [r.grant_id for r in serve.read_grants(spark, path).collect()] == ["1"]
 
 
+def test_append_of_repeated_keys(spark, tmpdir_):
+    """One row per key of a load is written, the others come back."""
+    flat = conform(wide(spark, [("T", None, i, None, "A B", u, None, None) for i, u in (("1", "U1"), ("1", "U2"), ("2", "U"))]))
+    rows = flat.drop("quarantine_reasons").withColumns({c: F.lit("x") for c in (
+        "DOI", "resource", "funder_name", "funder_id", "funding_type", "internal_award_number", "source_id")})
+    path = tmpdir_ + "/repeated"
+    rejected = serve.append_grants(rows.coalesce(1), path).collect()
+    assert [(r.grant_id, r.organization_name, r.violations) for r in rejected] == [("1", "U2", ["key_repeated"])]
+    assert sorted((r.grant_id, r.organization_name) for r in serve.read_grants(spark, path).collect()) == [
+        ("1", "U1"), ("2", "U")]
+
+
+def test_lookup_reads_the_row_groups_that_may_hold_the_id(spark, tmpdir_):
+    """Ids of every source span the same range, so only the bloom filters tell
+    the files apart."""
+    path = tmpdir_ + "/bloom"
+    g = spark.range(8000).select(F.sha2(F.col("id").cast("string"), 256).alias("grant_id"),
+                                 F.concat(F.lit("s"), F.col("id") % 8).alias("source_id"))
+    serve.publish_grants(g, path)
+    wanted = g.where("source_id = 's3'").first().grant_id
+    found = serve.grant_by_id(spark, serve.read_grants(spark, path), wanted)
+    assert [r.source_id for r in found.collect()] == ["s3"]
+
+    def scanned(df):
+        plan = df._jdf.queryExecution().executedPlan()
+        while plan.children().size():
+            plan = plan.children().head()
+        plan = plan.inputPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
+        return plan.metrics().apply("numOutputRows").value()
+
+    df = serve.grant_by_id(spark, serve.read_grants(spark, path), wanted)
+    df._jdf.queryExecution().toRdd().count()
+    assert 0 < scanned(df) <= 1000                       # of eight files with 1,000 rows each
+
+
+def test_many_layouts_are_one_plan(spark):
+    maps = [(f"s{i}", "h", f"c{i}", "project-title") for i in range(50)] + [
+        ("s1", "h", "a", "@amount"), ("s1", "h", "b", "award-amount"), ("s1", "h", "x", "null")]
+    stored = spark.createDataFrame(maps, "source string, columns_hash string, source_col string, target_col string")
+    rows = spark.createDataFrame([(f"s{i}", "h", {f"c{i}": f"t{i}", "a": "1", "b": None if i else "2"}) for i in range(51)],
+                                 "source string, columns_hash string, values map<string,string>")
+    got = {r.source: r for r in M.conform_layouts(rows, M.layout_feeds(spark, stored)).collect()}
+    assert all(got[f"s{i}"].project_title == f"t{i}" for i in range(50))
+    assert got["s1"].amount == 1 and got["s0"].amount is None and got["s50"].quarantine_reasons == ["layout_unmapped"]
+    first = M.conform_layouts(rows, M.layout_feeds(spark, stored), policy="first_column").where("source = 's1'").first()
+    assert first.amount is None                          # of the better key, which is null here
+
+
 def test_model_is_called_once_per_prompt(spark, tmpdir_):
     datasets = spark.createDataFrame([("s", str(i), f"p{i}") for i in range(4)],
                                      "source string, columns_hash string, prompt string")

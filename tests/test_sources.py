@@ -268,6 +268,23 @@ def test_flatten_columns(spark, tmpdir_):
     assert (r["a.b"], r["a.c.d"], r["l"]) == (1, "x", "[1,2]")
 
 
+def test_fields_of_all_files_are_merged(spark, tmpdir_):
+    d = os.path.join(tmpdir_, "unknown")
+    write(d, "a.json", '{"a": {"b": 1}, "n": null, "we ird": true, "x": 1, "OBJECT": {"VOID": "v"}}\n[1]\nno json\n')
+    write(d, "b.json", '{"a": {"b": 2.5, "c": "t"}, "x": "text", "big": 123456789012345678901234567890}\n')
+    flat = J.read_json_flat(spark, d)
+    assert dict(flat.dtypes) == {"a.b": "double", "a.c": "string", "n": "string", "we ird": "boolean", "x": "string",
+                                 "OBJECT.VOID": "string", "big": "decimal(30,0)"}
+    rows = {r["a.b"]: r for r in flat.collect()}
+    assert (rows[1.0]["x"], rows[1.0]["OBJECT.VOID"], rows[2.5]["x"], rows[2.5]["a.c"]) == ("1", "v", "text", "t")
+    df = spark.createDataFrame([(1, '{"k": {"v": 1}}'), (2, "7"), (3, None), (4, '{"k": 3}')], "i int, record string")
+    got = {r.i: (r["k"], r["__record"]) for r in J.flatten_records(df).collect()}
+    assert got == {1: ('{"v":1}', None), 2: (None, "7"), 3: (None, None), 4: ("3", None)}
+    none = spark.createDataFrame([(1, "7")], "i int, record string")
+    assert J.flatten_records(none).columns == ["i", "__record"]
+    assert J.discover_schema(none.limit(0)) == ""
+
+
 def test_excel_injected_reader(spark, tmpdir_):
     d = os.path.join(tmpdir_, "xl")
     write(d, "book.xlsx", b"id,name\n1,a\n2,b\n")
