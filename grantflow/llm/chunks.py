@@ -12,12 +12,13 @@ import pyarrow.compute as pc
 BATCH_TEXTS, BATCH_BYTES = 512, 2_000_000
 
 
-def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: int, texts: int = BATCH_TEXTS,
+                size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of bounded text size; a longer text is a slice."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
-        if i > start and (i - start >= BATCH_TEXTS or total + n > BATCH_BYTES):
+        if i > start and (i - start >= texts or total + n > size):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n

@@ -1,7 +1,8 @@
 """Token-id shards compressed by Re-Pair grammars, with random access.
 
-Documents are ordered by id into shards of bounded text size, tokenised there,
-and every shard is written as one file: frequent adjacent pairs of ids are replaced by new
+Documents are ordered by id into shards, tokenised there, and every shard is
+written as one file; a task closes a shard before its text exceeds twice
+``SHARD_BYTES`` (or one document) and begins the next: frequent adjacent pairs of ids are replaced by new
 symbols, round after round, each round counting all pairs of the shard anew
 and replacing the most frequent ones that do not compete for an id, until no
 pair is frequent.  Pairs of one symbol count, and are replaced, from left to
@@ -32,20 +33,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from grantflow.llm.chunks import ragged, text_slices
 from grantflow.llm.pieces import token_ids, vocabulary
 from grantflow.llm.store import new_folder, open_store, staged
 
-#: Text of a shard, on average; a task holds one shard.
-SHARD_BYTES = 10_000_000
+#: Text of a shard, about; tasks of a write, at most.
+SHARD_BYTES, MOST_TASKS = 10_000_000, 100_000
 #: Stretches of text whose ids a Python worker keeps.
 STRETCHES = 700_000
 #: Pairs replaced in one round at most.
 PAIRS = 4096
 #: A pair must occur this often to earn a rule (a rule costs three numbers).
 LEAST = 16
+#: Symbols close up while more than one in so many is replaced in a round.
+CLOSE_UP = 12
+#: No symbol: its place was taken by the rule to its left.
+GONE = np.uint32(0xFFFFFFFF)
 MAGIC, HEADER = b"GFREPAIR", struct.Struct("<8sQQQQQ")
 
 
@@ -64,24 +69,34 @@ def replace_pairs(symbols: np.ndarray, ends: np.ndarray, first: int) -> tuple[np
 
     Returns the shorter symbols, where documents end in them, and the rules
     (left, right) of symbols ``first``, ``first + 1``, ...
+
+    A pair of known symbols only gets rarer, so a round after the first looks
+    at the places that were in frequent pairs and at those next to its last
+    replacements alone.  While many places change, the symbols close up; from
+    then on they stay where they are, linked to their neighbours, and a round
+    costs as much as it has places to look at.
     """
+    symbols, ends = symbols.copy(), ends.copy()
     rules = [np.zeros((0, 2), np.uint32)]
-    new = recent = first
-    # A pair of known symbols only gets rarer: later rounds look at pairs
-    # whose sides were in frequent ones, and at those of the last rules.
-    left_of, right_of = np.ones(new, bool), np.ones(new, bool)
+    new, n = first, len(symbols)
+    following = before = None                   # links, once symbols stay in place
+    at = np.flatnonzero(~ends)                  # no pair across documents
     while True:
-        one, two = symbols[:-1], symbols[1:]
-        seen = left_of[one] & right_of[two]
-        if new > recent:
-            seen |= (one >= recent) | (two >= recent)
-        at = np.flatnonzero(seen & ~ends[:-1])                 # no pair across documents
+        two = symbols[at + 1 if following is None else following[at]]
+        one = symbols[at]
         # In a run of one symbol every other pair counts.
-        equal = np.flatnonzero(one[at] == two[at])
-        head = np.append(True, np.diff(at[equal]) != 1)[:len(equal)]
-        rank = np.arange(len(equal)) - np.flatnonzero(head)[np.cumsum(head) - 1]
-        at = np.delete(at, equal[rank % 2 == 1])
-        pairs = (one[at].astype(np.uint64) << np.uint64(32)) | two[at]
+        equal = np.flatnonzero(one == two)
+        if len(equal):
+            beyond = at[equal] + 1 if following is None else following[at[equal]]
+            head = np.append(True, at[equal][1:] != beyond[:-1])
+            rank = np.arange(len(equal)) - np.flatnonzero(head)[np.cumsum(head) - 1]
+            skipped = equal[rank % 2 == 1]
+            counted = np.ones(len(at), bool)
+            counted[skipped] = False
+            at, one, two, skipped = at[counted], one[counted], two[counted], at[skipped]
+        else:
+            skipped = equal
+        pairs = (one.astype(np.uint64) << np.uint64(32)) | two
         kinds, counts = frequent(pairs)
         chosen: list[int] = []
         is_left, is_right = np.zeros(new, bool), np.zeros(new, bool)
@@ -99,23 +114,43 @@ def replace_pairs(symbols: np.ndarray, ends: np.ndarray, first: int) -> tuple[np
         if not chosen:
             break
         table = np.sort(np.array(chosen, np.uint64))
-        maybe = is_left[one[at]] & is_right[two[at]]
-        at, pairs = at[maybe], pairs[maybe]
-        slot = np.minimum(np.searchsorted(table, pairs), len(table) - 1)
-        hit = table[slot] == pairs
-        at, slot = at[hit], slot[hit]
-        symbols = symbols.copy()
-        symbols[at] = new + slot
-        ends = ends.copy()
-        ends[at] = ends[at + 1]
-        keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        symbols, ends = symbols[keep], ends[keep]
+        maybe = np.flatnonzero(is_left[one] & is_right[two])
+        slot = np.minimum(np.searchsorted(table, pairs[maybe]), len(table) - 1)
+        hit = table[slot] == pairs[maybe]
+        hits, slot = at[maybe[hit]], slot[hit]
         rules.append(np.stack([table >> np.uint64(32), table & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        recent, new = new, new + len(table)
         left_of, right_of = np.zeros(new, bool), np.zeros(new, bool)
         left_of[kinds >> np.uint64(32)] = right_of[kinds & np.uint64(0xFFFFFFFF)] = True
-    return symbols, ends, np.concatenate(rules)
+        stay = left_of[one] & right_of[two]
+        stay[maybe[hit]] = False
+        if following is None and len(hits) * CLOSE_UP < n:
+            following, before = np.arange(1, len(symbols) + 1), np.arange(-1, len(symbols) - 1)
+        gone = hits + 1 if following is None else following[hits]
+        symbols[hits] = new + slot
+        ends[hits] = ends[gone]
+        symbols[gone] = GONE
+        n -= len(hits)
+        look = np.zeros(len(symbols), bool)
+        look[at[stay]] = look[skipped] = look[hits] = True
+        if following is None:
+            keep = symbols != GONE
+            symbols, ends, look = symbols[keep], ends[keep], look[keep]
+            made = np.flatnonzero(symbols >= new)
+            look[made[made > 0] - 1] = True
+            at = np.flatnonzero(look & ~ends)
+        else:
+            after = following[gone]
+            following[hits] = after
+            inside = after < len(before)
+            before[after[inside]] = hits[inside]
+            left = before[hits]
+            look[left[left >= 0]] = True
+            look[gone] = False
+            at = np.flatnonzero(look)
+            at = at[~ends[at]]
+        new += len(table)
+    keep = symbols != GONE
+    return symbols[keep], ends[keep], np.concatenate(rules)
 
 
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
@@ -229,28 +264,36 @@ class Shard:
         return expand(symbols[lo:hi], self.table)[start - skipped:max(stop, start) - skipped]
 
 
-def _write_shards(folder: str, file: str, end_id: int):
+def _write_shards(folder: str, file: str, end_id: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = token_ids(vocabulary(file), STRETCHES)
-        keys, docs = [], []
+        task = TaskContext.get()
+        keys: list[pa.Array] = []
+        docs: list[np.ndarray] = []
+        size = shard = 0
+
+        def written() -> pa.RecordBatch:
+            data = encode_shard(pa.concat_arrays(keys), docs, tok.lib.get_vocab_size())
+            store, path = open_store(f"{folder}/shard-{task.partitionId():06d}-{shard:04d}-{task.taskAttemptId()}.rp")
+            store.create_dir(path.rpartition("/")[0], recursive=True)
+            with store.open_output_stream(path) as out:
+                out.write(data)
+            row = (task.partitionId(), shard, path.rpartition("/")[2], len(docs), sum(map(len, docs)), len(data))
+            return pa.record_batch([pa.array([x]) for x in row],
+                                   names=["task", "shard", "name", "n_docs", "n_tokens", "n_bytes"])
+
         for batch in batches:
-            for part in text_slices(batch, 1):
+            # Large slices: a stretch is looked up once in each.
+            for part in text_slices(batch, 1, 1 << 16, limit):
+                if docs and size + part.column(1).nbytes > 2 * limit:
+                    yield written()
+                    keys, docs, size, shard = [], [], 0, shard + 1
                 keys.append(part.column(0))
                 docs += [np.append(np.frombuffer(x, tok.dtype), tok.dtype.type(end_id))
                          for x in tok.encode(part.column(1))]
-        if not docs:
-            return
-        data = encode_shard(pa.concat_arrays(keys), docs, tok.lib.get_vocab_size())
-        task = TaskContext.get()
-        store, path = open_store(f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.rp")
-        store.create_dir(path.rpartition("/")[0], recursive=True)
-        with store.open_output_stream(path) as out:
-            out.write(data)
-        tokens = sum(map(len, docs))
-        yield pa.record_batch([pa.array([task.partitionId()], pa.int64()), pa.array([path.rpartition("/")[2]]),
-                               pa.array([len(docs)], pa.int64()), pa.array([tokens], pa.int64()),
-                               pa.array([len(data)], pa.int64())],
-                              names=["shard", "name", "n_docs", "n_tokens", "n_bytes"])
+                size += part.column(1).nbytes
+        if docs:
+            yield written()
     return run
 
 
@@ -263,13 +306,19 @@ def write_shards(docs: DataFrame, file: str, end_id: int, id_col: str = "doc_id"
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     order = ["id", F.xxhash64("text"), "text"]
     folder = new_folder(spark, "shards")
-    ordered = rows.repartitionByRange(total // SHARD_BYTES + 1, *order[:2]).sortWithinPartitions(*order)
+    tasks = total // max(SHARD_BYTES, total // MOST_TASKS) + 1
+    ordered = rows.repartitionByRange(tasks, *order[:2]).sortWithinPartitions(*order)
     manifest = staged(ordered.mapInArrow(
-        _write_shards(folder, file, end_id),
-        "shard long, name string, n_docs long, n_tokens long, n_bytes long"), "manifest")
-    # One row per shard.
-    before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    return folder, manifest.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+        _write_shards(folder, file, end_id, SHARD_BYTES),
+        "task long, shard long, name string, n_docs long, n_tokens long, n_bytes long"), "manifest")
+    # Ids before a task (one row each, MOST_TASKS at most), and in it before a shard.
+    def before(window) -> Column:
+        return F.coalesce(F.sum("n_tokens").over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+    per = manifest.groupBy("task").agg(F.sum("n_tokens").alias("n_tokens"))
+    per = per.select("task", before(W.orderBy("task")).alias("earlier"))
+    return folder, manifest.withColumn("within", before(W.partitionBy("task").orderBy("shard"))).join(per, "task") \
+        .withColumn("first", F.col("earlier") + F.col("within")).drop("earlier", "within")
 
 
 def _read_shards(folder: str):

@@ -31,6 +31,17 @@ def test_ids_are_the_librarys(name, batch):
     assert [np.frombuffer(x, tok.dtype).tolist() for x in got] == library(name, [*batch, ""])
 
 
+@settings(max_examples=300, deadline=None)
+@given(batch=st.lists(st.text(st.characters(max_codepoint=0x17F), max_size=9) | st.from_regex(
+    r"[A-Za-zÀ-ÿ]{1,12}['.,;:!?]{0,4}", fullmatch=True), max_size=30))
+def test_ids_of_latin_words_are_the_librarys(batch):
+    import numpy as np
+    tok = token_ids(vocabulary(WORDS))
+    assert tok.direct
+    got = tok.encode(pa.array([*batch, " ".join(batch)], pa.string()))
+    assert [np.frombuffer(x, tok.dtype).tolist() for x in got] == library(WORDS, [*batch, " ".join(batch)])
+
+
 @settings(max_examples=100, deadline=None)
 @given(text=texts | st.text(max_size=25))
 def test_count_of_every_prefix(text):
