@@ -17,7 +17,7 @@ file that counts.
 Defined cases: a null page is an empty payload; rows that repeat the largest
 id of a payload are all responses; a null id counts as the smallest (a group
 of null ids only stays responses); a null url is replaced by the record's id;
-line breaks in a url are percent-encoded; an empty table gives no records;
+line breaks in a url are percent-encoded, in the CDX file every blank; an empty table gives no records;
 further columns are ignored.
 """
 
@@ -25,9 +25,10 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
-from urllib.parse import unquote_plus
+from urllib.parse import quote, unquote_plus
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -96,16 +97,21 @@ def write_monolithic(spark: SparkSession, pages: DataFrame, **columns: str) -> s
 # -- streams of records ------------------------------------------------------
 
 def inflate(read) -> Iterator[bytes]:
-    """Chunks of a gzip file of any number of members; ``read(n)`` gives bytes."""
+    """Chunks of a gzip file of any number of members, of bounded size
+    however well it is compressed; ``read(n)`` gives bytes."""
     member, waiting = None, b""
     while chunk := waiting or read(CHUNK):
         waiting = b""
         member = member or zlib.decompressobj(31)
-        yield member.decompress(chunk)
+        yield member.decompress(chunk, CHUNK)
+        while member.unconsumed_tail and not member.eof:
+            yield member.decompress(member.unconsumed_tail, CHUNK)
         if member.eof:
             waiting, member = member.unused_data, None
     if member is not None:
-        raise ValueError("the gzip stream is cut off")
+        yield member.flush()             # what is left of a match
+        if not member.eof:
+            raise ValueError("the gzip stream is cut off")
 
 
 def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
@@ -158,7 +164,9 @@ def _normalise(folder: str):
                 member = gzip.compress(record, 6, mtime=0)
                 out.write(member)
                 kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
-                cdx.write(f"{fields['warc-target-uri']} {kind} {digest} {len(member)} {offset} {name}\n".encode())
+                url = re.sub(r"\s", lambda x: quote(x[0]), fields["warc-target-uri"])      # fields end at blanks
+                mime = "text/html" if kind == "response" else "warc/revisit"
+                cdx.write(f"{url} {mime} {digest} {len(member)} {offset} {name}\n".encode())
                 rows.append((name, offset, len(member), fields["warc-record-id"], kind, digest))
                 offset += len(member)
                 if len(rows) >= 10_000:

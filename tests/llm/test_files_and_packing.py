@@ -69,6 +69,26 @@ def test_normalised_archive_is_read_by_offset_and_from_its_start(spark):
         assert whole == [gzip.decompress(data[r.offset:r.offset + r.length]) for r in own]
 
 
+def test_urls_with_blanks_keep_the_fields_apart(spark):
+    pages = spark.createDataFrame([(1, "http://x/a b\tc\u00a0d", "h" * 2000), (2, "http://x/é", "h" * 2000)],
+                                  "page_id long, url string, html string")
+    folder, index = warc.normalise(spark, warc.write_monolithic(spark, pages.coalesce(1)))
+    lines = []
+    for name in {r.archive for r in index.collect()}:
+        store, path = warc.open_store(f"{folder}/{name}")
+        lines += store.open_input_stream(path + ".cdx", compression=None).read().decode().splitlines()[1:]
+    fields = sorted(line.split(" ") for line in lines)
+    assert [f[:2] for f in fields] == [["http://x/a%20b%09c%C2%A0d", "warc/revisit"], ["http://x/é", "text/html"]]
+    assert all(len(f) == 6 for f in fields)
+
+
+def test_inflated_chunks_are_bounded():
+    data = b"a" * 30_000_000 + b"b"
+    chunks = list(warc.inflate(io.BytesIO(gzip.compress(data) + gzip.compress(b"c")).read))
+    assert max(map(len, chunks)) <= warc.CHUNK
+    assert hashlib.sha1(b"".join(chunks)).digest() == hashlib.sha1(data + b"c").digest()
+
+
 def test_cut_off_streams_are_refused():
     record = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     packed = gzip.compress(record * 3)
@@ -81,11 +101,14 @@ def test_cut_off_streams_are_refused():
 
 # -- token shards -------------------------------------------------------------
 
-def test_shards_round_trip(spark, monkeypatch):
+@pytest.mark.parametrize("tasks", [100_000, 1])
+def test_shards_round_trip(spark, monkeypatch, tasks):
+    """Many tasks, and one that writes several shards of bounded text."""
     monkeypatch.setattr(repair, "SHARD_BYTES", 50_000)
+    monkeypatch.setattr(repair, "MOST_TASKS", tasks)
     folder, manifest = repair.write_shards(frame(spark), WORDS, end_id=1)
     rows = repair.read_shards(folder, manifest, "bigint").collect()
-    assert manifest.count() > 2
+    assert manifest.count() > 2 and (manifest.select("task").distinct().count() <= 2) == (tasks == 1)
     rows.sort(key=lambda r: r.start)
     assert [r.start for r in rows] == np.append(0, np.cumsum([r.n_tokens for r in rows]))[:-1].tolist()
     ids = [r.id for r in rows]
