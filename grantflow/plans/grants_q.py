@@ -167,6 +167,24 @@ def reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable(model.reassemble(tables).select(*REASSEMBLED_OUT))
 
 
+#: Buckets of the relational tables of the query below.
+BUCKETS = 16
+
+
+@register("reassemble_bucketed", f"""
+    SELECT grant_id, project_title, CAST(amount AS VARCHAR) AS amount, organization_name, count(*) AS n_rows
+    FROM ({conformed_sql()}) cg GROUP BY ALL
+""")
+def reassemble_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relational tables saved in buckets of the grant key, and joined
+    without moving them."""
+    path = scratch_dir(spark, "model")
+    tables = model.write_bucketed(model.normalise(conformed(spark, sf_dir), materialize=True),
+                                  path.rpartition("/")[2].replace("-", "_"), path, BUCKETS)
+    cols = ["grant_id", "project_title", "amount", "organization_name"]
+    return portable(model.reassemble(tables).groupBy(*cols).agg(F.count(F.lit(1)).alias("n_rows")))
+
+
 CONFLICT_SQL = f"""
     SELECT *, amount AS a, organization_name AS o FROM ({conformed_sql()}) c
     UNION ALL SELECT *, amount + 1, NULL FROM ({conformed_sql()}) c WHERE row_no % 7 = 0
@@ -312,6 +330,30 @@ def grant_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable(hit.select(*CONFORMED_OUT))
 
 
+FEW = serve.GrantSearch(contains={"project_title": "1-URGENT M", "organization_name": "_12"})
+
+
+@register("grant_search_indexed", f"""
+    WITH cg AS (SELECT *, strftime(start_date, '%Y-%m-%d') AS s FROM ({conformed_sql('coalesce')}) c)
+    SELECT 'many' AS search, source_id, grant_id, project_title, s AS start_date, organization_name FROM cg
+    WHERE lower(project_title) LIKE '%urgent%' AND start_date >= DATE '1996-01-01' AND start_date <= DATE '1997-12-31'
+      AND amount >= 100000
+    UNION ALL
+    SELECT 'few', source_id, grant_id, project_title, s, organization_name FROM cg
+    WHERE lower(project_title) LIKE '%1-urgent m%' AND lower(organization_name) LIKE '%\\_12%' ESCAPE '\\'
+""")
+def grant_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two searches of the published table through its index of pieces."""
+    path, index = scratch_dir(spark, "grants"), scratch_dir(spark, "grants_index")
+    rows = conformed(spark, sf_dir, "coalesce").drop("quarantine_reasons", "row_no")
+    serve.publish_grants(rows, path)
+    serve.publish_index(rows, index)
+    out = [serve.search_indexed(serve.read_grants(spark, path), spark.read.parquet(index), s).withColumn("search", F.lit(n))
+           for n, s in (("many", SEARCH), ("few", FEW))]
+    return portable(out[0].unionByName(out[1]).select("search", "source_id", "grant_id", "project_title", "start_date",
+                                                      "organization_name"))
+
+
 @register("publish_scan", f"""
     SELECT source_id, {', '.join(c for c in ['grant_id', 'project_title', 'project_description'])},
            strftime(start_date, '%Y-%m-%d') AS start_date, strftime(end_date, '%Y-%m-%d') AS end_date,

@@ -188,6 +188,25 @@ def test_html_real_pages_match_parser_walk(spark):
         assert r.t == "\n".join(w.out)
 
 
+def test_all_references_are_decoded(spark):
+    """Against the standard library: names whole, open and cut short, numbers
+    of every range, and what only looks like a reference."""
+    import html
+    import random
+
+    rng = random.Random(5)
+    names = sorted(html.entities.html5)
+    parts = ["&", "&&", "&#", "&#x", "&#;", "x", " ", ";", "<", "&amp;lt;", "&notit;", "&notin;", "&gtdot;", "&ltfoo;", "&AMPx",
+             "&#x80;", "&#150", "&#13;", "&#11;", "&#0;", "&#xD800;", "&#x110000;", "&#99999999999999999999;", "&#xFDD0;",
+             "&#x1F600;", "&#65", "&#x0041;", "&#000066;", "&unknownname;", "&" + "q" * 40 + ";", "&copy", "&eacuteé", "\n"]
+    texts = ["".join(rng.choices([*parts, "&" + rng.choice(names), "&" + rng.choice(names)[:-1] + rng.choice("ax ;")], k=6))
+             for _ in range(3000)] + ["&" + n for n in names] + [""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.o for r in df.select(H.decode_all_references(F.col("t")).alias("o")).collect()]
+    wrong = [(t, g, html.unescape(t)) for t, g in zip(texts, got) if g != html.unescape(t)]
+    assert not wrong, wrong[:5]
+
+
 def test_truncate(spark):
     df = spark.createDataFrame([("é" * 10,)], "v string")
     r = df.select(T.truncate("v", 4).alias("t"), T.is_truncated("v", 4).alias("f")).first()

@@ -240,6 +240,24 @@ def test_model_keeps_rows_that_conflict(spark):
     assert [r.organization_id for r in model.conflicts(t["organization"], "organization_id").collect()] == ["given"]
 
 
+def test_bucketed_tables_join_where_they_lie(spark, tmpdir_):
+    flat = conform(wide(spark, [(f"T{i}", None, str(i % 40), None, "A B", f"U{i % 3}", "1.00", None) for i in range(200)]))
+    tables = model.normalise(flat.drop("quarantine_reasons"), materialize=True)
+    saved = model.write_bucketed(tables, "bucket_test", tmpdir_ + "/buckets", 4)
+    join = saved["grant_party"].join(saved["grant_project"], "grant_project_id")
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(conf)
+    spark.conf.set(conf, "-1")
+    try:
+        assert join.count() == tables["grant_party"].count()
+        plan = join._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set(conf, old)
+    rows = [sorted(map(str, model.reassemble(t).collect())) for t in (tables, saved)]
+    assert rows[0] == rows[1] and len(rows[0]) == 200
+
+
 def test_append_twice_adds_once(spark, tmpdir_):
     flat = conform(wide(spark, [("T", None, "1", None, "A B", "U1", None, None),
                                 (None, None, "2", None, "A B", "U1", None, None)])).drop("quarantine_reasons")
@@ -287,6 +305,27 @@ def test_lookup_reads_the_row_groups_that_may_hold_the_id(spark, tmpdir_):
     assert 0 < scanned(df) <= 1000                       # of eight files with 1,000 rows each
 
 
+@pytest.mark.parametrize("listed", [1000, 0])
+def test_indexed_search_finds_what_a_scan_finds(spark, tmpdir_, monkeypatch, listed):
+    monkeypatch.setattr(serve, "LISTED", listed)
+    titles = ["Ocean Currents", "ocean", "An OCEANIC study", "xx", None, "", "日本語の研究", "o c e a n", "ÉTUDE océan"]
+    rows = spark.createDataFrame([(f"s{i % 3}" if i % 5 else None, str(i) if i % 7 else None, titles[i % 9], f"u{i % 4} lab")
+                                  for i in range(300)], "source_id string, grant_id string, project_title string, "
+                                                        "organization_name string")
+    path, index = tmpdir_ + "/g", tmpdir_ + "/i"
+    serve.publish_grants(rows, path)
+    serve.publish_index(rows, index)
+    serve.publish_index(rows.where("source_id = 's1'"), index)          # again: nothing twice
+    grants, pieces = serve.read_grants(spark, path), spark.read.parquet(index)
+    for contains in ({"project_title": "OCEAN"}, {"project_title": "ocean", "organization_name": "u1 LAB"},
+                     {"project_title": "本語の"}, {"project_title": "xx"}, {"project_title": "nowhere"}, {"project_title": ""},
+                     {"project_title": "oc", "organization_name": "u2 l"}, {"project_title": "océ"}):
+        search = serve.GrantSearch(contains=contains)
+        want = sorted(map(str, serve.search_grants(grants, search).collect()))
+        assert sorted(map(str, serve.search_indexed(grants, pieces, search).collect())) == want
+    assert any(serve.search_grants(grants, serve.GrantSearch(contains={"project_title": "本語の"})).collect())
+
+
 def test_many_layouts_are_one_plan(spark):
     maps = [(f"s{i}", "h", f"c{i}", "project-title") for i in range(50)] + [
         ("s1", "h", "a", "@amount"), ("s1", "h", "b", "award-amount"), ("s1", "h", "x", "null")]
