@@ -65,9 +65,19 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/grantflow/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Let the file system remove ``path`` when the driver ends: what is staged
+    is of no use to another run."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared root and read it back:
-    computed once, columns still pruned, nothing to recompute after a loss."""
-    path = scratch_dir(df.sparkSession, name)
+    computed once, columns still pruned, nothing to recompute after a loss.
+    The folder goes when the driver ends."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    until_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
