@@ -15,6 +15,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from grantflow.session import until_exit
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,11 +45,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The result has no lineage to recompute when an executor is lost, and
-    values such as ``spark_partition_id()`` are fixed from here on.
+    values such as ``spark_partition_id()`` are fixed from here on.  The folder
+    goes when the driver ends.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
+    until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
