@@ -3,8 +3,9 @@ investigator, grant_party link table).
 
 Surrogate keys are SHA-256 of the identifying attributes joined by the
 unit separator, nulls spelled ``\\u0001`` so that (a, null) and (null, a)
-differ.  Distinct rows combine map-side, so heavy duplication of one entity is
-reduced before the shuffle.
+differ: text where they are shown as ids, 32 bytes where tables link.  A link
+key covers every attribute, so distinct rows are found by the key alone, combine
+map-side, and lie where the join on that key needs them.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ def surrogate_key(*cols: str | Column) -> Column:
     return F.sha2(F.concat_ws(SEP, *parts), 256)
 
 
+def link_key(*cols: str | Column) -> Column:
+    return F.unhex(surrogate_key(*cols))
+
+
 def with_keys(grants: DataFrame) -> DataFrame:
     """Adds organization_id and investigator_id where absent, and the keys by
     which rows link.
@@ -49,18 +54,18 @@ def with_keys(grants: DataFrame) -> DataFrame:
         "investigator_id": F.coalesce(F.col("investigator_id"), person_id),
     })
     return ids.withColumns({
-        "grant_project_id": surrogate_key(*GRANT_ATTRS),
+        "grant_project_id": link_key(*GRANT_ATTRS),
         "organization_key": F.when(F.coalesce("organization_id", *ORG_ATTRS).isNotNull(),
-                                   surrogate_key("organization_id", *ORG_ATTRS)),
+                                   link_key("organization_id", *ORG_ATTRS)),
         "investigator_key": F.when(F.coalesce("investigator_id", *PERSON_ATTRS).isNotNull(),
-                                   surrogate_key("investigator_id", "organization_id", *PERSON_ATTRS)),
+                                   link_key("investigator_id", "organization_id", *PERSON_ATTRS)),
     })
 
 
 def organizations(keyed: DataFrame) -> DataFrame:
     return (keyed.filter(F.col("organization_key").isNotNull())
             .select("organization_key", "organization_id", F.col("organization_name").alias("name"),
-                    "ROR", "country_code").distinct())
+                    "ROR", "country_code").dropDuplicates(["organization_key"]))
 
 
 def investigators(keyed: DataFrame) -> DataFrame:
@@ -70,12 +75,12 @@ def investigators(keyed: DataFrame) -> DataFrame:
                     F.col("investigator_given_name").alias("given_name"),
                     F.col("investigator_family_name").alias("family_name"),
                     F.lit(None).cast("string").alias("alternate_name"),
-                    F.col("investigator_ORCID").alias("ORCID")).distinct())
+                    F.col("investigator_ORCID").alias("ORCID")).dropDuplicates(["investigator_key"]))
 
 
 def grant_projects(keyed: DataFrame) -> DataFrame:
     return keyed.select("grant_project_id", F.col("grant_id").alias("award_number"),
-                        *[c for c in GRANT_ATTRS if c != "grant_id"]).distinct()
+                        *[c for c in GRANT_ATTRS if c != "grant_id"]).dropDuplicates(["grant_project_id"])
 
 
 def grant_parties(keyed: DataFrame) -> DataFrame:
@@ -129,7 +134,7 @@ def write_bucketed(tables: dict[str, DataFrame], name: str, path: str, buckets:
 def _left_on_key(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
     """Left join in which rows without a key are spread by their grant: a key
     made of it matches nothing, where nulls would all meet in one partition."""
-    own = F.coalesce(F.col(key), F.concat(F.lit("-"), F.col("grant_project_id")))
+    own = F.coalesce(F.col(key), F.concat(F.lit(b"-"), F.col("grant_project_id")))
     return rows.withColumn("__key", own).join(side.withColumnRenamed(key, "__key"), "__key", "left").drop("__key")
 
 
