@@ -36,6 +36,7 @@ from grantflow.session import staged
 #: States before and after each line, and the line that starts its record, if
 #: the split starts outside (0) or inside (1) quotes; -1: in an earlier split.
 STATES = "nth long, in0 boolean, in1 boolean, out0 boolean, out1 boolean, first0 long, first1 long"
+RECORD = ["file", "line", "latin1", "by_line", "text"]
 LINE = "file string, block long, id long, raw binary, utf8 boolean"
 
 
@@ -153,22 +154,27 @@ class Records:
             "file", "id", (F.col("before") + F.col("nth")).alias("line"), "latin1", "by_line", text.alias("text"),
             (~F.col("by_line") & F.when(F.col("inside"), F.col("in1")).otherwise(F.col("in0"))).alias("starts_in"),
             (~F.col("by_line") & F.when(F.col("inside"), F.col("out1")).otherwise(F.col("out0"))).alias("ends_in"),
-            F.when(F.col("inside"), F.col("first1")).otherwise(F.col("first0")).alias("first"), "open") \
+            F.when(F.col("inside"), F.col("first1")).otherwise(F.col("first0")).alias("first"), "open", "nth") \
             .where(F.col("line") >= header_row)
-        whole = ~F.col("starts_in") & ~F.col("ends_in")
-        single = known.where(whole).select("file", "line", "latin1", "by_line", "text")
-        out = single
-        if quote and multiline:
-            first = F.when(F.col("first") < 0, F.col("open")).otherwise(F.col("first"))
-            pieces = F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: x["text"])
-            out = single.unionByName(
-                known.where(~whole).groupBy("file", first.alias("first"), "latin1", "by_line")
-                .agg(F.min("line").alias("line"), F.array_join(pieces, "\n").alias("text"))
-                .select("file", "line", "latin1", "by_line", "text"))
+        self._first = F.when(F.col("first") < 0, F.col("open")).otherwise(F.col("first"))
+        self._whole = ~F.col("starts_in") & ~F.col("ends_in")
+        self._lines, self._joined, self.header_row = known, bool(quote and multiline), header_row
+        out = known.where(self._whole)
+        if self._joined:
+            out = out.select(*RECORD).unionByName(self._grouped(known.where(~self._whole)))
+        self.rows = self._cleaned(out)
+
+    def _grouped(self, lines: DataFrame) -> DataFrame:
+        """Records of several lines."""
+        pieces = F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: x["text"])
+        return lines.groupBy("file", self._first.alias("first"), "latin1", "by_line") \
+            .agg(F.min("line").alias("line"), F.array_join(pieces, "\n").alias("text")).select(*RECORD)
+
+    @staticmethod
+    def _cleaned(records: DataFrame) -> DataFrame:
         text = F.regexp_replace("text", r"\r\z", "")
-        self.rows = out.withColumn("text", F.when(F.col("line") == 0, F.ltrim(text, F.lit("\ufeff"))).otherwise(text)) \
-            .where(F.trim("text") != "")
-        self.header_row = header_row
+        text = F.when(F.col("line") == 0, F.ltrim(text, F.lit("\ufeff"))).otherwise(text)
+        return records.select(*RECORD).withColumn("text", text).where(F.trim("text") != "")
 
     @staticmethod
     def _splits(lines: DataFrame) -> DataFrame:
@@ -192,5 +198,13 @@ class Records:
             F.last("own", ignorenulls=True).over(earlier).alias("open"))
 
     def headers(self) -> DataFrame:
-        """file and text of the header of every file that has one."""
-        return self.rows.where(F.col("line") == self.header_row).select("file", "text", "latin1")
+        """file and text of the header of every file that has one.  Only the
+        lines of headers are grouped, not those of other records."""
+        # A line is no nearer to the beginning of its split than of its file.
+        own = self._lines.where((F.col("nth") <= self.header_row) & (F.col("line") == self.header_row))
+        out = own.where(self._whole)
+        if self._joined:
+            longer = own.where(~self._whole).select("file", F.col("id").alias("header"))
+            lines = self._lines.where(~self._whole).join(longer, "file").where(self._first == F.col("header"))
+            out = out.select(*RECORD).unionByName(self._grouped(lines))
+        return self._cleaned(out).select("file", "text", "latin1")

@@ -79,6 +79,15 @@ def _surplus(text: Column, sep: str, quote: str, width: Column) -> Column:
                                               lambda x: F.trim(x) != "")
 
 
+def _parsed(found: Records, layouts: DataFrame, sep: str, quote: str) -> DataFrame:
+    """Every record with its layout's columns, ``fields`` by position and ``surplus``."""
+    width = layouts.agg(F.max(F.size("names"))).first()[0] or 1
+    rows = found.rows.where(F.col("line") > found.header_row).join(layouts, "file")
+    return rows.select("file", "line", "text", *[c for c in layouts.columns if c != "file"],
+                       _fields(F.col("text"), sep, quote, width).alias("fields"),
+                       _surplus(F.col("text"), sep, quote, F.size("names")).alias("surplus"))
+
+
 def read_records(spark: SparkSession, path: str | list[str], sep: str = ",", header_row: int = 0,
                  quote: str | None = None, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
     """``(layouts, records)``: file and names of every layout; and of every
@@ -86,10 +95,7 @@ def read_records(spark: SparkSession, path: str | list[str], sep: str = ",", hea
     quote = '"' if quote is None else quote
     found = Records(spark, path, sep, quote, header_row, multiline)
     layouts = read_layouts(found, sep, quote)
-    width = layouts.agg(F.max(F.size("names"))).first()[0] or 1
-    rows = found.rows.where(F.col("line") > header_row).join(layouts, "file")
-    return layouts, rows.select("file", "line", "text", "names", _fields(F.col("text"), sep, quote, width).alias("fields"),
-                                _surplus(F.col("text"), sep, quote, F.size("names")).alias("surplus"))
+    return layouts, _parsed(found, layouts, sep, quote)
 
 
 def read_mapped(spark: SparkSession, path: str | list[str], sep: str = ",", header_row: int = 0,
@@ -110,7 +116,9 @@ def read_tolerant_csv(spark: SparkSession, path: str | list[str], sep: str = ","
     file name.  Each layout's row says where in its files' fields a column is,
     so a column is one look-up, whatever the number of layouts.
     """
-    layouts, rows = read_records(spark, path, sep, header_row, quote, multiline)
+    quote = '"' if quote is None else quote
+    found = Records(spark, path, sep, quote, header_row, multiline)
+    layouts = read_layouts(found, sep, quote)
     named = layouts.select("file", F.posexplode("names").alias("pos", "name"))
     # Distinct names, as the schema of the result needs them.
     first = named.groupBy("name").agg(F.min(F.struct("file", "pos")).alias("first")).orderBy("first").collect()
@@ -118,9 +126,9 @@ def read_tolerant_csv(spark: SparkSession, path: str | list[str], sep: str = ","
     if not names:
         return spark.createDataFrame([], f"`{OVERFLOW}` string, __file string")
     slots = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: (F.array_position("names", n) - 1).cast("int"))
-    places = staged(layouts.select("file", slots.alias("slots")), "csv-places")
+    places = staged(layouts.select("file", "names", slots.alias("slots")), "csv-places")
     raw = F.transform("slots", lambda i: F.get("fields", F.nullif(i, F.lit(-1))))
-    rows = rows.join(places, "file").select(
+    rows = _parsed(found, places, sep, quote).select(
         raw.alias("raw"), F.transform(raw, na_to_null).alias("values"),
         F.when(F.col("surplus"), F.col("text")).alias(OVERFLOW), F.col("file").alias("__file"))
     return rows.select(*[F.get("raw" if n in na_exempt else "values", F.lit(i)).alias(n) for i, n in enumerate(names)],
