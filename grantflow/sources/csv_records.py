@@ -40,11 +40,17 @@ RECORD = ["file", "line", "latin1", "by_line", "text"]
 LINE = "file string, block long, id long, raw binary, utf8 boolean"
 
 
+def file_path() -> Column:
+    """Path of the file a row comes from, as readers take it: the metadata
+    column has it as a URI, blanks and the like escaped."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def raw_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Every line as bytes: file, block (where its split starts), id
     (ascending within a split), whether it is UTF-8."""
     return spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        file_path().alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id"), F.col("value").cast("binary").alias("raw"),
         F.is_valid_utf8("value").alias("utf8"))
 

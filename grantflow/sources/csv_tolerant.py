@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from grantflow.functions.text import na_to_null
 from grantflow.session import staged
 from grantflow.sources.catalog import dedupe_names
-from grantflow.sources.csv_records import Quoting, Records
+from grantflow.sources.csv_records import Quoting, Records, file_path
 
 OVERFLOW = "__overflow"
 DELIMITERS = [",", ";", "\t", "|"]
@@ -154,7 +154,7 @@ def sniff_quotes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     count = [F.sum(F.regexp_count("value", F.lit(f"(?:^|[{some}]){q}[^{q}]*+{q}(?=[{some}\r]|$)"))).alias(f"q{i}")
              for i, q in enumerate(QUOTES)]
     per = spark.read.option("lineSep", "\n").text(path) \
-        .groupBy(F.col("_metadata.file_path").alias("file")).agg(*count)
+        .groupBy(file_path().alias("file")).agg(*count)
     return per.select("file", F.when(F.col("q1") > F.col("q0"), QUOTES[1]).otherwise(QUOTES[0]).alias("quote"))
 
 

@@ -172,6 +172,19 @@ def test_dialects_with_quotes(spark, tmpdir_):
     assert rows.where("a = '1'").count() == 30 and rows.count() == 121
 
 
+def test_files_with_odd_names(spark, tmpdir_):
+    """Names that a URI escapes are read again under their own name."""
+    d = os.path.join(tmpdir_, "odd names")
+    names = ["a b.csv", "c+d.csv", "é%20f.csv", "g;h=i.csv"]
+    for n in names:
+        write(d, n, "id;v\n1;x\n")
+    rows, unknown = CT.read_sniffed(spark, d)
+    assert sorted(os.path.basename(r["__file"]) for r in rows.collect()) == sorted(names) and unknown.count() == 0
+    verdicts = CT.verify_files(spark, d).collect()
+    assert sorted((os.path.basename(r.path), r.verdict, r.n_rows) for r in verdicts) == [
+        (n, "sniffed", 1) for n in sorted(names)]
+
+
 def test_surplus_fields(spark, tmpdir_):
     d = os.path.join(tmpdir_, "surplus")
     write(d, "s.csv", 'a,b\n1,2,\n3,4,,,\n5,6,,,7\n8,"9,9"\n10,11,""\n12,13,"x"\n14\n')
