@@ -53,7 +53,7 @@ def read_csv_files(spark: SparkSession, files: list[str], schema: T.StructType)
 def read_json_files(spark: SparkSession, files: list[str], schema: T.StructType) -> DataFrame:
     """Lines of JSON objects -> the columns of ``schema`` and the text of
     lines that are none."""
-    return spark.read.schema(schema.add(UNREAD, T.StringType())) \
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField(UNREAD, T.StringType())])) \
         .option("columnNameOfCorruptRecord", UNREAD).option("mode", "PERMISSIVE").json(files)
 
 

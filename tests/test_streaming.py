@@ -53,6 +53,21 @@ def test_ingest_of_files_with_different_layouts(spark, tmpdir_):
     assert counts == {"s": (3, 2), "t": (1, 0)}
 
 
+def test_json_files_of_several_batches(spark, tmpdir_):
+    p = paths(tmpdir_)
+    os.makedirs(p["landing"])
+    for i in range(3):
+        with open(os.path.join(p["landing"], f"{i}.json"), "w") as f:
+            f.write(f'{{"Project/Area Number": "A{i}", "source_id": "s"}}\n{{"Project/Area\n')
+    schema = spark.createDataFrame([], "`Project/Area Number` string, source_id string").schema
+    ingest_landing(spark, p["landing"], schema, p["grants"], p["checkpoint"], p["ingest_runs"], fmt="json",
+                   files_per_trigger=1)
+    assert schema.names == [f.name for f in schema.fields] == ["Project/Area Number", "source_id"]
+    good = spark.read.parquet(p["grants"]).collect()
+    assert sorted(r.grant_id for r in good) == ["A0", "A1", "A2"] and {r.batch_id for r in good} == {0, 1, 2}
+    assert [r.record for r in spark.read.parquet(p["quarantine"]).collect()] == ['{"Project/Area'] * 3
+
+
 def test_ingest_incremental_and_idempotent(spark, tmpdir_):
     p = paths(tmpdir_)
     g = landing_frame(spark, SMOKE).drop("row_no")
