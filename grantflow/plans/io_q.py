@@ -22,7 +22,7 @@ from grantflow.session import scratch_dir, staged
 from grantflow.sources import csv_tolerant as CT
 from grantflow.sources import json_shapes as J
 from grantflow.sources import landing as L
-from grantflow.streaming.ingest import committed, ingest_landing, paths
+from grantflow.streaming.ingest import committed, default_transform, ingest_landing, paths
 
 # --------------------------------------------------------------- API pages
 
@@ -755,13 +755,14 @@ def _streamed(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     return p
 
 
-@register("stream_ingest", f"SELECT * FROM ({STREAM_OUT_SQL}) x WHERE quarantine_reasons = ''")
+@register("stream_ingest", STREAM_OUT_SQL)
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed grant files ingested incrementally (AvailableNow): ``grants``
-    has the batch conform of the rows without a reason."""
+    """Landed grant files ingested incrementally (AvailableNow): ``grants`` and
+    ``quarantine`` together have the batch conform of all rows."""
     p = _streamed(spark, sf_dir)
-    out = committed(spark, p["grants"], p["ingest_runs"])
-    return portable(out.select("source_id", *CONFORMED_OUT, "quarantine_reasons"))
+    columns = default_transform(landing_frame(spark, sf_dir).drop("row_no")).withColumn("batch_id", F.lit(0)).schema
+    good, bad = (committed(spark, p[t], p["ingest_runs"], columns) for t in ("grants", "quarantine"))
+    return portable(good.unionByName(bad).select("source_id", *CONFORMED_OUT, "quarantine_reasons"))
 
 
 @register("stream_quarantine", f"""

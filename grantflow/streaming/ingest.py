@@ -117,10 +117,12 @@ def ingest_landing(spark: SparkSession, landing: str, schema: T.StructType, out:
     q.awaitTermination()
 
 
-def committed(spark: SparkSession, table: str, runs_table: str) -> DataFrame:
-    """Rows of ``table`` whose batch is complete in both tables."""
+def committed(spark: SparkSession, table: str, runs_table: str, schema: T.StructType | None = None) -> DataFrame:
+    """Rows of ``table`` whose batch is complete in both tables; a table without
+    a row needs its ``schema``."""
     done = spark.read.parquet(runs_table).select("batch_id").distinct()
-    return spark.read.parquet(table).join(done, "batch_id", "left_semi")
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(table).join(done, "batch_id", "left_semi")
 
 
 def beside(out: str) -> str:

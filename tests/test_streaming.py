@@ -95,6 +95,13 @@ def test_ingest_incremental_and_idempotent(spark, tmpdir_):
     assert os.path.isdir(p["checkpoint"])
 
 
+def test_stream_ingest_returns_the_rows_kept_out_as_well(spark):
+    from grantflow.plans import io_q
+    out = io_q.stream_ingest(spark, SMOKE)
+    assert out.count() == spark.read.parquet(f"{SMOKE}/orders.parquet").count()
+    assert {bool(r.quarantine_reasons) for r in out.select("quarantine_reasons").distinct().collect()} == {True, False}
+
+
 def test_stream_query_lands_by_size_and_reads_many_files_a_batch(spark, monkeypatch):
     from grantflow.plans import io_q
     seen = []
