@@ -461,17 +461,12 @@ def _csv_quote(c: Column) -> Column:
 def write_lines(df: DataFrame, header: str | None, path: str, encoding: str = "UTF-8") -> None:
     """Pre-formatted lines (column ``line``) written as-is, ``header`` first
     in every file (added per partition, so each output file starts with it)."""
-    import pandas as pd
-
-    def with_header(batches):
-        first = header is not None
-        for pdf in batches:
-            if first:
-                pdf = pd.concat([pd.DataFrame({"line": [header]}), pdf], ignore_index=True)
-                first = False
-            yield pdf
-
-    lines = df.select("line").mapInPandas(with_header, "line string")
+    lines = df.select("line")
+    if header is not None:
+        # The lower bits of this id count the rows of a partition.
+        of_file = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+        lines = lines.withColumn("nth", of_file).select(F.explode(
+            F.when(F.col("nth") == 0, F.array(F.lit(header), "line")).otherwise(F.array("line"))).alias("line"))
     if encoding.upper().replace("-", "") == "UTF8":
         lines.write.mode("overwrite").text(path)
         return

@@ -131,6 +131,37 @@ def test_records_of_split_files_are_those_of_one_task(spark, tmpdir_, seed):
     assert by == want
 
 
+def test_lines_of_a_record_are_staged_as_one_row(spark, tmpdir_, monkeypatch):
+    """Past the first record of a split, pieces are records: what is grouped
+    does not grow with the lines; small pieces give the same records."""
+    d = os.path.join(tmpdir_, "pieces")
+    text = "id,a\n" + "".join(f'{i},"{"word" * (i % 3)}\n{chr(10).join("w" * 30)}"\n' for i in range(200))
+    write(d, "f.csv", text)
+    want = plain_records(text)[0]
+    found = CR.Records(spark, d)
+    assert found._lines.count() <= 240                       # of 6,600 lines
+    assert found._lines.where(~found._whole).count() <= 40
+    assert [r.text for r in found.rows.orderBy("line").collect()] == want
+    write(d, "g.csv", 'id,a\n1,"x\n' + "2,y\n" * 500)         # ends inside quotes
+    monkeypatch.setattr(CR, "PIECE", 50)
+    got = CR.Records(spark, d).rows.orderBy("file", "line").collect()
+    assert [r.text for r in got if r.file.endswith("f.csv")] == want
+    assert [(r.line, r.text) for r in got if r.file.endswith("g.csv")] == [
+        (0, "id,a"), (1, '1,"x'), *((i + 2, "2,y") for i in range(500))]
+
+
+def test_lines_are_written_below_their_header(spark, tmpdir_):
+    from grantflow.plans.io_q import write_lines
+    rows = spark.range(0, 10, 1, 3).select(F.when(F.col("id") != 4, F.concat(F.lit("é"), "id")).alias("line"))
+    for encoding in ("UTF-8", "ISO-8859-1"):
+        path = os.path.join(tmpdir_, encoding)
+        write_lines(rows.where("id > 2"), "h,ä", path, encoding)
+        parts = sorted(p for p in os.listdir(path) if p.startswith("part"))
+        texts = [open(os.path.join(path, p), encoding=encoding).read() for p in parts]
+        assert [t for t in texts if t][0].startswith("h,ä\né3\n") and "".join(texts).count("h,ä\n") == 2
+        assert "".join(texts).replace("h,ä\n", "").split() == [f"é{i}" for i in (3, 5, 6, 7, 8, 9)]
+
+
 def test_layouts_below_title_lines(spark, tmpdir_):
     """Three layouts under title lines, more than one split each: every row."""
     d = os.path.join(tmpdir_, "titles")
