@@ -8,9 +8,11 @@ repeated load is idempotent and other sources are untouched.
 from __future__ import annotations
 
 import datetime as _dt
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,16 +127,37 @@ def _named(field: str):
     return lambda p: F.struct(F.lit(field).alias("field"), p.alias("piece"))
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grants with their pieces -> per batch a row for each piece: the ids that
+    have it, as many as the batch has rows at most."""
+    for batch in batches:
+        found = batch.column("pieces")
+        grant = pc.list_parent_indices(found)
+        named = pc.list_flatten(found)
+        flat = pa.table({c: batch.column(c).take(grant) for c in (PARTITION_COL, "grant_id")}
+                        | {c: pc.struct_field(named, c) for c in ("field", "piece")})
+        lists = flat.group_by([PARTITION_COL, "field", "piece"]).aggregate([("grant_id", "list")])
+        lists = lists.rename_columns({"grant_id_list": "ids"}).select([PARTITION_COL, "field", "piece", "ids"])
+        yield from lists.combine_chunks().to_batches()
+
+
 def publish_index(df: DataFrame, path: str) -> None:
     """Write the pieces of the searched fields of a load, partitioned by source
-    like the table itself: publishing a source again replaces its pieces.  The
-    files are sorted by piece, so a search reads few row groups of each."""
+    like the table itself: publishing a source again replaces its pieces.
+
+    The searched fields are rebalanced by source, not their many pieces; a task
+    lists the ids of each piece batch by batch.  The files are sorted by piece,
+    so a search reads few row groups of each."""
     fields = [c for c in SEARCHED if c in df.columns]
-    pieces = F.explode(F.flatten(F.array(*[F.coalesce(
+    pieces = F.flatten(F.array(*[F.coalesce(
         F.transform(_pieces(F.lower(F.col(c))), _named(c)),
-        F.array().cast("array<struct<field:string,piece:string>>")) for c in fields])))
-    rows = df.select(PARTITION_COL, "grant_id", pieces.alias("x")).select(PARTITION_COL, "grant_id", "x.*").distinct()
-    (rows.hint("rebalance", PARTITION_COL, "piece").sortWithinPartitions(PARTITION_COL, "piece", "field").write
+        F.array().cast("array<struct<field:string,piece:string>>")) for c in fields]))
+    rows = df.select(PARTITION_COL, "grant_id", *fields).hint("rebalance", PARTITION_COL) \
+        .select(PARTITION_COL, "grant_id", pieces.alias("pieces"))
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    rows = rows.mapInArrow(_postings, f"{PARTITION_COL} {kind[PARTITION_COL]}, field string, piece string, "
+                                      f"ids array<{kind['grant_id']}>")
+    (rows.sortWithinPartitions(PARTITION_COL, "piece", "field").write
      .mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .option("parquet.bloom.filter.enabled#piece", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
      .partitionBy(PARTITION_COL).parquet(path))
@@ -152,10 +175,14 @@ def search_indexed(grants: DataFrame, index: DataFrame, search: GrantSearch) ->
     if not wanted:
         return search_grants(grants, search)
     key = [PARTITION_COL, "grant_id"]
+    has = [(F.col("field") == c) & (F.col("piece") == p) for c, p in sorted(wanted)]
     hit = F.lit(False)
     for field in {c for c, _ in wanted}:
         hit = hit | (F.col("field") == field) & F.col("piece").isin(sorted(p for c, p in wanted if c == field))
-    found = index.where(hit).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted))
+    found = index.where(hit).select(PARTITION_COL, *[x.alias(f"p{i}") for i, x in enumerate(has)],
+                                    F.explode("ids").alias("grant_id"))
+    found = found.groupBy(*key).agg(*[F.bool_or(f"p{i}").alias(f"p{i}") for i in range(len(has))]) \
+        .where(" AND ".join(f"p{i}" for i in range(len(has))))
     found = staged(found.select(*key), "search-found")
     few = found.limit(LISTED + 1).collect()
     if len(few) <= LISTED:
