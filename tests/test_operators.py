@@ -4,6 +4,7 @@ model calls, relational model, serve."""
 import datetime as dt
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,6 +283,51 @@ def test_append_of_repeated_keys(spark, tmpdir_):
         ("1", "U1"), ("2", "U")]
 
 
+def test_append_compares_keys_not_rows(spark, tmpdir_, monkeypatch):
+    """Few of many rows are new, then most: only keys and row numbers are staged to tell them."""
+    flat = conform(wide(spark, [("T", None, str(i), None, "A B", "U", None, None) for i in range(40)]))
+    rows = flat.drop("quarantine_reasons").withColumns({c: F.lit("x") for c in (
+        "DOI", "resource", "funder_name", "funder_id", "funding_type", "internal_award_number", "source_id")})
+    path = tmpdir_ + "/keys"
+    seen = {}
+    real = serve.staged
+    monkeypatch.setattr(serve, "staged", lambda df, name: seen.setdefault(name, df.columns) and real(df, name))
+    for upto in (10, 12, 40, 40):
+        assert serve.append_grants(rows.where(F.col("grant_id").cast("int") < upto), path).count() == 0
+        got = [r.grant_id for r in serve.read_grants(spark, path).select("grant_id").collect()]
+        assert sorted(got, key=int) == [str(i) for i in range(upto)]
+    assert [n for n, columns in seen.items() if "project_title" in columns] == ["append-checked"]
+
+
+def test_index_lists_ids_and_shuffles_no_pieces(spark, tmpdir_):
+    rows = spark.range(500).select(F.lit("s").alias("source_id"), F.col("id").cast("string").alias("grant_id"),
+                                   F.concat(F.lit("study number "), "id").alias("project_title"))
+    rows = rows.unionAll(rows.where("grant_id = '7'"))              # a repeated row is listed twice, found as before
+    path, index = tmpdir_ + "/g", tmpdir_ + "/i"
+    serve.publish_grants(rows, path)
+    serve.publish_index(rows.coalesce(1), index)
+    pieces = spark.read.parquet(index)
+    assert pieces.count() < 2000 and pieces.agg(F.sum(F.size("ids"))).first()[0] > 5000
+    grants = serve.read_grants(spark, path)
+    for text, n in (("number 7", 12), ("study", 501), ("7x", 0)):
+        search = serve.GrantSearch(contains={"project_title": text})
+        found = serve.search_indexed(grants, pieces, search).count()
+        assert found == serve.search_grants(grants, search).count() == n
+
+
+def test_model_gets_slices_of_a_batch(spark, monkeypatch):
+    """A task holds few prompts as text at once; other columns pass as they are."""
+    rows = spark.range(0, 300, 1, 1).select("id", F.when(F.col("id") != 5, F.repeat(F.lit("é"), 1000)).alias("prompt"),
+                                            F.when(F.col("id") % 2 == 0, F.col("id")).alias("n"))
+    got = INF.complete(rows, "prompt", lambda prompts: [str(len(prompts))] * len(prompts)).orderBy("id").collect()
+    assert [(r.id, r.n) for r in got] == [(i, None if i % 2 else i) for i in range(300)]
+    assert got[5].response is None and got[5].error is None
+    monkeypatch.setattr(INF, "PART", 50_000)
+    batch = pa.RecordBatch.from_pydict({"prompt": ["x" * 1000] * 300})
+    sizes = [p.num_rows for p in INF._parts(batch)]
+    assert sum(sizes) == 300 and max(sizes) <= 50
+
+
 def test_lookup_reads_the_row_groups_that_may_hold_the_id(spark, tmpdir_):
     """Ids of every source span the same range, so only the bloom filters tell
     the files apart."""
