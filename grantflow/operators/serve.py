@@ -47,20 +47,33 @@ def append_grants(df: DataFrame, path: str, key: Sequence[str] = (PARTITION_COL,
     The checked rows are staged, so the input is computed once, and running
     the same load again adds nothing.  Of rows of one load that share a key
     one is written; the others come back as ``key_repeated``.
+
+    Keys and row numbers alone are grouped and compared; whole rows only meet
+    the row numbers to leave out, or the new ones where those are fewer.
     """
     spark, key = df.sparkSession, [*key]
     rows = staged(validate(df).withColumn("__row", F.monotonically_increasing_id()), "append-checked")
     good, broken = rows.filter(F.size("violations") == 0), rows.filter(F.size("violations") > 0)
-    ones = staged(good.groupBy(*key).agg(F.min("__row").alias("__row")), "append-keys")
-    again = good.join(ones, "__row", "left_anti").withColumn("violations", F.array(F.lit("key_repeated")))
-    good = good.join(ones.select("__row"), "__row", "left_semi").drop("__row", "violations", "null_amount")
+    keys = good.select(*key, "__row")
+    more = staged(keys.groupBy(*key).agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
+                  .where("__n > 1").drop("__n"), "append-keys")
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(f"k.{c}").eqNullSafe(F.col(f"m.{c}"))
+    repeated = staged(keys.alias("k").join(more.alias("m"), same).where("__row != __first").select("__row"), "append-repeated")
+    again = good.join(repeated, "__row", "left_semi").withColumn("violations", F.array(F.lit("key_repeated")))
+    good = good.join(repeated, "__row", "left_anti").drop("violations", "null_amount")
     try:
-        held = spark.read.schema(good.schema).parquet(path).select(*key)
-        good = staged(good.join(held, key, "left_anti"), "append-new")
+        held = spark.read.schema(good.drop("__row").schema).parquet(path).select(*key)
+        new = staged(keys.join(held, key, "left_anti").select("__row"), "append-new")
+        if 2 * new.count() <= keys.count():
+            good = good.join(new, "__row", "left_semi")
+        else:
+            good = good.join(staged(keys.join(new, "__row", "left_anti").select("__row"), "append-held"), "__row", "left_anti")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    publish_grants(good, path, mode="append")
+    publish_grants(good.drop("__row"), path, mode="append")
     return broken.unionByName(again).drop("__row")
 
 
